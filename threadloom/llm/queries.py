@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, source_mix, url_rules
+from . import decontaminate, jaccard_join, source_mix, url_rules
 from .common import table
 
 
@@ -21,9 +21,18 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op5_url_rules, op8_source_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_url_rules, op8_source_mix, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op5_url_rules": url_rules.ORACLE, "op8_source_mix": source_mix.ORACLE}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE,
+        "op5_url_rules": url_rules.ORACLE,
+        "op8_source_mix": source_mix.ORACLE,
+        "op10_jaccard_join": jaccard_join.ORACLE,
+    }
