@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, source_mix, url_rules
+from . import decontaminate, jaccard_join, source_mix, suffix_dedup, url_rules
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -26,7 +30,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op5_url_rules, op8_source_mix, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op5_url_rules, op8_source_mix, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
