@@ -47,14 +47,14 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return w.groupBy("window", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items), one row for each row of docs.
+def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, n_words, n_hit, items, contaminated), one row for each row of docs: row a struct of its columns keep.
 
     A word is hit if it lies inside any occurrence of a window of the benchmark; contaminated: n_hit > 0 and share * n_hit
     >= n_words. Null and wordless texts have no words and no hits; null and wordless items have no windows; an item with a
     null id counts as a window without an id. Repeated rows get equal results. Empty tables: no rows, or no hits.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", *row_key(), "text")
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("row", *row_key("id"), "text")
     windows = cut(benchmark_windows(benchmark))
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # WINDOW of them at most
     long_hashes = windows.filter(F.col("length") == WINDOW).select(F.explode(let(F.split("window", " "), lambda w: kept_hashes(run_hashes(w, K)))).alias("hash"), F.lit(K).alias("length")).distinct()
@@ -81,17 +81,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, id_col
         run = F.when(F.col("n") == WINDOW, F.lit(K)).otherwise(F.col("n"))
         return F.transform(let(run_hashes(w, run), near), lambda s: F.struct(s.alias("s"), (s + F.col("n")).alias("e"), F.array_join(F.slice(w, s, F.col("n")), " ").alias("window")))
 
-    near = docs.join(found, ["k1", "k2"]).select("k1", "k2", F.explode(let(words(F.col("text")), occurrences)).alias("o")).select("k1", "k2", "o.*")
+    near = docs.select("k1", "k2", "text").join(found, ["k1", "k2"]).select("k1", "k2", F.explode(let(words(F.col("text")), occurrences)).alias("o")).select("k1", "k2", "o.*")
     hits = near.join(windows.select("window", "items"), "window")
     hits = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(F.greatest(a["end"], x["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["end"], x["s"]))).alias("n")))
     hits = hits.select("k1", "k2", covered["n"].alias("n_hit"), "items")
-    out = docs.select("doc_id", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(hits, ["k1", "k2"], "left")
-    n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), items.alias("items"),
-    )
+    out = docs.select("row", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(hits, ["k1", "k2"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select("row", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs; see judged()."""
+    out = judged(docs, benchmark, ["doc_id"], share)
+    return out.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
+    """The rows of docs that are not contaminated, all columns; see judged()."""
+    return judged(docs, benchmark, docs.columns, share).filter("NOT contaminated").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, source_mix, suffix_dedup, url_rules
+from . import decontaminate, jaccard_join, ngram_quality, source_mix, suffix_dedup, url_rules
 from .common import table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_quality.quality_report(table(spark, sf_dir, "documents"), ngram_quality.trusted_of(table(spark, sf_dir, "labels")))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -29,8 +33,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op5_url_rules, op8_source_mix, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op5_url_rules, op8_source_mix, op10_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

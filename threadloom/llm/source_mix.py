@@ -53,15 +53,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: in
     return s.select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): how often, and so how many words of, each document the mix takes.
-
-    Null text or no words: size 0, taken 0, copies as for its source. Null source: a source of its own, last in order.
-    Null ids and repeated ids share a hash and are taken together. An empty table gives an empty result. Other columns of
-    docs are ignored, whatever their names. Within half of the words that share its last 30-bit hash, a source's taken
-    words equal its target; the same rows give the same mix, in any order and partitioning.
-    """
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")))
+def thresholds(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """source_targets() of (source, size, h), with the hash prefix at which the rest ends, and the words before and up to it."""
     plan = cut(source_targets(sized, weights, cap).withColumns({"prefix": F.lit(0).cast("long"), "spent": F.lit(0).cast("long")}))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
@@ -70,16 +63,43 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
         words = inside.groupBy("s", "rest", "spent", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         upto = F.col("spent") + F.sum("words").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         cutting = words.withColumn("upto", upto).filter("upto > rest").groupBy("s").agg(F.min(F.struct("bucket", "upto", "words")).alias("b"))
-        plan = (
-            plan.drop("prefix", "spent")
-            .join(cutting, F.col("source").eqNullSafe(F.col("s")), "left")
-            .select("source", "source_size", "target", "whole", "rest", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.words")).alias("spent"), F.col("b.upto").alias("upto"))
-        )
-        plan = cut(plan)
-    more = F.coalesce((F.col("h") < F.col("prefix")) | ((F.col("h") == F.col("prefix")) & (F.col("upto") - F.col("rest") < F.col("rest") - F.col("spent"))), F.lit(False))
-    out = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    copies = F.col("whole") + more.cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+        ends = plan.drop("prefix", "spent", "upto").join(cutting, F.col("source").eqNullSafe(F.col("s")), "left")
+        plan = cut(ends.select("source", "source_size", "target", "whole", "rest", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.words")).alias("spent"), F.col("b.upto").alias("upto")))
+    return plan
+
+
+def copies_of(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (row, source, size, h) with their source's plan and copies, how often the mix takes each."""
+    out = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    nearer = (F.col("h") == F.col("prefix")) & (F.col("upto") - F.col("rest") < F.col("rest") - F.col("spent"))
+    return out.withColumn("copies", F.col("whole") + F.coalesce((F.col("h") < F.col("prefix")) | nearer, F.lit(False)).cast("long"))
+
+
+def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("source"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies): how often, and so how many words of, each document the mix takes.
+
+    Null text or no words: size 0, taken 0, copies as for its source. Null source: a source of its own, last in order.
+    Null ids and repeated ids share a hash and are taken together. An empty table gives an empty result. Other columns of
+    docs are ignored, whatever their names. Within half of the words that share its last 30-bit hash, a source's taken
+    words equal its target; the same rows give the same mix, in any order and partitioning.
+    """
+    sized = cut(_sized(docs, ["doc_id"]))
+    out = copies_of(sized, thresholds(sized.drop("row"), weights, cap))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The rows of docs of which the mix takes words, with copies, how often it takes them, and taken, the words so taken.
+
+    Columns of docs of those two names are replaced; see mix_sources() for the rest.
+    """
+    sized = cut(_sized(docs, ["doc_id"]).drop("row"))
+    out = copies_of(_sized(docs, docs.columns), thresholds(sized, weights, cap)).withColumn("taken", F.col("size") * F.col("copies")).filter("taken > 0")
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("copies", "taken")], "copies", "taken")
 
 
 ORACLE = r"""
