@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, ngram_quality, source_mix, suffix_dedup, url_rules
+from . import decontaminate, jaccard_join, language_id, ngram_quality, source_mix, suffix_dedup, toxicity, url_rules
 from .common import table
 
 
@@ -20,11 +20,21 @@ def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality_report(table(spark, sf_dir, "documents"), ngram_quality.trusted_of(table(spark, sf_dir, "labels")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -40,7 +50,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op5_url_rules, op8_source_mix, op10_jaccard_join, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op4_language_id, op5_url_rules, op7_toxicity, op8_source_mix, op10_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
