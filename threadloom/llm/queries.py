@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, ngram_quality, source_mix, suffix_dedup, toxicity, url_rules
-from .common import table
+from . import decontaminate, jaccard_join, language_id, media_columns, ngram_quality, source_mix, suffix_dedup, toxicity, url_rules, warc
+from .common import shared_dir, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,10 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.media_features(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/media-{uuid.uuid4().hex}")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +45,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op4_language_id, op5_url_rules, op7_toxicity, op8_source_mix, op10_jaccard_join, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op4_language_id, op5_url_rules, op6_media_columns, op7_toxicity, op8_source_mix, op9_warc, op10_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -58,5 +68,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op5_url_rules": url_rules.ORACLE,
         "op8_source_mix": source_mix.ORACLE,
+        "op9_warc": warc.ORACLE,
         "op10_jaccard_join": jaccard_join.ORACLE,
     }
