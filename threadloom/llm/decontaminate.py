@@ -62,12 +62,15 @@ def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], share: int =
 
     tokenised = docs.select("k1", "k2", words(F.col("text")).alias("w"))
     found = docs.select("k1", "k2", F.lit(WINDOW).alias("n"), F.array().cast("array<bigint>").alias("hashes")).limit(0)
-    for n in lengths:
+
+    def hashes_of(n: int):
         if n == WINDOW:
-            of, side = (lambda w: let(run_hashes(w, K), kept_hashes)), long_hashes
-        else:
-            of, side = (lambda w, n=n: F.array_distinct(run_hashes(w, n))), short_hashes.filter(F.col("length") == n)
-        own = tokenised.select("k1", "k2", F.explode(let(F.col("w"), of)).alias("hash")).join(side.select("hash"), "hash", "left_semi")
+            return lambda w: let(run_hashes(w, K), kept_hashes)
+        return lambda w: F.array_distinct(run_hashes(w, n))
+
+    for n in lengths:
+        side = long_hashes if n == WINDOW else short_hashes.filter(F.col("length") == n)
+        own = tokenised.select("k1", "k2", F.explode(let(F.col("w"), hashes_of(n))).alias("hash")).join(side.select("hash"), "hash", "left_semi")
         found = found.unionByName(own.groupBy("k1", "k2").agg(F.collect_set("hash").alias("hashes")).withColumn("n", F.lit(n)))
 
     def occurrences(w: Column) -> Column:
