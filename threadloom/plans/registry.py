@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+from . import q_text
+
+MODULES = (q_text,)
+
+
+
 
 def queries() -> dict:
-    return {}
+    return {name: _texts(q[0]) for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: f"SELECT * REPLACE (week::VARCHAR AS week) FROM ({q[1]})" if len(q) > 2 else q[1] for m in MODULES for name, q in m.QUERIES.items() if q[1]}
+
+
+def _texts(f):
+    """f with dates as text, which every engine prints alike."""
+
+    def query(spark, sf_dir):
+        df = f(spark, sf_dir)
+        return df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "date"})
+
+    return query
