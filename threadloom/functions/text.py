@@ -16,7 +16,7 @@ MASK_TOKENS = ("<URL>", "<USER>", "<EMAIL>", "<PHONE>")
 BREAK = r"(?i)<br\s*/?>"
 TAG = r"<(?!/?(?:URL|USER|EMAIL|PHONE|EMOJI:))[^>]+>"
 SIGNATURES = (
-    r"(?is)\bOn .{0,80}?wrote:.*$",
+    r"(?isU)\bOn .{0,80}?wrote:.*$",
     r"(?i)\n\s*(?:Thanks|Thank you|Regards|Best|Best regards|Sincerely)[,.]?\s*\n[^\n]*$",
     r"(?i)\s*Sent from my \w+\s*$",
     r"\s*\^\s*-?\s*[A-Za-z][\w'-]*\s*$",
@@ -212,14 +212,22 @@ def language_vote(c: Column) -> Column:
     """struct(lang, confidence): the language most of whose function words stand in the text, and its share of all such
     hits; ties go to the first code. Blank texts, and texts without a hit: null and 0."""
     tokens = F.split(F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}]+", " "))), " ")
+    tokens = F.filter(tokens, lambda w: w.isin(*sorted({w for known in STOP_VOTE.values() for w in known.split()})))
 
-    def hits(known: str) -> Column:
-        return F.size(F.filter(tokens, lambda w: w.isin(*known.split())))
+    def hits(some: Column, known: str) -> Column:
+        return F.size(F.filter(some, lambda w: w.isin(*known.split())))
 
-    votes = F.array(*[F.struct(hits(known).alias("n"), F.lit(lang).alias("lang")) for lang, known in sorted(STOP_VOTE.items())])
-    total = F.aggregate(votes, F.lit(0), lambda a, v: a + v["n"])
-    best = F.aggregate(votes, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("lang")), lambda a, v: F.when(v["n"] > a["n"], v).otherwise(a))
-    return F.struct(best["lang"].alias("lang"), F.when(total > 0, best["n"] / total).otherwise(0.0).alias("confidence"))
+    def count(some: Column) -> Column:
+        return F.array(*[F.struct(hits(some, known).alias("n"), F.lit(lang).alias("lang")) for lang, known in sorted(STOP_VOTE.items())])
+
+    votes = F.element_at(F.transform(F.array(tokens), lambda some: count(some)), 1)
+
+    def verdict(v: Column) -> Column:
+        total = F.aggregate(v, F.lit(0), lambda a, x: a + x["n"])
+        best = F.aggregate(v, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("lang")), lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))
+        return F.struct(best["lang"].alias("lang"), F.when(total > 0, best["n"] / total).otherwise(0.0).alias("confidence"))
+
+    return F.element_at(F.transform(F.array(votes), lambda v: verdict(v)), 1)
 
 
 def seeded(ident: Column, seed: int | str) -> Column:

@@ -167,7 +167,7 @@ VOTE_SQL = (
     + ", ".join(f"('{lang}', '{w}')" for lang, s in T.STOP_VOTE.items() for w in s.split())
     + """), n AS (SELECT doc_id, lang, count(*) AS n FROM t JOIN v USING (w) GROUP BY ALL),
 r AS (SELECT doc_id, lang, n / sum(n) OVER (PARTITION BY doc_id) AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS k FROM n)
-SELECT doc_id, lang, round(coalesce(confidence, 0.0), 6) AS confidence FROM documents LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (doc_id)"""
+SELECT doc_id, x.lang, round(coalesce(confidence, 0.0), 6) AS confidence FROM documents LEFT JOIN (SELECT * FROM r WHERE k = 1) x USING (doc_id)"""
 )
 
 TOKENS = """list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"""
@@ -183,7 +183,7 @@ QUERIES = {
     "strip_html": (strip_html, f"SELECT page_id, length({SPACED.format(STRIPPED)})::INT AS n, md5({SPACED.format(STRIPPED)}) AS digest FROM pages"),
     "strip_signatures": (strip_signatures, """
 WITH s AS (SELECT doc_id, text || (['\\nThanks,\\nAnn', '\\nSent from my phone', ' ^AB ', '\\nOn Monday Bob wrote:\\n> hello'])[(doc_id % 4 + 1)::INT] AS t FROM (SELECT doc_id, text FROM documents)),
-a AS (SELECT doc_id, regexp_replace(t, '\\bOn .{0,80}?wrote:.*$', '', 'is') AS t FROM s),
+a AS (SELECT doc_id, regexp_replace(t, '(^|[^\\p{L}\\p{N}_])On .{0,80}?wrote:.*$', '\\1', 'is') AS t FROM s),
 b AS (SELECT doc_id, regexp_replace(t, '\\n\\s*(?:Thanks|Thank you|Regards|Best|Best regards|Sincerely)[,.]?\\s*\\n[^\\n]*$', '', 'i') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(t, '\\s*Sent from my \\w+\\s*$', '', 'i') AS t FROM b),
 e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\s*\\^\\s*-?\\s*[A-Za-z][\\w''-]*\\s*$', ''), '\\s+$', '') AS t FROM c)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_text
+from . import q_text, q_threads
 
-MODULES = (q_text,)
+MODULES = (q_text, q_threads)
 
 
 
