@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,9 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stage(df: DataFrame) -> DataFrame:
     """df, written once as Parquet under the shared folder and read back: lineage ends, columns can be pruned."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files of the jobs now over go when the driver's JVM collects their plans
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
