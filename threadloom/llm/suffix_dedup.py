@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     docs = docs.select("row", *row_key("id"), "text")
     found = stage(docs.select("k1", "k2", "text").mapInArrow(text_anchors, "k1 long, k2 long, run long, place int, first int, last int"))
-    twice = found.groupBy("run").agg(F.count("*").alias("k")).filter("k > 1").select("run")
+    twice = stage(found.groupBy("run").agg(F.count("*").alias("k")).filter("k > 1").select("run"))  # a table, so that the join can split hot runs
     live = found.join(twice, "run").groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "place", "first", "last")).alias("anchors"))
     around = docs.join(live, ["k1", "k2"]).select("row", "k1", "k2", "text", "anchors")
     distinct = around.mapInArrow(contexts, "run long, left int, digest binary, context binary").groupBy("run", "left", "digest").agg(F.first("context").alias("context"), F.count("*").alias("n"))
