@@ -274,7 +274,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = owner.groupBy("label").agg(F.min("least").alias("first"))
     owner = owner.join(first, "label").select("c", F.col("first"))
     owner = classes.select("c", "least").join(owner, "c", "left").select("c", F.coalesce("first", "least").alias("component_id"))
-    out = sizes.join(owner, "c", "left")
+    out = sizes.join(cut(owner), "c", "left")  # a table, so that the join can split the rows of a class of many copies
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
