@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_sampling, q_spans, q_text, q_threads
+from . import q_sampling, q_serve, q_spans, q_text, q_threads
 
-MODULES = (q_text, q_threads, q_sampling, q_spans)
+MODULES = (q_text, q_threads, q_sampling, q_spans, q_serve)
 
 
 
