@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_sampling, q_serve, q_spans, q_text, q_threads
+from . import q_sampling, q_serve, q_sources, q_spans, q_text, q_threads
 
-MODULES = (q_text, q_threads, q_sampling, q_spans, q_serve)
+MODULES = (q_text, q_threads, q_sampling, q_spans, q_serve, q_sources)
 
 
 
