@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df; sets its session's Arrow batches to 1,000 rows unless a size was chosen, for texts are long and a batch is in memory whole, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder."""
     shared_dir(df.sparkSession)

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import cut
+from .common import cut, short_batches
 from .components import components
 
 SHINGLE = 5
 #: Shingles a packed batch, a shard and a block hold at about most.
-BATCH, SHARD, BLOCK = 2_000_000, 4_000_000, 32_000
+BATCH, SHARD, BLOCK = 1_000_000, 4_000_000, 32_000
 BYTES = poly_hash.values(10)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 WORD_MARK = np.uint64(0x5555AAAA5555AAAA)
@@ -257,7 +257,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     get the least id of their component, null if none has one. Repeated rows are copies like any other. An empty table gives
     no rows. Other columns of docs are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sizes = cut(docs.mapInArrow(set_sizes, "doc_id long, n long, c long"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD)

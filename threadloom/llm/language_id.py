@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import held_out
+from .common import held_out, short_batches
 
 BITS, DIM, GRAMS = 15, 16, (1, 2, 3, 4)
 #: Texts of each language that training sees at most, and languages it tells apart at most.
@@ -111,7 +111,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     Of each of the LANGUAGES most frequent languages, the rows with the least hash of their id are taken.
     """
-    known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").filter(~held_out())
+    known = short_batches(docs).filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").filter(~held_out())
     languages = [r[0] for r in known.groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "lang").limit(LANGUAGES).collect()]
     ids = None
     for lang in languages:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .common import short_batches
 from .shared_files import listing, put, task_number
 
 WIDTH = 192
@@ -207,7 +208,7 @@ def media_features(docs: DataFrame, folder: str) -> DataFrame:
     Null texts count as empty, one row of spaces. Null ids come back as null, repeated rows as often as they are there. An
     empty table writes nothing and gives no rows. Other columns are ignored. A member that stays unreadable is an error.
     """
-    write_archives(docs, folder)
+    write_archives(short_batches(docs), folder)
     media = read_archives(docs.sparkSession, folder)
     sound = media.select("member", F.when(F.col("error").isNull(), F.col("media")).otherwise(F.raise_error(F.concat("archive", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "error"))).alias("media"))
     return sound.mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

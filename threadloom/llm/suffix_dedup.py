@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import row_key, stage
+from .common import row_key, short_batches, stage
 
 LENGTH, GRAM = 400, 200
 #: Distinct contexts of one anchor run that a task sorts; further ones are dealt out by window.
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     on the input. Null texts count as empty; texts under LENGTH bytes stay whole; repeated rows are copies and go whole if
     long enough. An empty table gives no rows. Columns of any name may come along.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(short_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     docs = docs.select("row", *row_key("id"), "text")
     found = stage(docs.select("k1", "k2", "text").mapInArrow(text_anchors, "k1 long, k2 long, run long, place int, first int, last int"))

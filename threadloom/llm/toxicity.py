@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import held_out
+from .common import held_out, short_batches
 
 BITS = 20
 #: Labelled rows that the learner sees at most.
@@ -79,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     """
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # rows ids at most
+    texts = short_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # rows ids at most
     found = texts.select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, places array<int>").toArrow()
     data = list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), (x.values.to_numpy() for x in found.column(2)), strict=True))
     if not data:
