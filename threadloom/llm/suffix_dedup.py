@@ -25,7 +25,7 @@ from . import poly_hash
 from .common import row_key, short_batches, stage
 
 LENGTH, GRAM = 400, 200
-#: Distinct contexts of one anchor run that a task sorts; further ones are dealt out by window.
+#: Distinct contexts of one anchor run that a task sorts; runs with more are dealt out by window.
 MOST = 2048
 BYTES, OTHER = poly_hash.values(20), poly_hash.values(21)
 PLACE = np.uint64((1 << 28) - 1)
@@ -67,13 +67,25 @@ def text_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, k1, k2, text, anchors) to one row a context: (run, left, digest, context), left the bytes before the anchor."""
+    """(row, k1, k2, text, anchors) to (run, left, digest, context, n): n equal contexts of a part of the task, left the bytes before the anchor."""
+    types = {"run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "context": pa.binary(), "n": pa.int64()}
+    held: dict[tuple, list] = {}
+    size = 0
     for b in batches:
-        out = []
         for text, found in zip(b.column("text").to_pylist(), b.column("anchors").to_pylist(), strict=True):
             raw = text.encode()
-            out += [(a["run"], a["place"] - a["first"], digest(c := raw[a["first"] : a["last"] + LENGTH]), c) for a in found]
-        yield _batch(out, {"run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "context": pa.binary()})
+            for a in found:
+                c = raw[a["first"] : a["last"] + LENGTH]
+                key = (a["run"], a["place"] - a["first"], digest(c))
+                if key in held:
+                    held[key][1] += 1
+                else:
+                    held[key] = [c, 1]
+                    size += len(c)
+        if size > 8_000_000:
+            yield _batch([(*k, *v) for k, v in held.items()], types)
+            held, size = {}, 0
+    yield _batch([(*k, *v) for k, v in held.items()], types)
 
 
 def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -202,24 +214,46 @@ SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 VERDICT = {"run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "spans": SPANS}
 
 
-def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (run, left, digest, context, n) sorted by run, to (run, left, digest, spans) for contexts that repeat something."""
+def sorter(most: int):
+    """Rows (run, left, digest, context, n) sorted by run, to (run, left, digest, spans) for contexts that repeat something; a
+    run of more than most contexts gives one row without digest and spans instead."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
+    def solve(groups: list[tuple[int, dict]]) -> pa.RecordBatch:
+        rows = [(run, *k, *v) for run, held in groups for k, v in held.items()]
         found = repeated_windows(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64), [r[3] for r in rows])
         return _batch([(*r[:3], [{"first": a, "last": b} for a, b in s]) for r, s in zip(rows, found, strict=True) if s], VERDICT)
 
-    held: list[tuple] = []
-    size = 0
-    for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if size > 4_000_000 and row[0] != held[-1][0]:
-                yield solve(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    if held:
-        yield solve(held)
+    def alone(held: dict) -> bool:
+        return len(held) == 1 and next(iter(held.values()))[1] == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, held, at, size, crowded = [], {}, None, 0, []
+        for b in batches:
+            for key, left, dig, context, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if key != at:
+                    if held and not alone(held):
+                        groups.append((at, held))
+                        size += sum(len(v[0]) for v in held.values())
+                    held, at = {}, key
+                    if size > 2_000_000:
+                        yield solve(groups)
+                        groups, size = [], 0
+                if crowded and crowded[-1] == key:
+                    continue
+                if (left, dig) in held:
+                    held[left, dig][1] += n
+                else:
+                    held[left, dig] = [context, n]
+                    if len(held) > most:
+                        crowded.append(key)
+                        held = {}
+        if held and not alone(held):
+            groups.append((at, held))
+        if groups:
+            yield solve(groups)
+        yield _batch([(r, None, None, None) for r in crowded], VERDICT)
+
+    return run
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,16 +333,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = stage(found.groupBy("run").agg(F.count("*").alias("k")).filter("k > 1").select("run"))  # a table, so that the join can split hot runs
     live = found.join(twice, "run").groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "place", "first", "last")).alias("anchors"))
     around = docs.join(live, ["k1", "k2"]).select("row", "k1", "k2", "text", "anchors")
-    distinct = around.mapInArrow(contexts, "run long, left int, digest binary, context binary").groupBy("run", "left", "digest").agg(F.first("context").alias("context"), F.count("*").alias("n"))
-    distinct = stage(distinct)
-    crowds = distinct.groupBy("run").agg(F.count("*").alias("k"), F.sum("n").alias("all")).filter("all > 1")
-    small = distinct.join(crowds.filter(F.col("k") <= most).select("run"), "run").select("run", "left", "digest", "context", "n")
-    verdict = small.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(sort_contexts, "run long, left int, digest binary, spans array<struct<first:int,last:int>>")
-    large = crowds.filter(F.col("k") > most).select("run")
-    each = distinct.join(large, "run").select("run", "left", "digest", "context", "n").mapInArrow(windows, "run long, left int, digest binary, n long, at int, w1 long, w2 long")
-    again = each.groupBy("run", "w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").drop("k")
-    spread = each.join(again, ["run", "w1", "w2"]).groupBy("run", "left", "digest").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("spans"))
-    verdict = verdict.unionByName(spread)
+    shape = "run long, left int, digest binary, context binary, n long"
+    by_run = around.mapInArrow(contexts, shape).repartition(parts, "run").sortWithinPartitions("run")
+    solved = stage(by_run.mapInArrow(sorter(most), "run long, left int, digest binary, spans array<struct<first:int,last:int>>"))
+    verdict, large = solved.filter("digest IS NOT NULL"), solved.filter("digest IS NULL").select("run")
+    if not large.isEmpty():
+        each = around.mapInArrow(contexts, shape).join(large, "run").groupBy("run", "left", "digest").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
+        each = each.select("run", "left", "digest", "context", "n").mapInArrow(windows, "run long, left int, digest binary, n long, at int, w1 long, w2 long")
+        again = each.groupBy("run", "w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").drop("k")
+        spread = each.join(again, ["run", "w1", "w2"]).groupBy("run", "left", "digest").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("spans"))
+        verdict = verdict.unionByName(spread)
     starts = around.mapInArrow(marks, "k1 long, k2 long, run long, left int, digest binary, first int").join(verdict, ["run", "left", "digest"])
     moved = F.transform("spans", lambda x: F.struct((F.col("first") + x["first"]).alias("first"), (F.col("first") + x["last"]).alias("last")))
     starts = starts.select("k1", "k2", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("starts"))
