@@ -29,7 +29,7 @@ from .components import components
 
 SHINGLE = 5
 #: Shingles a packed batch, a shard and a block hold at about most.
-BATCH, SHARD, BLOCK = 1_000_000, 4_000_000, 32_000
+BATCH, SHARD, BLOCK = 600_000, 1_500_000, 32_000
 BYTES = poly_hash.values(10)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 WORD_MARK = np.uint64(0x5555AAAA5555AAAA)
