@@ -32,16 +32,21 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): every node of edges (a, b) with the least node that it reaches.
 
-    Each round joins every node with its least neighbour, jumps once more, and keeps the edges between different labels; the
-    nodes left at least halve. Rounds are cut by checkpoints. Self-edges keep a node; no edges give no rows.
+    Each round points every node to its least neighbour, follows the pointers to their roots, and keeps the edges between
+    different roots; the nodes left at least halve. Rounds are cut by checkpoints. Self-edges keep a node; no edges give no rows.
     """
     edges = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contract, "a long, b long").distinct())
     labels = None
     while True:
         both = edges.union(edges.select("b", "a"))
         up = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
-        top = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        jumped = up.join(top, "p").select(F.col("a").alias("x"), F.col("q").alias("y"))
+        while True:  # jumps double, so a chain of any length ends at its root after a logarithm of them
+            top = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            nearer = cut(up.join(top, "p").select("a", "p", "q"))
+            up = nearer.select("a", F.col("q").alias("p"))
+            if nearer.filter("p <> q").isEmpty():
+                break
+        jumped = up.toDF("x", "y")
         if labels is None:
             labels = cut(jumped.toDF("node", "label"))
         else:
