@@ -29,14 +29,19 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): the least node that each node reaches. Rounds of least neighbour and one jump, each cut by a checkpoint,
-    shrink the graph to the edges between different labels until none is left."""
+    """(id, root): the least node that each node reaches. Each round points every node to its least neighbour, follows the
+    pointers by doubling jumps to their roots, and keeps the edges between different roots, until none is left."""
     edges = _cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct())
     labels = nodes.select("id").union(edges.select("a")).union(edges.select("b")).distinct().withColumn("root", F.col("id"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         up = _cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
-        jump = up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select(F.col("a").alias("x"), F.col("q").alias("y"))
+        while True:
+            nearer = _cut(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", "p", "q"))
+            up = nearer.select("a", F.col("q").alias("p"))
+            if nearer.filter("p <> q").isEmpty():
+                break
+        jump = up.toDF("x", "y")
         labels = _cut(labels.join(jump, F.col("root") == F.col("x"), "left").select("id", F.coalesce("y", "root").alias("root")))
         moved = edges.join(jump.toDF("a", "la"), "a").join(jump.toDF("b", "lb"), "b")
         edges = _cut(moved.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b").distinct())
