@@ -125,7 +125,7 @@ def test_quality_model_and_cut(spark, corpus, docs, none):
     assert Counter((str(r.doc_id), r.kept) for r in got) == Counter((str(r[0]), k) for r, k in zip(corpus, kept, strict=True))
     assert ngram_quality.quality_report(none, ids).count() == 0
     assert ngram_quality.quality_report(docs, ids.limit(0)).filter("kept").count() == sum(n > 0 for n, _ in scored)
-    noise = docs.select("doc_id", F.lit("#$% $$ &&& ***").alias("text"), "lang", F.lit(1).alias("kept"))
+    noise = docs.select(F.lit(5000).alias("doc_id"), F.lit("#$% $$ &&& *** " * 10).alias("text"), "lang", F.lit(1).alias("kept"))
     assert ngram_quality.keep_fluent(docs.select("doc_id", "text", "lang", F.lit(1).alias("kept")).unionByName(noise.limit(3)), ids).filter("text LIKE '#%'").count() == 0
 
 
