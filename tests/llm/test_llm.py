@@ -129,6 +129,23 @@ def test_quality_model_and_cut(spark, corpus, docs, none):
     assert ngram_quality.keep_fluent(docs.select("doc_id", "text", "lang", F.lit(1).alias("kept")).unionByName(noise.limit(3)), ids).filter("text LIKE '#%'").count() == 0
 
 
+def test_quality_tells_scripts_beyond_latin_apart(spark):
+    rng = random.Random(4)
+    data = []
+    for k, (lang, first, n) in enumerate((("ru", 0x430, 32), ("el", 0x3B1, 24), ("zh", 0x4E00, 40), ("x", 0x20000, 40))):
+        letters = [chr(first + i) for i in range(n)]
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(40)]
+        prose = lambda: " ".join(rng.choice(words) for _ in range(120))
+        data += [(1000 * k + i, prose(), lang) for i in range(60)]
+        data += [(1000 * k + 500 + i, "".join(rng.choice(letters) for _ in range(500)), lang) for i in range(5)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    ids = frame.filter("doc_id % 1000 < 40").select("doc_id")
+    got = ngram_quality.quality_report(frame, ids).collect()
+    assert {r.doc_id for r in got if not r.kept} == {d for d, *_ in data if d % 1000 >= 500}
+    scored = {d: (n, s) for (d, *_), (n, s) in zip(data, brute.perplexities([t for d, t, _ in data if d % 1000 < 40], [t for _, t, _ in data]), strict=True)}
+    assert all(r.n_symbols == scored[r.doc_id][0] and abs(np.log(r.perplexity) - scored[r.doc_id][1] / r.n_symbols) < 1e-5 for r in got)
+
+
 def test_distribution_sums_to_one():
     g = np.unique(np.random.default_rng(2).integers(0, 64**4, 500))
     p = np.exp(ngram_quality.kneser_ney(g, np.arange(1, len(g) + 1)).astype(np.float64)).reshape(-1, 64).sum(axis=1)

@@ -1,22 +1,26 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity cuts by language.
 
-Texts become sequences of 64 symbols, and the model has order 4, so that all n-grams number 64**4 at most whatever the
-corpus: counts are summed by n-gram in shards, over all trusted text, and the table that scoring joins with has a proven
-bound of 2**24 entries. Every document is scored symbol by symbol, whole. The cut of a language is a quantile of its
-trusted documents' perplexities, with a margin.
+Texts become sequences of symbols, and the model has order 4. Latin letters, digits and marks share 63 symbols; every other
+code point is a symbol of its own, so that there is no bound on the number of n-grams. Counts are summed by n-gram in shards,
+over all trusted text, and stay tables: nothing of the model is gathered or broadcast. Documents are dealt to chunks by hash;
+the distinct n-grams of a chunk are joined with the counts of all orders, and what comes back scores each of its documents
+symbol by symbol, whole. The cut of a language is a quantile of its trusted documents' perplexities, with a margin.
 """
 
 from __future__ import annotations
 
-import uuid
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import cut, short_batches
+from . import poly_hash
+from .common import cut, short_batches, stage
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -24,10 +28,14 @@ SYMBOLS = 1 << BITS
 PRIOR = 30.0
 QUANTILE, MARGIN = 0.99, 1.25
 CHUNK = 1_000_000
+#: Characters of a chunk of documents, whose distinct n-grams are joined with the counts once.
+DEALT = 12_000_000
+#: Bits of a symbol in an n-gram of any script.
+WIDE = 21
 
 
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point below 512; 0 a space, 1-26 small letters, 27 capitals, 28 digits, then marks and accented letters; 63 anything else."""
+    """Symbol of each code point below 512; 0 a space, 1-26 small letters, 27 capitals, 28 digits, then marks and accented letters; 63 what else there is."""
     t = np.full(512, 63, np.uint8)
     t[[9, 10, 11, 12, 13, 32]] = 0
     t[97:123] = np.arange(1, 27)
@@ -45,10 +53,11 @@ TABLE = symbol_table()
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """Symbols of a text; runs of spaces are one, none at the ends."""
+    """Symbols of a text; runs of spaces are one, none at the ends. A code point above 511 is a symbol of its own, from 64 on."""
     code = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
-    s = TABLE[np.minimum(code, 511)]
-    s[code > 511] = 63
+    s = TABLE[np.minimum(code, 511)].astype(np.uint32)
+    other = code > 511
+    s[other] = code[other] - 512 + SYMBOLS
     blank = s == 0
     keep = ~blank
     keep[1:] |= ~blank[:-1]
@@ -56,25 +65,45 @@ def symbols(text: str | None) -> np.ndarray:
     return s[(1 if len(s) and s[0] == 0 else 0) : (len(s) - 1 if len(s) > 1 and s[-1] == 0 else len(s))]
 
 
-def ngrams(s: np.ndarray) -> np.ndarray:
-    """For each symbol the code of it and the three before, as if spaces stood before the text."""
-    p = np.concatenate([np.zeros(ORDER - 1, np.uint32), s.astype(np.uint32)])
+def ngrams(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(h, g) for each symbol: the third symbol before it, and it with the two before, as if spaces stood before the text."""
+    p = np.concatenate([np.zeros(ORDER - 1, np.int64), s.astype(np.int64)])
     n = len(s)
-    return (p[:n] << 18) | (p[1 : n + 1] << 12) | (p[2 : n + 2] << 6) | p[3:]
+    return p[:n], (p[1 : n + 1] << 2 * WIDE) | (p[2 : n + 2] << WIDE) | p[3:]
+
+
+def keys(h: np.ndarray, g: np.ndarray, wide: bool) -> np.ndarray:
+    """A 64-bit number for each 4-gram: its four symbols where none is wide (16 bits or more), a hash otherwise."""
+    if wide:
+        return poly_hash.mix(g.astype(np.uint64) ^ poly_hash.mix(h.astype(np.uint64)))
+    low = (1 << WIDE) - 1
+    return ((h << 48) | ((g >> 2 * WIDE) << 32) | (((g >> WIDE) & low) << 16) | (g & low)).astype(np.uint64)
+
+
+def is_wide(h: np.ndarray, g: np.ndarray) -> bool:
+    high = ((1 << WIDE) - 1) ^ 0xFFFF
+    return bool(len(g) and (np.bitwise_or.reduce(h) & high or np.bitwise_or.reduce(g) & (high | high << WIDE | high << 2 * WIDE)))
+
+
+def distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (h, g), and how often each is there."""
+    h, g = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, at, k = np.unique(keys(h, g, is_wide(h, g)), return_index=True, return_counts=True)
+    return h[at], g[at], k
 
 
 def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text to (g, k): partial counts."""
+    """text to (h, g, k): partial counts."""
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        g, k = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(k.astype(np.int64))], ["g", "k"])
+    def counted(held: list) -> pa.RecordBatch:
+        h, g, k = distinct(held)
+        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int32)), pa.array(g), pa.array(k.astype(np.int64))], ["h", "g", "k"])
 
     held, n = [], 0
     for b in batches:
         for t in b.column(0):
             held.append(ngrams(symbols(t.as_py())))
-            n += len(held[-1])
+            n += len(held[-1][0])
             if n >= CHUNK:
                 yield counted(held)
                 held, n = [], 0
@@ -98,7 +127,8 @@ def interpolated(c: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(g: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """log p(last symbol | the three before) of every 4-gram, as a dense table, from the counts k of the distinct 4-grams g.
+    """log p(last symbol | the three before) of every 4-gram over 64 symbols, as a dense table, from the counts k of the
+    distinct 4-grams g: the model of log_p() in small, by which tests see that probabilities sum to 1.
 
     Interpolated, with modified discounts: at each order the counts 1, 2 and more are lowered by their own discount, and
     what that frees in a context is spread by the next lower order, whose counts are numbers of distinct predecessors; the
@@ -124,48 +154,96 @@ def kneser_ney(g: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
-_model: dict[str, np.ndarray] = {}
-
+def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, g, c): the counts of all 4-grams of all trusted texts."""
+    rows = trusted.select(F.col(text_col).alias("text")).mapInArrow(count_ngrams, "h int, g long, k long").groupBy("h", "g").agg(F.sum("k").alias("c"))
+    return stage(rows)
 
-class Counts:
-    """A broadcast of the 4-grams and their counts, 2**24 at most, known by a name in each worker."""
 
-    def __init__(self, spark, g: np.ndarray, k: np.ndarray):
-        self.name, self.shared = uuid.uuid4().hex, spark.sparkContext.broadcast((g, k))
+def freed(df: DataFrame) -> DataFrame:
+    """df; shuffle files of jobs that are over go when the driver's JVM collects their plans."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
 
-    def table(self) -> np.ndarray:
-        if self.name not in _model:
-            _model.clear()
-            _model[self.name] = kneser_ney(*self.shared.value)
-        return _model[self.name]
 
+def log_p(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """(h, g, lp): log p(last symbol | the three before) of the distinct 4-grams wanted (h, g), as kneser_ney() says it.
 
-def train(trusted: DataFrame, text_col: str = "text") -> Counts:
-    """The counts of all 4-grams of all trusted texts."""
-    rows = trusted.select(F.col(text_col).alias("text")).mapInArrow(count_ngrams, "g int, k long").groupBy("g").agg(F.sum("k").alias("k"))
-    found = rows.toArrow()
-    return Counts(trusted.sparkSession, found.column("g").to_numpy(), found.column("k").to_numpy())
-
-
-def scorer(counts: Counts):
-    """(row, with a text) to (row, n, nll): symbols, and the negative log probability of all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            table, n, nll = counts.table(), [], []
-            for t in b.column("row").field("text"):
-                g = ngrams(symbols(t.as_py()))
-                n.append(len(g))
-                nll.append(-float(table[g].sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n, pa.int64()), pa.array(nll, pa.float64())], ["row", "n", "nll"])
-
-    return run
-
-
-def score(docs: DataFrame, counts: Counts) -> DataFrame:
-    """(row, n, nll) of each row of docs, row a struct of all its columns, a text among them."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(scorer(counts), f"row {rows.schema['row'].dataType.simpleString()}, n long, nll double")
+    At each order n-grams meet their own counts, the sums of their contexts, and the probabilities of the next lower order,
+    all by joins. A symbol that trusted text lacks has 1/64 of what the lowest order spreads.
+    """
+    low_bits = lambda n: F.col("g").bitwiseAND(F.lit((1 << WIDE * n) - 1))
+    tables, want = {ORDER: counts}, {ORDER: wanted}
+    for n in range(ORDER - 1, 0, -1):
+        tables[n] = cut(tables[n + 1].groupBy(low_bits(n).alias("g")).agg(F.count("*").alias("c")))
+        want[n] = want[n + 1].select(low_bits(n).alias("g")).distinct()
+    lower = None
+    for n in range(1, ORDER + 1):
+        key = ["h", "g"] if n == ORDER else ["g"]
+        context = [F.col("h"), F.shiftright("g", WIDE).alias("x")] if n == ORDER else [F.shiftright("g", WIDE).alias("x")]
+        ones = tables[n].agg(*[F.count_if(F.col("c") == i) for i in range(1, 5)]).first()
+        d = [float(x) for x in discounts(list(ones))]
+        less = lambda c, d=d: F.when(c >= 3, d[3]).when(c == 2, d[2]).when(c == 1, d[1]).otherwise(0.0)
+        sums = tables[n].groupBy(*context).agg(F.sum("c").alias("total"), F.sum(less(F.col("c"))).alias("less"))
+        rows = want[n].join(tables[n], key, "left").withColumn("x", F.shiftright("g", WIDE))
+        rows = rows.join(F.broadcast(sums) if n == 1 else sums, ["h", "x"] if n == ORDER else ["x"], "left")  # one row at order 1
+        if lower is None:
+            below: Column = F.lit(1.0 / SYMBOLS)
+        else:
+            rows, below = rows.withColumn("y", low_bits(n - 1)).join(lower.select(F.col("g").alias("y"), F.col("p").alias("below")), "y"), F.col("below")
+        c = F.coalesce("c", F.lit(0))
+        p = F.when(F.col("total") > 0, (c - less(c)) / F.col("total") + F.col("less") / F.col("total") * below).otherwise(below)
+        lower = rows.select(*key, p.alias("p"))
+        if n < ORDER:
+            lower = cut(lower)
+    return lower.select("h", "g", F.log("p").alias("lp"))
+
+
+def distinct_ngrams(chunk: pa.Table) -> pa.Table:
+    """The (chunk, h, g) of all texts of a chunk (chunk, text)."""
+    held, some, n = [], [], 0
+    for t in chunk.column("text"):
+        some.append(ngrams(symbols(t.as_py())))
+        n += len(some[-1][0])
+        if n >= CHUNK:
+            held, some, n = [*held, distinct(some)[:2]], [], 0
+    h, g, _ = distinct([*held, *some])
+    return pa.table({"chunk": np.full(len(g), chunk.column("chunk")[0].as_py(), np.int64), "h": h.astype(np.int32), "g": g})
+
+
+def score_chunk(docs: pa.Table, model: pa.Table) -> pa.Table:
+    """(row, n, nll) of the texts of a chunk: symbols, and the negative log probability of all."""
+    h, g, lp = model.column("h").to_numpy().astype(np.int64), model.column("g").to_numpy(), model.column("lp").to_numpy()
+    wide = is_wide(h, g)
+    known = keys(h, g, wide)
+    order = np.argsort(known)
+    known, lp = known[order], lp[order]
+    n, nll = [], []
+    for t in pc.struct_field(docs.column("row"), "text"):
+        want = keys(*ngrams(symbols(t.as_py())), wide)
+        at = np.searchsorted(known, want)
+        if len(want) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != want).any()):
+            raise ValueError("an n-gram of a document is not in its chunk")
+        n.append(len(want))
+        nll.append(-float(lp[at].sum(dtype=np.float64)) if len(want) else 0.0)
+    return pa.table({"row": docs.column("row"), "n": pa.array(n, pa.int64()), "nll": pa.array(nll, pa.float64())})
+
+
+def dealt(docs: DataFrame, chunks: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
+
+
+def chunk_models(docs: DataFrame, counts: DataFrame, chunks: int) -> DataFrame:
+    """(chunk, h, g, lp): what each chunk of docs (doc_id, text) needs of the model."""
+    grams = stage(freed(docs).filter("text IS NOT NULL").select(dealt(docs, chunks), "text").groupBy("chunk").applyInArrow(distinct_ngrams, "chunk long, h int, g long"))
+    return stage(grams.join(log_p(grams.select("h", "g").distinct(), counts), ["h", "g"]).withColumn("lp", F.col("lp").cast("float")))
+
+
+def score(docs: DataFrame, models: DataFrame, chunks: int) -> DataFrame:
+    """(row, n, nll) of each row of docs, row a struct of all its columns, doc_id and text among them."""
+    rows = docs.select(dealt(docs, chunks), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.groupBy("chunk").cogroup(models.groupBy("chunk")).applyInArrow(score_chunk, StructType([rows.schema["row"], StructField("n", LongType()), StructField("nll", DoubleType())]))
 
 
 def fluency(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -178,7 +256,10 @@ def fluency(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
     """
     ids = trusted_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     counts = train(short_batches(docs).select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"))  # the same plan at every size
-    thin = cut(score(docs.select("doc_id", "lang", "text"), counts).select("row.doc_id", "row.lang", "n", "nll").filter("n > 0").join(ids, "doc_id", "left_semi"))
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT))
+    models = chunk_models(docs.select("doc_id", "text"), counts, chunks)
+    thin = stage(score(freed(docs).select("doc_id", "lang", "text"), models, chunks).select("row.doc_id", "row.lang", "n", "nll").filter("n > 0").join(ids, "doc_id", "left_semi"))
     mean = thin.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
     drawn = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
     near = thin.withColumnRenamed("lang", "l").join(mean.withColumnRenamed("lang", "m"), F.col("l").eqNullSafe(F.col("m"))).select("l", "mean", drawn.alias("drawn"))
@@ -188,7 +269,7 @@ def fluency(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
     every = every.first()
     mean, q = F.coalesce("mean", F.lit(every["mean_all"])), F.coalesce("q", F.lit(every["q_all"])) + F.log(F.lit(margin))
     drawn = (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)
-    out = score(docs, counts).join(cut(cuts), F.col("row.lang").eqNullSafe(F.col("l")), "left")
+    out = score(freed(docs), models, chunks).join(cut(cuts), F.col("row.lang").eqNullSafe(F.col("l")), "left")
     return out.select(
         "row", F.col("n").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(q).alias("cut"),
         ((F.col("n") > 0) & F.coalesce(drawn <= q, F.lit(True))).alias("kept"),
