@@ -90,6 +90,16 @@ def test_jaccard_components(monkeypatch, corpus, docs, none, block):
         assert kept.columns == docs.columns and kept.filter("doc_id IS NULL").count() == 2
 
 
+def test_one_row_of_each_component_stays(spark):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    data = [(7, prose(1), "a")] * 3 + [(9, prose(1), "a"), (9, prose(2), "a"), (7, prose(3), "a")] + [(None, prose(4), x) for x in "aab"] + [(None, prose(4) + " more", "a"), (None, prose(1), "a")]
+    data += [(1, "", "a"), (1, "", "a"), (None, " ", "a"), (None, None, "a")]
+    got = jaccard_join.one_of_each(spark.createDataFrame(data, "doc_id long, text string, k1 string").repartition(4)).collect()
+    with_words = Counter((r.doc_id, r.text.split()[0][:3]) for r in got if (r.text or "").strip())
+    assert with_words == {(7, "w1x"): 1, (9, "w2x"): 1, (7, "w3x"): 1, (None, "w4x"): 1, (None, "w1x"): 1}
+    assert len(got) == 5 + 4
+
+
 def test_links_probe_long_lists():
     rng = np.random.default_rng(0)
     base = np.arange(300)

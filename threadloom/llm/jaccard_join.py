@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import cut, short_batches
+from .common import cut, row_key, short_batches
 from .components import components
 
 SHINGLE = 5
@@ -59,10 +59,10 @@ def digest(s: np.ndarray) -> int:
 
 
 def set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, c): set size and class."""
+    """(doc_id, k2, text) to (doc_id, k2, n, c): set size and class."""
     for b in batches:
-        sets = [shingles(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc_id", "n", "c"])
+        sets = [shingles(t.as_py()) for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc_id", "k2", "n", "c"])
 
 
 def packer(shards: int):
@@ -257,8 +257,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     get the least id of their component, null if none has one. Repeated rows are copies like any other. An empty table gives
     no rows. Other columns of docs are ignored.
     """
-    docs = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = cut(docs.mapInArrow(set_sizes, "doc_id long, n long, c long"))
+    return members(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, k2 of row_key(), n, component_id, label), one row for each row of docs; label tells components apart, with ids or without."""
+    docs = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col)[1], F.col(text_col).alias("text"))
+    sizes = cut(docs.mapInArrow(set_sizes, "doc_id long, k2 long, n long, c long"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD)
     packed = docs.select("text").mapInArrow(packer(shards), "shard int, hi binary, lo binary, at binary, classes binary")
@@ -272,16 +277,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = components(link_classes(candidates)).withColumnsRenamed({"node": "c"})
     owner = classes.select("c", "least").join(linked, "c")
     first = owner.groupBy("label").agg(F.min("least").alias("first"))
-    owner = owner.join(first, "label").select("c", F.col("first"))
-    owner = classes.select("c", "least").join(owner, "c", "left").select("c", F.coalesce("first", "least").alias("component_id"))
+    owner = owner.join(first, "label").select("c", "first", "label")
+    owner = classes.select("c", "least").join(owner, "c", "left").select("c", F.coalesce("first", "least").alias("component_id"), F.coalesce("label", "c").alias("label"))
     out = sizes.join(cut(owner), "c", "left")  # a table, so that the join can split the rows of a class of many copies
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "k2", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the least of their component; rows with a null id stay."""
-    kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """The rows of docs, all columns, that stay: of each component one row, with the least id it has; rows that are there
+    several times, or with other texts under that id, are not kept again. Rows without words stay, and so do rows with a null
+    id in a component that has ids; of a component without any id one row stays.
+    """
+    rows = cut(members(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), "k2", "doc_id", "n", "component_id", "label"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "k1", "k2")).alias("m")
+    one = rows.filter("n > 0").groupBy("label").agg(first).select("m.k1", "m.k2", F.lit(True).alias("once"))
+    others = rows.filter("n = 0 OR doc_id IS NULL AND component_id IS NOT NULL").select("k1", "k2").distinct().withColumn("once", F.lit(False))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key()).join(one.unionByName(others), ["k1", "k2"])
+    own = F.when(F.col("once"), F.lit(-1)).otherwise(F.monotonically_increasing_id()).alias("own")
+    return kept.select("row", "k1", "k2", own).dropDuplicates(["k1", "k2", "own"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
