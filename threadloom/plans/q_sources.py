@@ -29,7 +29,8 @@ def csv_posts(spark, d):
 
 def json_utterances(spark, d):
     docs, path = table(spark, d, "documents"), _folder(spark)
-    docs.select(F.lit("B").alias("flags"), F.substring("text", 1, 80).alias("instruction"), F.col("lang").alias("category"), F.col("source").alias("intent"), F.substring("text", 81, 80).alias("response"), F.col("doc_id").cast("string").alias("id")).write.json(path)
+    half = F.floor(F.length("text") / 2).cast("int")  # the whole text, in two fields
+    docs.select(F.lit("B").alias("flags"), F.substring("text", F.lit(1), half).alias("instruction"), F.col("lang").alias("category"), F.col("source").alias("intent"), F.substring("text", half + 1, F.length("text")).alias("response"), F.col("doc_id").cast("string").alias("id")).write.json(path)
     return A.read_utterances(spark, path, "id").select("ticket_id", "external_id", "seq", "author_role", "intent", F.length("text").alias("n"))
 
 
