@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from threadloom.plans import q_sources
+from threadloom.operators import classify, evaluate
+from threadloom.plans import q_sources, q_spans
 
 
 def test_json_utterances_carries_whole_texts(spark, tmp_path):
@@ -9,3 +10,22 @@ def test_json_utterances_carries_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = q_sources.json_utterances(spark, str(tmp_path)).groupBy("external_id").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
     assert {int(r.external_id): (r.k, r.n) for r in got} == {i: (2, None if t is None else len(t)) for i, t in enumerate(texts)}
+
+
+def test_train_baseline_has_the_whole_vocabulary(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "en", "a text") for i in range(20)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(classify, "train", lambda rows, kind, vocabulary: seen.append(vocabulary) or 1 / 0)
+    try:
+        q_sources.train_baseline(spark, str(tmp_path))
+    except ZeroDivisionError:
+        pass
+    assert seen == [30_000]
+
+
+def test_bootstrap_draws_a_thousand_resamples(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i,) for i in range(30)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    drawn, sequence = [], F.sequence
+    monkeypatch.setattr(evaluate.F, "sequence", lambda a, b, *c: drawn.append(b) or sequence(a, b, *c))
+    r = q_spans.bootstrap_f1(spark, str(tmp_path)).first()
+    assert r.low <= r.f1 <= r.high and spark.range(1).select(drawn[-1]).first()[0] == 1000

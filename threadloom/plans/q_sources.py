@@ -110,7 +110,7 @@ def embedding_table(spark, d):
 
 def train_baseline(spark, d):
     docs = sampling.stratified_split(table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), "text"), "label", "doc_id")
-    return G.train_job(docs, 2000)
+    return G.train_job(docs)
 
 
 def sanitised_labels(spark, d):
