@@ -3,36 +3,40 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests on one machine."""
+    """spark.checkpoint.dir, a folder that driver and executors share. Where that is unset a session on one machine, as in
+    tests, gets a temporary folder; on a cluster it is an error, for executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not found:
-        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-shared-")
-        _own[spark.sparkContext.applicationId] = found
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(found)
     return found
 
 
-def short_batches(df: DataFrame) -> DataFrame:
-    """df; sets its session's Arrow batches to 1,000 rows unless a size was chosen, for texts are long and a batch is in memory whole, in the JVM and in Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, "1000")
-    return df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that what is made of a piece is small; Spark bounds the batches' own bytes."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,12 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stage(df: DataFrame) -> DataFrame:
     """df, written once as Parquet under the shared folder and read back: lineage ends, columns can be pruned."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of the jobs now over go when the driver's JVM collects their plans
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """df, written once under the shared folder as a table bucketed by keys: later joins on keys read it where it lies and
+    shuffle their other side only."""
+    spark = df.sparkSession
+    name, n = f"buckets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolves the table, so that the catalog needs no entry for it any more
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return out
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

@@ -1,14 +1,17 @@
-"""Suffix-array dedup: removes every byte that lies in a LENGTH-byte string which starts anywhere else too.
+"""Suffix-array dedup: removes what lies in a string of `length` units, bytes or words, that starts anywhere else too.
 
-1. Anchors. In each window of LENGTH bytes the run of GRAM bytes with the least hash (the rightmost of equals) is its
-   anchor: equal windows have equal anchors at equal offsets, whatever surrounds them. There is one about every 100 bytes.
-2. Only anchors whose run occurs twice go on. Each then stands for the windows it anchors, with the bytes that they span,
+1. Anchors. In each window of `length` units the run of half as many with the least hash (the rightmost of equals) is its
+   anchor: equal windows have equal anchors at equal offsets, whatever surrounds them.
+2. Only anchors whose run occurs twice go on. Each then stands for the windows it anchors, with the text that they span,
    its context. Equal contexts are counted, not repeated: a thousand copies of a text are one row.
 3. The contexts of one anchor run are sorted as suffixes from the anchor on, by a merge sort whose comparisons find the
    common extension with prefix polynomial hashes and binary search; so are their reversed left parts. The extensions of
    neighbours bound which windows can repeat; those are matched by rank to the right and hash to the left, and each match is
-   verified byte by byte. Runs with very many contexts are dealt out by window instead, and counted.
+   verified unit by unit. Frequent runs are first counted by context; those that still have very many different ones are no
+   task's work: their windows are dealt out by hash, and each match is verified with the context that it was found in.
 4. The repeated windows go back to their documents, where their union is removed.
+
+Texts are shuffled once, into a table bucketed by row; what is joined with it later comes to it.
 """
 
 from __future__ import annotations
@@ -22,25 +25,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import row_key, short_batches, stage
-
-LENGTH, GRAM = 400, 200
-#: Distinct contexts of one anchor run that a task sorts; runs with more are dealt out by window.
-MOST = 2048
-BYTES, OTHER = poly_hash.values(20), poly_hash.values(21)
+from .common import bucketed, row_key, slices, stage
+
+#: The contract's length, in bytes.
+LENGTH = 400
+#: Different contexts of one anchor run that one task sorts at most; where there are more, windows are dealt out instead.
+MOST = 4096
+#: Windows of a text whose anchors are worked out at once.
+STEP = 1 << 22
+BYTES, WORDS = poly_hash.values(20), poly_hash.values(22)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WORD_MARK = np.uint64(0x1234567887654321)
 PLACE = np.uint64((1 << 28) - 1)
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(raw: bytes, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, start, end) of each byte of raw, or of each word: what stands between spaces."""
+    code = np.frombuffer(raw, np.uint8)
+    if unit == "bytes":
+        edges = np.arange(len(code) + 1)
+        return BYTES[code], edges[:-1], edges[1:]
+    solid = ~SPACE[code]
+    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    prefix = poly_hash.prefixes(WORDS[code])
+    return poly_hash.spans(prefix, start, end) ^ WORD_MARK | np.uint64(1), start, end
+
+
+def anchors(values: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the run, place, first window, last window) of each anchor of a text; none if it is shorter than length."""
+    found = [_anchors(values[a : a + STEP + length - 1], length, a) for a in range(0, max(1, len(values) - length + 1), STEP)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(values: np.ndarray, length: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    gram = length // 2
     t = length - gram + 1
-    n = len(raw) - gram + 1
+    n = len(values) - gram + 1
     if n < t:
         return (np.empty(0, np.int64),) * 4
-    prefix = poly_hash.prefixes(BYTES[raw])
-    at = np.arange(n)
+    prefix = poly_hash.prefixes(values)
     h = poly_hash.mix((prefix[gram:] - prefix[:n]) * poly_hash.powers(n, "down"))
-    rank = (h & ~PLACE) | (PLACE - at.astype(np.uint64))
+    rank = (h & ~PLACE) | (PLACE - np.arange(n, dtype=np.uint64))
     rows = -(-n // t) + 1
     padded = np.full(rows * t, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = rank
@@ -53,44 +79,63 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     new[1:] = place[1:] != place[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(place)) - 1
-    return h[place[first]].astype(np.int64), place[first], first, last
+    return h[place[first]].astype(np.int64), place[first] + offset, first + offset, last + offset
 
 
-def text_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], list(types))
+
+
+def text_anchors(length: int, unit: str):
     """(k1, k2, text) to one row an anchor: (k1, k2, run, place, first, last)."""
-    for b in batches:
-        parts = [anchors(np.frombuffer((t.as_py() or "").encode(), np.uint8)) for t in b.column(2)]
-        n = np.array([len(p[0]) for p in parts])
-        keys = [pa.array(np.repeat(b.column(i).to_numpy(zero_copy_only=False), n), pa.int64()) for i in (0, 1)]
-        cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(cols[0]), *[pa.array(c.astype(np.int32)) for c in cols[1:]]], ["k1", "k2", "run", "place", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            parts = [anchors(units(t.as_py().encode(), unit)[0], length) for t in b.column(2)]
+            n = np.array([len(p[0]) for p in parts])
+            keys = [pa.array(np.repeat(b.column(i).to_numpy(zero_copy_only=False), n), pa.int64()) for i in (0, 1)]
+            cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(cols[0]), *[pa.array(c.astype(np.int32)) for c in cols[1:]]], ["k1", "k2", "run", "place", "first", "last"])
+
+    return run
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, k1, k2, text, anchors) to (run, left, digest, context, n): n equal contexts of a part of the task, left the bytes before the anchor."""
+def digest(context: bytes) -> bytes:
+    return hashlib.blake2b(context, digest_size=16).digest()
+
+
+def cuts(text: str, found: list[dict], length: int, unit: str) -> Iterator[tuple[dict, bytes]]:
+    """Each anchor of a text with its context: the text its windows span, words joined by one space."""
+    raw = text.encode()
+    words = raw.split() if unit == "words" else None
+    for a in found:
+        a_to, b_to = a["first"], a["last"] + length
+        yield a, raw[a_to:b_to] if words is None else b" ".join(words[a_to:b_to])
+
+
+def contexts(length: int, unit: str):
+    """(text, anchors) to (run, left, digest, context, n): n equal contexts of a part of the task, left the units before the anchor."""
     types = {"run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "context": pa.binary(), "n": pa.int64()}
-    held: dict[tuple, list] = {}
-    size = 0
-    for b in batches:
-        for text, found in zip(b.column("text").to_pylist(), b.column("anchors").to_pylist(), strict=True):
-            raw = text.encode()
-            for a in found:
-                c = raw[a["first"] : a["last"] + LENGTH]
-                key = (a["run"], a["place"] - a["first"], digest(c))
-                if key in held:
-                    held[key][1] += 1
-                else:
-                    held[key] = [c, 1]
-                    size += len(c)
-        if size > 8_000_000:
-            yield _batch([(*k, *v) for k, v in held.items()], types)
-            held, size = {}, 0
-    yield _batch([(*k, *v) for k, v in held.items()], types)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+        for b in slices(batches):
+            for text, found in zip(b.column("text").to_pylist(), b.column("anchors").to_pylist(), strict=True):
+                for a, c in cuts(text, found, length, unit):
+                    key = (a["run"], a["place"] - a["first"], digest(c))
+                    if key in held:
+                        held[key][1] += 1
+                    else:
+                        held[key] = [c, 1]
+                        size += len(c)
+                if size > 8_000_000:
+                    yield _batch([(*k, *v) for k, v in held.items()], types)
+                    held, size = {}, 0
+        yield _batch([(*k, *v) for k, v in held.items()], types)
 
-def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    cols = zip(*rows, strict=True) if rows else [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], list(types))
+    return run
 
 
 def extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -130,8 +175,8 @@ def suffix_sort(raw: np.ndarray, prefix: np.ndarray, group: np.ndarray, start: n
             x, y = order[live[busy]], order[opens[live[busy]] + mid]
             room = np.minimum(end[x] - start[x], end[y] - start[y])
             e = extension(prefix, start[x], start[y], room)
-            cx = np.where(start[x] + e < end[x], raw[np.minimum(start[x] + e, len(raw) - 1)].astype(np.int16), -1)
-            cy = np.where(start[y] + e < end[y], raw[np.minimum(start[y] + e, len(raw) - 1)].astype(np.int16), -1)
+            cx = np.where(start[x] + e < end[x], raw[np.minimum(start[x] + e, len(raw) - 1)].astype(np.int64), -1)
+            cy = np.where(start[y] + e < end[y], raw[np.minimum(start[y] + e, len(raw) - 1)].astype(np.int64), -1)
             before = np.where(left_run[busy], cy < cx, cy <= cx)  # equal suffixes of the left run stay first
             lo[busy] = np.where(before, mid + 1, lo[busy])
             hi[busy] = np.where(before, hi[busy], mid)
@@ -148,25 +193,34 @@ def suffix_sort(raw: np.ndarray, prefix: np.ndarray, group: np.ndarray, start: n
     return order, shared
 
 
-def repeated_windows(run: np.ndarray, left: np.ndarray, count: np.ndarray, texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+def symbols(texts: list[bytes], unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, value, size): the units of all texts, equal symbols for equal ones, with hash values, and the number of each text."""
+    if unit == "bytes":
+        code = np.frombuffer(b"".join(texts), np.uint8)
+        return code, BYTES[code], np.array([len(t) for t in texts], np.int64)
+    known: dict[bytes, int] = {}
+    words = [t.split() for t in texts]
+    code = np.array([known.setdefault(w, len(known)) for ws in words for w in ws], np.int64)
+    return code, poly_hash.mix(code.astype(np.uint64) + WORD_MARK) | np.uint64(1), np.array([len(ws) for ws in words], np.int64)
+
+
+def repeated_windows(run: np.ndarray, left: np.ndarray, count: np.ndarray, texts: list[bytes], length: int = LENGTH, unit: str = "bytes") -> list[list[tuple[int, int]]]:
     """For each context the intervals [first, last] of window starts, from the context's start, that occur twice.
 
     run is sorted. count > 1: the context itself occurs twice, and so does each of its windows.
     """
     n = len(texts)
-    size = np.array([len(t) for t in texts], np.int64)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+    raw, values, size = symbols(texts, unit)
     base = np.cumsum(size) - size
-    prefix = poly_hash.prefixes(BYTES[raw])
+    prefix = poly_hash.prefixes(values)
     order, shared = suffix_sort(raw, prefix, run, base + left, base + size)
-    mirror = raw[::-1]
-    back = poly_hash.prefixes(BYTES[mirror])
-    turn = len(raw) - base - left  # where a context's left part starts in the mirrored bytes
-    border, same = suffix_sort(mirror, back, run, turn, turn + left)
+    back = poly_hash.prefixes(values[::-1])
+    turn = len(raw) - base - left  # where a context's left part starts in the mirrored text
+    border, same = suffix_sort(raw[::-1], back, run, turn, turn + left)
     right_most, left_most = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for o, s, most in ((order, shared, right_most), (border, same, left_most)):
         most[o] = np.maximum(s, np.append(s[1:], 0))
-    # a window d bytes before the anchor needs d bytes to the left and length - d to the right in common with another
+    # a window d units before the anchor needs d units to the left and length - d to the right in common with another
     windows = size - length + 1
     d_hi = np.minimum(left, left_most)
     d_lo = np.maximum(left - windows + 1, length - right_most)
@@ -176,8 +230,6 @@ def repeated_windows(run: np.ndarray, left: np.ndarray, count: np.ndarray, texts
     if len(todo):
         # the partners of those are all contexts of the same runs that reach as far
         lively = np.isin(run, run[todo])
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
         lo = np.where(full, np.maximum(left - windows + 1, length - right_most), d_lo)
         use = np.flatnonzero(lively & (lo <= d_hi))
         many = d_hi[use] - lo[use] + 1
@@ -188,47 +240,56 @@ def repeated_windows(run: np.ndarray, left: np.ndarray, count: np.ndarray, texts
         by = np.lexsort((key, run[who]))
         who, d, at, key = who[by], d[by], at[by], key[by]
         pair = np.flatnonzero((key[1:] == key[:-1]) & (run[who[1:]] == run[who[:-1]]))
-        real = np.array([bytes(raw[at[i] : at[i] + length]) == bytes(raw[at[i + 1] : at[i + 1] + length]) for i in pair], bool) if len(pair) < 4096 else _equal(raw, at[pair], at[pair + 1], length)
+        real = _equal(raw, at[pair], at[pair + 1], length)
         hit = np.zeros(len(who), bool)
         hit[pair[real]] = hit[pair[real] + 1] = True
         hit &= ~full[who]
         who, first = who[hit], (left[who] - d)[hit]
         by = np.lexsort((first, who))
-        who, first = who[by], first[by]
-        if len(who):
-            new = np.ones(len(who), bool)
-            new[1:] = (who[1:] != who[:-1]) | (first[1:] != first[:-1] + 1)
-            opens = np.flatnonzero(new)
-            for i, j in zip(opens, np.append(opens[1:], len(who)) - 1, strict=True):
-                out[who[i]].append((int(first[i]), int(first[j])))
+        for i, a, b in intervals(who[by], first[by]):
+            out[i].append((a, b))
     return out
 
 
+def intervals(who: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(who, a, b) for each maximal run a, a + 1 ... b of first that belongs to one who; both are sorted."""
+    if not len(who):
+        return
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (first[1:] != first[:-1] + 1)
+    opens = np.flatnonzero(new)
+    for i, j in zip(opens, np.append(opens[1:], len(who)) - 1, strict=True):
+        yield int(who[i]), int(first[i]), int(first[j])
+
+
 def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the bytes at a and b agree over length, compared in blocks."""
+    """Whether the units at a and b agree over length, compared in blocks."""
+    if not len(a):
+        return np.zeros(0, bool)
     view = np.lib.stride_tricks.sliding_window_view(raw, length)
     return np.concatenate([(view[a[i : i + 4096]] == view[b[i : i + 4096]]).all(axis=1) for i in range(0, len(a), 4096)])
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 VERDICT = {"run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "spans": SPANS}
+VERDICT_SHAPE = "run long, left int, digest binary, spans array<struct<first:int,last:int>>"
+CONTEXT_SHAPE = "run long, left int, digest binary, context binary, n long"
 
 
-def sorter(most: int):
-    """Rows (run, left, digest, context, n) sorted by run, to (run, left, digest, spans) for contexts that repeat something; a
-    run of more than most contexts gives one row without digest and spans instead."""
+def sorter(length: int, unit: str):
+    """Rows (run, left, digest, context, n) sorted by run, to (run, left, digest, spans) for contexts that repeat something."""
 
     def solve(groups: list[tuple[int, dict]]) -> pa.RecordBatch:
         rows = [(run, *k, *v) for run, held in groups for k, v in held.items()]
-        found = repeated_windows(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64), [r[3] for r in rows])
+        found = repeated_windows(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64), [r[3] for r in rows], length, unit)
         return _batch([(*r[:3], [{"first": a, "last": b} for a, b in s]) for r, s in zip(rows, found, strict=True) if s], VERDICT)
 
     def alone(held: dict) -> bool:
         return len(held) == 1 and next(iter(held.values()))[1] == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held, at, size, crowded = [], {}, None, 0, []
-        for b in batches:
+        groups, held, at, size = [], {}, None, 0
+        for b in slices(batches):
             for key, left, dig, context, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if key != at:
                     if held and not alone(held):
@@ -238,48 +299,118 @@ def sorter(most: int):
                     if size > 2_000_000:
                         yield solve(groups)
                         groups, size = [], 0
-                if crowded and crowded[-1] == key:
-                    continue
                 if (left, dig) in held:
                     held[left, dig][1] += n
                 else:
                     held[left, dig] = [context, n]
-                    if len(held) > most:
-                        crowded.append(key)
-                        held = {}
         if held and not alone(held):
             groups.append((at, held))
         if groups:
             yield solve(groups)
-        yield _batch([(r, None, None, None) for r in crowded], VERDICT)
 
     return run
 
 
-def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, left, digest, context, n) to one row a window: (run, left, digest, n, at, w1, w2), w1 and w2 two hashes of it."""
-    for b in batches:
-        out = []
-        for run, left, dig, context, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            raw = np.frombuffer(context, np.uint8)
-            at = np.arange(len(raw) - LENGTH + 1)
-            w1, w2 = (poly_hash.spans(poly_hash.prefixes(v[raw]), at, at + LENGTH).astype(np.int64) for v in (BYTES, OTHER))
-            out += [(run, left, dig, n, *w) for w in zip(at.tolist(), w1.tolist(), w2.tolist(), strict=True)]
-        yield _batch(out, {"run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "n": pa.int64(), "at": pa.int32(), "w1": pa.int64(), "w2": pa.int64()})
+def window_hash(code: np.ndarray, values: np.ndarray, length: int) -> np.ndarray:
+    """Signed hashes of all windows of a context."""
+    at = np.arange(len(code) - length + 1)
+    return poly_hash.spans(poly_hash.prefixes(values), at, at + length).astype(np.int64)
 
 
-def digest(context: bytes) -> bytes:
-    return hashlib.blake2b(context, digest_size=16).digest()
+def windows(length: int, unit: str, hashed=window_hash):
+    """(run, left, digest, context, n) to one row a window: (run, left, digest, n, at, w), w a hash of it."""
+    types = {"run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "n": pa.int64(), "at": pa.int32(), "w": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            out = []
+            for run, left, dig, context, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                values = units(context, unit)[0]
+                w = hashed(values, values, length).tolist()
+                out += [(run, left, dig, n, at, x) for at, x in enumerate(w)]
+            yield _batch(out, types)
+
+    return run
 
 
-def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, k1, k2, text, anchors) to one row an anchor: (k1, k2, run, left, digest, first)."""
-    for b in batches:
-        out = []
-        for k1, k2, text, found in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "anchors")), strict=True):
-            raw = text.encode()
-            out += [(k1, k2, a["run"], a["place"] - a["first"], digest(raw[a["first"] : a["last"] + LENGTH]), a["first"]) for a in found]
-        yield _batch(out, {"k1": pa.int64(), "k2": pa.int64(), "run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "first": pa.int32()})
+def window_texts(length: int, unit: str):
+    """(run, left, digest, n, context, at: some window starts) to (run, left, digest, n, at, w), w the window itself."""
+    types = {"run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "n": pa.int64(), "at": pa.int32(), "w": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            out = []
+            for run, left, dig, n, context, starts in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                _, start, end = units(context, unit)
+                out += [(run, left, dig, n, a, context[start[a] : end[a + length - 1]]) for a in starts]
+            yield _batch(out, types)
+
+    return run
+
+
+def verified(length: int, unit: str):
+    """(run, left, digest, context, other, pairs (at, to)) to (run, left, digest, spans, wrong): the windows of context at `at` that
+    stand in other at `to`, and those that do not, for all that their hashes are equal."""
+    types = VERDICT | {"wrong": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            out = []
+            for run, left, dig, context, other, pairs in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                (_, s, e), (_, so, eo) = units(context, unit), units(other, unit)
+                good, wrong = [], []
+                for p in pairs:
+                    a, c = p["at"], p["to"]
+                    (good if context[s[a] : e[a + length - 1]] == other[so[c] : eo[c + length - 1]] else wrong).append(a)
+                spans = [{"first": x, "last": y} for _, x, y in intervals(np.zeros(len(good), int), np.array(sorted(good), int))]
+                out.append((run, left, dig, spans, wrong))
+            yield _batch(out, types)
+
+    return run
+
+
+def dealt_windows(crowded: DataFrame, length: int, unit: str, hashed=window_hash) -> DataFrame:
+    """(run, left, digest, spans) for the contexts of runs that have too many for one task.
+
+    Windows are counted by hash, combined before the shuffle. One context with each repeated hash is its holder, and every
+    other's windows are compared with the holder's text. Hashes under which windows prove different are set aside, and their
+    windows are counted by text.
+    """
+    key = ["run", "left", "digest"]
+    each = stage(crowded.select(*key, "context", "n").mapInArrow(windows(length, unit, hashed), "run long, left int, digest binary, n long, at int, w long"))
+    other = crowded.select("run", F.col("left").alias("hl"), F.col("digest").alias("hd"), F.col("context").alias("other"))
+
+    def tried(each: DataFrame) -> DataFrame:
+        held = stage(each.groupBy("run", "w").agg(F.sum("n").alias("k"), F.min(F.struct("left", "digest", "at")).alias("h")).filter("k > 1").select("run", "w", "h"))
+        pairs = each.join(held, ["run", "w"]).groupBy(*key, F.col("h.left").alias("hl"), F.col("h.digest").alias("hd")).agg(F.collect_list(F.struct("at", F.col("h.at").alias("to"))).alias("pairs"))
+        pairs = pairs.join(crowded.select(*key, "context"), key).join(other, ["run", "hl", "hd"]).select(*key, "context", "other", "pairs")
+        return stage(pairs.mapInArrow(verified(length, unit), VERDICT_SHAPE + ", wrong array<int>"))
+
+    found = tried(each)
+    wrong = found.select(*key, F.explode("wrong").alias("at"))
+    if wrong.isEmpty():
+        return found.filter("size(spans) > 0").select(*key, "spans")
+    aside = stage(each.join(wrong, [*key, "at"]).select("run", "w").distinct())
+    found = tried(each.join(aside, ["run", "w"], "left_anti").select(each.columns)).filter("size(spans) > 0").select(*key, "spans")
+    doubtful = each.join(aside, ["run", "w"]).groupBy(*key).agg(F.first("n").alias("n"), F.collect_list("at").alias("at"))
+    texts = doubtful.join(crowded.select(*key, "context"), key).select(*key, "n", "context", "at").mapInArrow(window_texts(length, unit), "run long, left int, digest binary, n long, at int, w binary")
+    again = texts.groupBy("run", "w").agg(F.sum("n").alias("k")).filter("k > 1").select("run", "w")
+    span = F.struct(F.col("at").alias("first"), F.col("at").alias("last"))
+    return found.unionByName(texts.join(again, ["run", "w"]).groupBy(*key).agg(F.collect_list(span).alias("spans")))
+
+
+def marks(length: int, unit: str):
+    """(k1, k2, text, anchors) to one row an anchor: (k1, k2, run, left, digest, first)."""
+    types = {"k1": pa.int64(), "k2": pa.int64(), "run": pa.int64(), "left": pa.int32(), "digest": pa.binary(), "first": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for k1, k2, text, found in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "anchors")), strict=True):
+                out += [(k1, k2, a["run"], a["place"] - a["first"], digest(c), a["first"]) for a, c in cuts(text, found, length, unit)]
+            yield _batch(out, types)
+
+    return run
 
 
 def _decoded(kept):
@@ -292,14 +423,20 @@ def _decoded(kept):
     return decode(kept)
 
 
-def removed(raw: bytes, starts: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, list[tuple[int, int]]]:
-    """What stays of raw, and the maximal removed runs, if the windows that start in the intervals [first, last] go."""
+def removed(raw: bytes, starts: list[tuple[int, int]], length: int = LENGTH, unit: str = "bytes") -> tuple[bytes, list[tuple[int, int]]]:
+    """What stays of raw, and the maximal removed runs, if the windows that start in the intervals [first, last] go; a word
+    takes the spaces after it along."""
+    if not starts:
+        return raw, []
+    _, start, _ = units(raw, unit)
+    stop = np.append(start[1:], len(raw))
     runs: list[list[int]] = []
     for a, b in sorted(starts):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b + length)
+        x, y = int(start[a]), int(stop[b + length - 1])
+        if runs and x <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], y)
         else:
-            runs.append([a, b + length])
+            runs.append([x, y])
     kept, at = [], 0
     for a, b in runs:
         kept.append(raw[at:a])
@@ -307,47 +444,60 @@ def removed(raw: bytes, starts: list[tuple[int, int]], length: int = LENGTH) ->
     return b"".join([*kept, raw[at:]]), [(a, b) for a, b in runs]
 
 
-def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cleaned(length: int, unit: str):
     """(row, text, starts) to (row, kept, n_bytes, n_removed, n_spans)."""
-    for b in batches:
-        out = []
-        for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
-            raw = text.encode()
-            kept, runs = removed(raw, [(s["first"], s["last"]) for s in starts or ()])
-            out.append((kept, len(raw), len(raw) - len(kept), len(runs)))
-        new = _batch(out, {"kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()})
-        yield pa.RecordBatch.from_arrays([b.column("row"), *new.columns], ["row", *new.schema.names])
+    types = {"kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
+                raw = text.encode()
+                kept, runs = removed(raw, [(s["first"], s["last"]) for s in starts or ()], length, unit)
+                out.append((kept, len(raw), len(raw) - len(kept), len(runs)))
+            new = _batch(out, types)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *new.columns], ["row", *new.schema.names])
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, unit: str = "bytes", most: int = MOST, hashed=window_hash) -> DataFrame:
     """(row, kept, n_bytes, n_removed, n_spans), one row for each row of docs: row a struct of all its columns, kept the bytes left.
 
-    A byte goes if a LENGTH-byte string over it also starts anywhere else, in the same text or another; strings are judged
-    on the input. Null texts count as empty; texts under LENGTH bytes stay whole; repeated rows are copies and go whole if
-    long enough. An empty table gives no rows. Columns of any name may come along.
+    A byte goes if a string of `length` units over it also starts anywhere else, in the same text or another; strings are
+    judged on the input, and every copy goes, the first too. unit "bytes", or "words": what stands between spaces, compared
+    without the spaces. Null texts count as empty; shorter texts stay whole; very long ones are treated whole, in blocks of
+    STEP windows; repeated rows are copies and go whole if long enough. An empty table gives no rows. Columns of any name may
+    come along. most and hashed serve tests.
     """
-    parts = int(short_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    docs = docs.select("row", *row_key("id"), "text")
-    found = stage(docs.select("k1", "k2", "text").mapInArrow(text_anchors, "k1 long, k2 long, run long, place int, first int, last int"))
-    twice = stage(found.groupBy("run").agg(F.count("*").alias("k")).filter("k > 1").select("run"))  # a table, so that the join can split hot runs
-    live = found.join(twice, "run").groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "place", "first", "last")).alias("anchors"))
-    around = docs.join(live, ["k1", "k2"]).select("row", "k1", "k2", "text", "anchors")
-    shape = "run long, left int, digest binary, context binary, n long"
-    by_run = around.mapInArrow(contexts, shape).repartition(parts, "run").sortWithinPartitions("run")
-    solved = stage(by_run.mapInArrow(sorter(most), "run long, left int, digest binary, spans array<struct<first:int,last:int>>"))
-    verdict, large = solved.filter("digest IS NOT NULL"), solved.filter("digest IS NULL").select("run")
-    if not large.isEmpty():
-        each = around.mapInArrow(contexts, shape).join(large, "run").groupBy("run", "left", "digest").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
-        each = each.select("run", "left", "digest", "context", "n").mapInArrow(windows, "run long, left int, digest binary, n long, at int, w1 long, w2 long")
-        again = each.groupBy("run", "w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").drop("k")
-        spread = each.join(again, ["run", "w1", "w2"]).groupBy("run", "left", "digest").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("spans"))
-        verdict = verdict.unionByName(spread)
-    starts = around.mapInArrow(marks, "k1 long, k2 long, run long, left int, digest binary, first int").join(verdict, ["run", "left", "digest"])
+    docs = bucketed(docs.select("row", *row_key("id"), "text"), "k1", "k2")
+    found = stage(docs.select("k1", "k2", "text").mapInArrow(text_anchors(length, unit), "k1 long, k2 long, run long, place int, first int, last int"))
+    twice = stage(found.groupBy("run").agg(F.count("*").alias("k")).filter("k > 1").select("run", (F.col("k") > most).alias("busy")))  # a table, so that the join can split hot runs
+    live = stage(found.join(twice, "run").groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "place", "first", "last", "busy")).alias("anchors")))
+
+    def around(anchors: DataFrame) -> DataFrame:
+        return docs.select("k1", "k2", "text").join(anchors.hint("shuffle_hash"), ["k1", "k2"])
+
+    def found_in(busy: bool) -> DataFrame:
+        some = live.select("k1", "k2", F.filter("anchors", lambda a: a["busy"] == busy).alias("anchors")).filter("size(anchors) > 0")
+        return around(some).select("text", "anchors").mapInArrow(contexts(length, unit), CONTEXT_SHAPE)
+
+    to_sort, dealt = found_in(False), None
+    if not twice.filter("busy").isEmpty():
+        counted = stage(found_in(True).groupBy("run", "left", "digest").agg(F.first("context").alias("context"), F.sum("n").alias("n")))
+        crowds = stage(counted.groupBy("run").agg(F.count("*").alias("k")).filter(F.col("k") > most).select("run"))
+        to_sort = to_sort.unionByName(counted.join(crowds, "run", "left_anti").select(*to_sort.columns))
+        if not crowds.isEmpty():
+            dealt = dealt_windows(stage(counted.join(crowds, "run")), length, unit, hashed)
+    verdict = to_sort.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(sorter(length, unit), VERDICT_SHAPE)
+    verdict = stage(verdict if dealt is None else verdict.unionByName(dealt))
+    starts = around(live).select("k1", "k2", "text", "anchors").mapInArrow(marks(length, unit), "k1 long, k2 long, run long, left int, digest binary, first int").join(verdict, ["run", "left", "digest"])
     moved = F.transform("spans", lambda x: F.struct((F.col("first") + x["first"]).alias("first"), (F.col("first") + x["last"]).alias("last")))
     starts = starts.select("k1", "k2", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("starts"))
     row = docs.schema["row"].dataType.simpleString()
-    return docs.join(starts, ["k1", "k2"], "left").select("row", "text", "starts").mapInArrow(cleaned, f"row {row}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.join(starts.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "starts").mapInArrow(cleaned(length, unit), f"row {row}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -356,9 +506,9 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with its columns, the text cut; broken characters at the cuts go, n_chars follows, and rows left without text, or
-    that never had one, go."""
-    out = remove_repeats(docs).withColumn("text", _decoded(F.col("kept")))
+def without_repeats(docs: DataFrame, length: int = LENGTH, unit: str = "bytes") -> DataFrame:
+    """docs with its columns, the text cut as remove_repeats() says; broken characters at the cuts go, n_chars follows, and rows
+    left without text, or that never had one, go. No copy of a repeated string stays, so a document that is all repeats goes."""
+    out = remove_repeats(docs, length=length, unit=unit).withColumn("text", _decoded(F.col("kept")))
     cols = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return out.filter(F.trim("text") != "").select(*cols)
