@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import held_out, short_batches
+from .common import held_out, slices
 
 BITS = 20
 #: Labelled rows that the learner sees at most.
@@ -45,7 +45,7 @@ def features(text: str | None) -> np.ndarray:
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, y, text) to (doc_id, y, places)."""
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()) for t in b.column(2)], pa.list_(pa.int32()))], ["doc_id", "y", "places"])
 
 
@@ -75,21 +75,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     """A model of labels.toxic over the texts of docs, from rows of which held_out() is false.
 
     The TRAIN_ROWS labels with the least hash of their id are learned from, or all if there are fewer. Null labels and ids
-    are left out; a repeated id counts as toxic if any of its labels does. Without labels every score is that of a bias.
+    are left out; a repeated id counts as toxic if any of its labels does, and each text with that id is learned from. Texts are
+    taken whole, however long; extra columns are ignored. Without labels, or without texts, every score is that of a bias.
     """
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = short_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # rows ids at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # rows ids at most
     found = texts.select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, places array<int>").toArrow()
     data = list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), (x.values.to_numpy() for x in found.column(2)), strict=True))
     if not data:
         return np.empty(0, np.int32), np.empty(0, np.float32), -5.0
-    data.sort(key=lambda r: (r[0] * 2654435761 % 2**32, r[0]))
+    data.sort(key=lambda r: (r[0] * 2654435761 % 2**32, r[0], r[2].tobytes()))  # the same order however rows lie, repeated ids included
     return ftrl([(y, at) for _, y, at in data])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs; texts without words score as the bias says."""
+    """(doc_id, held_out, score, predicted) for each row of docs; texts without words, null ones among them, score
+    as the bias says, very long ones are read whole, repeated rows score alike, and an empty table gives no rows."""
     places, weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((places, weights))  # 2**BITS entries at most
 
