@@ -1,13 +1,14 @@
-"""N-gram Jaccard join: exact components of documents whose word-shingle sets have a Jaccard similarity of 0.75 or more.
+"""N-gram Jaccard join: components of documents whose word-shingle sets have a Jaccard similarity of 0.75 or more.
 
-1. Documents with equal sets form one class, known by a digest; all later steps see a class once.
+1. Documents with equal sets form one class, known by a digest of 128 bits; all later steps see a class once. Shingles are
+   known by hashes of 64 bits.
 2. (shingle, class) pairs, packed in sorted arrays, go to shards by hash range. A shard keeps the shingles of two or more
    classes and their frequency. A class stays a candidate only if 3/4 of its shingles are so shared.
 3. Two linked sets meet in their prefixes: with shingles ordered by frequency, then hash, the first n - ceil(0.75 n) + 1.
    Classes that share a prefix shingle are joined, as stars round the least class of that shingle, into pools.
 4. Each pool is searched for links by T-occurrence search (DivideSkip): a set asks for those in which at least T of its
-   shingles occur; the shortest inverted lists are merged and counted with a lower threshold, and what reaches it is
-   probed in the longest lists by binary search.
+   shingles occur; the shortest inverted lists are merged on a heap, which skips what cannot reach the lowered threshold,
+   and what reaches it is probed in the longest lists by binary search.
 5. A pool too large for one task is cut into blocks by hash. Links are found inside blocks, then among one representative of
    each part that is already linked; last, everything outside the largest part is searched against all blocks of the pool.
    Pairs inside the largest part need no search, so a pool of near copies costs a multiple of its size.
@@ -15,6 +16,8 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import cut, row_key, short_batches
+from .common import cut, row_key, slices
 from .components import components
 
 SHINGLE = 5
@@ -52,41 +55,43 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(poly_hash.spans(prefix, start[: len(start) - k + 1], end[k - 1 :]))
 
 
-def digest(s: np.ndarray) -> int:
-    """A signed 64-bit digest of a set of hashes."""
-    both = np.array([np.sum(poly_hash.mix(s ^ np.uint64(len(s)))), np.sum(poly_hash.mix(s + np.uint64(77)))], np.uint64)
-    return int(poly_hash.mix(both[:1] + (both[1:] << np.uint64(1)))[0].astype(np.int64))
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit digests of a set of hashes."""
+    n = np.array([len(s)], np.uint64)
+    both = np.array([np.sum(poly_hash.mix(s ^ n)), np.sum(poly_hash.mix(s * np.uint64(3) + np.uint64(77)))], np.uint64)
+    both = poly_hash.mix(both + n * np.uint64(0x9E3779B97F4A7C15))
+    return tuple(both.astype(np.int64).tolist())
 
 
 def set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, k2, text) to (doc_id, k2, n, c): set size and class."""
-    for b in batches:
+    """(doc_id, k2, text) to (doc_id, k2, n, c1, c2): set size and class."""
+    for b in slices(batches):
         sets = [shingles(t.as_py()) for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc_id", "k2", "n", "c"])
+        c1, c2 = zip(*map(digest, sets), strict=True)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], ["doc_id", "k2", "n", "c1", "c2"])
 
 
 def packer(shards: int):
-    """text to (shard, hi, lo, at, classes): the sorted 48-bit shingles of a batch that fall to a shard, the upper 16 and lower 32 bits apart, and for each the place of its class in classes."""
+    """text to (shard, tok, at, classes): the sorted shingles of a batch that fall to a shard, and for each the place of its class in classes."""
 
-    def pack(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
-        tok = np.concatenate(list(sets.values())) >> np.uint64(16)
+    def pack(sets: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        tok = np.concatenate(list(sets.values()))
         own = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets.values()])
         order = np.argsort(tok)
         tok, own = tok[order], own[order]
-        classes = np.fromiter(sets, np.int64, len(sets))
-        cuts = np.searchsorted(tok, (np.arange(shards + 1, dtype=object) * 2**48 // shards).astype(np.uint64))
+        classes = np.array(list(sets), np.int64)
+        cuts = np.searchsorted(tok, np.array([i * 2**64 // shards for i in range(shards)], np.uint64))
         rows = []
-        for s in range(shards):
-            t, o = tok[cuts[s] : cuts[s + 1]], own[cuts[s] : cuts[s + 1]]
-            if len(t):
-                used, at = np.unique(o, return_inverse=True)
+        for s, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(tok)), strict=True)):
+            if a < b:
+                used, at = np.unique(own[a:b], return_inverse=True)
                 at = at.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                rows.append((s, (t >> np.uint64(32)).astype(np.uint16).tobytes(), t.astype(np.uint32).tobytes(), at.tobytes(), classes[used].tobytes()))
-        return pa.RecordBatch.from_pylist([dict(zip(("shard", "hi", "lo", "at", "classes"), r, strict=True)) for r in rows], PACKED)
+                rows.append((s, tok[a:b].tobytes(), at.tobytes(), classes[used].tobytes()))
+        return pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in rows], PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, n = {}, 0
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0):
                 s = shingles(t.as_py())
                 if len(s) and (c := digest(s)) not in sets:
@@ -101,18 +106,20 @@ def packer(shards: int):
     return run
 
 
-PACKED = pa.schema([("shard", pa.int32()), ("hi", pa.binary()), ("lo", pa.binary()), ("at", pa.binary()), ("classes", pa.binary())])
+PACKED = pa.schema([("shard", pa.int32()), ("tok", pa.binary()), ("at", pa.binary()), ("classes", pa.binary())])
 
 
 def shared_shingles(shard: pa.Table) -> pa.Table:
-    """The (c, tok, df) of a shard's shingles that two or more classes have."""
-    toks, owners = [], []
-    for hi, lo, at, classes in zip(*(shard.column(k) for k in ("hi", "lo", "at", "classes")), strict=True):
-        low = np.frombuffer(lo.as_py(), np.uint32)
-        toks.append(np.frombuffer(hi.as_py(), np.uint16).astype(np.int64) << 32 | low)
+    """The (c1, c2, tok, df) of a shard's shingles that two or more classes have."""
+    toks, places, classes, n = [], [], [], 0
+    for tok, at, some in zip(*(shard.column(k) for k in ("tok", "at", "classes")), strict=True):
+        toks.append(np.frombuffer(tok.as_py(), np.uint64))
         place = at.as_py()
-        owners.append(np.frombuffer(classes.as_py(), np.int64)[np.frombuffer(place, np.uint16 if len(place) == 2 * len(low) else np.uint32)])
-    tok, own = np.concatenate(toks), np.concatenate(owners)
+        places.append(np.frombuffer(place, np.uint16 if len(place) == 2 * len(toks[-1]) else np.uint32).astype(np.uint32) + np.uint32(n))
+        classes.append(np.frombuffer(some.as_py(), np.dtype((np.void, 16))))
+        n += len(classes[-1])
+    known, ident = np.unique(np.concatenate(classes), return_inverse=True)  # a class may come from several batches
+    tok, own = np.concatenate(toks), ident.astype(np.uint32)[np.concatenate(places)]
     order = np.argsort(tok, kind="stable")
     tok, own = tok[order], own[order]
     again = np.zeros(len(tok), bool)
@@ -123,11 +130,48 @@ def shared_shingles(shard: pa.Table) -> pa.Table:
     order = np.lexsort((own, tok))
     tok, own = tok[order], own[order]
     new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])  # the same class from several batches
+    new[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])
     tok, own = tok[new], own[new]
     _, at, df = np.unique(tok, return_inverse=True, return_counts=True)
     df = df[at] if len(tok) else np.empty(0, np.int64)
-    return pa.table({"c": own[df > 1], "tok": tok[df > 1], "df": df[df > 1].astype(np.int32)})
+    tok, own, df = tok[df > 1], own[df > 1], df[df > 1]
+    names = np.frombuffer(known.tobytes(), np.int64).reshape(-1, 2)[own]
+    return pa.table({"c1": names[:, 0], "c2": names[:, 1], "tok": tok.astype(np.int64), "df": df.astype(np.int32)})
+
+
+def merge_skip(own: list[int], lo: list[int], hi: list[int], need: int, after: int = -1) -> tuple[list[int], list[int]]:
+    """The values over `after` that are in `need` or more of the sorted lists own[lo:hi], and in how many; need is 1 at least.
+
+    Lists are merged on a heap of their heads. A head that is in too few lists is popped together with so many others that
+    fewer than need are left below the new head, to which all of them skip.
+    """
+    k = len(lo)
+    at = [bisect_right(own, after, a, b) for a, b in zip(lo, hi, strict=True)] if after >= 0 else list(lo)
+    heap = [own[a] * k + j for j, (a, b) in enumerate(zip(at, hi, strict=True)) if a < b]
+    heapq.heapify(heap)
+    values, counts = [], []
+    while len(heap) >= need:
+        head = heap[0] // k
+        popped = []
+        while heap and heap[0] < (head + 1) * k:
+            j = heap[0] % k
+            at[j] += 1
+            popped.append(j)
+            if at[j] < hi[j]:
+                heapq.heapreplace(heap, own[at[j]] * k + j)
+            else:
+                heapq.heappop(heap)
+        if len(popped) >= need:
+            values.append(head)
+            counts.append(len(popped))
+        elif len(heap) >= need > 1:
+            ahead = [heapq.heappop(heap) % k for _ in range(need - 1)]
+            to = heap[0] // k
+            for j in ahead:
+                at[j] = bisect_left(own, to, at[j], hi[j])
+                if at[j] < hi[j]:
+                    heapq.heappush(heap, own[at[j]] * k + j)
+    return values, counts
 
 
 def links(query: list[tuple[int, int, np.ndarray]], index: list[tuple[int, int, np.ndarray]] | None = None) -> list[tuple[int, int]]:
@@ -141,6 +185,7 @@ def links(query: list[tuple[int, int, np.ndarray]], index: list[tuple[int, int,
     own = np.repeat(np.arange(len(sets)), [len(t) for _, _, t in sets])
     order = np.argsort(tok, kind="stable")
     lists, own = tok[order], own[order]
+    flat = own.tolist()
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -152,25 +197,24 @@ def links(query: list[tuple[int, int, np.ndarray]], index: list[tuple[int, int,
     for q, (c, n, t) in enumerate(query):
         lo, hi = np.searchsorted(lists, t), np.searchsorted(lists, t, "right")
         size = hi - lo
-        lo, hi = lo[np.argsort(size)], hi[np.argsort(size)]
+        by = np.argsort(size)
+        lo, hi = lo[by], hi[by]
         least = -(-3 * n // 4)
         longest = int(size.max(initial=0))
         long = min(least - 1, int(least / (0.01 * log2(max(2, longest)) + 1))) if longest > 8 else 0  # DivideSkip's number of lists that are probed
         short = len(t) - long
-        count = np.zeros(0, np.int64)
-        merged = _gather(own, lo[:short], hi[:short])
-        found, count = np.unique(merged, return_counts=True)
-        keep = count >= least - long
-        found, count = found[keep], count[keep]
-        if index is None:
-            found, count = found[found > q], count[found > q]
-        for a, b in zip(lo[short:], hi[short:], strict=True):
+        if short < least - long:
+            continue
+        found, count = merge_skip(flat, lo[:short].tolist(), hi[:short].tolist(), least - long, q if index is None else -1)
+        found, count = np.array(found, np.int64), np.array(count, np.int64)
+        for i, (a, b) in enumerate(zip(lo[short:], hi[short:], strict=True)):
+            keep = count + (long - i) >= least  # what can still get there
+            found, count = found[keep], count[keep]
             if not len(found):
                 break
-            run = own[a:b]
-            at = np.minimum(np.searchsorted(run, found), len(run) - 1) if len(run) else None
-            if at is not None:
-                count = count + (run[at] == found)
+            if a < b:
+                run = own[a:b]
+                count = count + (run[np.minimum(np.searchsorted(run, found), len(run) - 1)] == found)
         for j in found[7 * count >= 3 * (n + sizes[found])]:
             d = sets[j][0]
             if c != d and (x := root(c)) != (y := root(d)):
@@ -179,13 +223,6 @@ def links(query: list[tuple[int, int, np.ndarray]], index: list[tuple[int, int,
     return out
 
 
-def _gather(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The concatenation of values[lo[i]:hi[i]]."""
-    n = hi - lo
-    total = int(n.sum())
-    return values[np.repeat(hi - np.cumsum(n), n) + np.arange(total)] if total else values[:0]
-
-
 def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (pool, block), of (pool, block, side, c, n, toks): links of each block, of side 1 against side 0 if there is a side 1."""
     key, group = None, ([], [])
@@ -254,45 +291,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
     Null, empty and blank texts: n_shingles 0, linked with nothing, component_id their own doc_id. Null ids take part, and
-    get the least id of their component, null if none has one. Repeated rows are copies like any other. An empty table gives
-    no rows. Other columns of docs are ignored.
+    get the least id of their component, null if none has one. Repeated rows are copies like any other. Very long texts take
+    part whole. An empty table gives no rows. Other columns of docs are ignored.
     """
     return members(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, k2 of row_key(), n, component_id, label), one row for each row of docs; label tells components apart, with ids or without."""
-    docs = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col)[1], F.col(text_col).alias("text"))
-    sizes = cut(docs.mapInArrow(set_sizes, "doc_id long, k2 long, n long, c long"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col)[1], F.col(text_col).alias("text"))
+    sizes = cut(docs.mapInArrow(set_sizes, "doc_id long, k2 long, n long, c1 long, c2 long"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD)
-    packed = docs.select("text").mapInArrow(packer(shards), "shard int, hi binary, lo binary, at binary, classes binary")
-    shared = packed.groupBy("shard").applyInArrow(shared_shingles, "c long, tok long, df int")
-    classes = sizes.filter("n > 0").groupBy("c").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
+    packed = docs.select("text").mapInArrow(packer(shards), "shard int, tok binary, at binary, classes binary")
+    shared = packed.groupBy("shard").applyInArrow(shared_shingles, "c1 long, c2 long, tok long, df int")
+    classes = sizes.filter("n > 0").groupBy("c1", "c2").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
     toks = F.transform(F.array_sort("toks"), lambda x: x["tok"])
     least = -F.floor(-F.col("n") * 3 / 4)
-    candidates = shared.groupBy("c").agg(F.collect_list(F.struct("df", "tok")).alias("toks")).join(classes.select("c", "n"), "c").filter(F.size("toks") >= least)
+    candidates = shared.groupBy("c1", "c2").agg(F.collect_list(F.struct("df", "tok")).alias("toks")).join(classes.select("c1", "c2", "n"), ["c1", "c2"]).filter(F.size("toks") >= least)
     prefix = F.size("toks") - least + 1
-    candidates = cut(candidates.select("c", "n", toks.alias("toks"), prefix.cast("int").alias("prefix")))
-    linked = components(link_classes(candidates)).withColumnsRenamed({"node": "c"})
-    owner = classes.select("c", "least").join(linked, "c")
+    candidates = cut(candidates.select("c1", "c2", F.monotonically_increasing_id().alias("c"), "n", toks.alias("toks"), prefix.cast("int").alias("prefix")))
+    linked = components(link_classes(candidates.select("c", "n", "toks", "prefix"))).withColumnRenamed("node", "c")
+    owner = candidates.select("c", "c1", "c2").join(linked, "c").join(classes.select("c1", "c2", "least"), ["c1", "c2"])
     first = owner.groupBy("label").agg(F.min("least").alias("first"))
-    owner = owner.join(first, "label").select("c", "first", "label")
-    owner = classes.select("c", "least").join(owner, "c", "left").select("c", F.coalesce("first", "least").alias("component_id"), F.coalesce("label", "c").alias("label"))
-    out = sizes.join(cut(owner), "c", "left")  # a table, so that the join can split the rows of a class of many copies
+    owner = owner.join(first, "label").select("c1", "c2", "first", F.concat_ws(" ", F.lit("part"), "label").alias("label"))
+    owner = classes.select("c1", "c2", "least").join(owner, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("first", "least").alias("component_id"), F.coalesce("label", F.concat_ws(" ", "c1", "c2")).alias("label"))
+    out = sizes.join(cut(owner), ["c1", "c2"], "left")  # a table, so that the join can split the rows of a class of many copies
     return out.select("doc_id", "k2", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stay: of each component one row, with the least id it has; rows that are there
-    several times, or with other texts under that id, are not kept again. Rows without words stay, and so do rows with a null
-    id in a component that has ids; of a component without any id one row stays.
-    """
-    rows = cut(members(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), "k2", "doc_id", "n", "component_id", "label"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "k1", "k2")).alias("m")
-    one = rows.filter("n > 0").groupBy("label").agg(first).select("m.k1", "m.k2", F.lit(True).alias("once"))
-    others = rows.filter("n = 0 OR doc_id IS NULL AND component_id IS NOT NULL").select("k1", "k2").distinct().withColumn("once", F.lit(False))
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key()).join(one.unionByName(others), ["k1", "k2"])
+    """The rows of docs, all columns, that stay: of each component one row, that with the least id, null ids last; among rows of
+    one id the text with the least hash, among equal rows any. Rows without words are linked with nothing and stay."""
+    rows = cut(members(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), "k2", "doc_id", "n", "label"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "k1", "k2")).alias("m")
+    one = rows.filter("n > 0").groupBy("label").agg(least).select("m.k1", "m.k2", F.lit(True).alias("once"))
+    blank = rows.filter("n = 0").select("k1", "k2").distinct().withColumn("once", F.lit(False))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key()).join(one.unionByName(blank), ["k1", "k2"])
     own = F.when(F.col("once"), F.lit(-1)).otherwise(F.monotonically_increasing_id()).alias("own")
     return kept.select("row", "k1", "k2", own).dropDuplicates(["k1", "k2", "own"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
