@@ -1,15 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity cuts by language.
 
 Texts become sequences of symbols, and the model has order 4. Latin letters, digits and marks share 63 symbols; every other
-code point is a symbol of its own, so that there is no bound on the number of n-grams. Counts are summed by n-gram in shards,
-over all trusted text, and stay tables: nothing of the model is gathered or broadcast. Documents are dealt to chunks by hash;
-the distinct n-grams of a chunk are joined with the counts of all orders, and what comes back scores each of its documents
-symbol by symbol, whole. The cut of a language is a quantile of its trusted documents' perplexities, with a margin.
+code point is a symbol of its own, so that there is no bound on the number of n-grams. Documents are dealt to chunks by hash
+of their id, in compressed packs, into a table bucketed by chunk: the only time that text is shuffled. One pass over it counts
+the distinct n-grams of each chunk, those of trusted text with their counts. Counts are summed by n-gram in shards, over all trusted text,
+and stay tables: nothing of the model is gathered or broadcast. The n-grams of all chunks are joined with the counts of all
+orders, and what comes back to a chunk scores each of its documents symbol by symbol, whole. The cut of a language is a
+quantile of its trusted documents' perplexities, with a margin; those texts are also the ones learned from, so the margin
+stands for what the model gains on its own text.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import poly_hash
-from .common import cut, short_batches, stage
+from .common import bucketed, cut, row_key, slices, stage
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -29,7 +31,9 @@ PRIOR = 30.0
 QUANTILE, MARGIN = 0.99, 1.25
 CHUNK = 1_000_000
 #: Characters of a chunk of documents, whose distinct n-grams are joined with the counts once.
-DEALT = 12_000_000
+DEALT = 8_000_000
+#: Bytes of rows that one task packs at once.
+PACKED = 16_000_000
 #: Bits of a symbol in an n-gram of any script.
 WIDE = 21
 
@@ -92,23 +96,70 @@ def distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return h[at], g[at], k
 
 
-def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text to (h, g, k): partial counts."""
-
-    def counted(held: list) -> pa.RecordBatch:
-        h, g, k = distinct(held)
-        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int32)), pa.array(g), pa.array(k.astype(np.int64))], ["h", "g", "k"])
-
-    held, n = [], 0
-    for b in batches:
-        for t in b.column(0):
-            held.append(ngrams(symbols(t.as_py())))
-            n += len(held[-1][0])
-            if n >= CHUNK:
-                yield counted(held)
-                held, n = [], 0
-    if n:
-        yield counted(held)
+def packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, id, k1, k2, text) to (chunk, pack): the rows of a part of the task that are dealt to a chunk, as compressed Arrow."""
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        chunk = rows.column(0).to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        rows, chunk = rows.take(pa.array(order)).combine_chunks(), chunk[order]
+        opens = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        out = []
+        for a, b in zip(opens, np.append(opens[1:], len(chunk)), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(rows.slice(a, b - a))
+            out.append((int(chunk[a]), sink.getvalue().to_pybytes()))
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], ["chunk", "pack"])
+
+    held, size = [], 0
+    for b in slices(batches):
+        held.append(b)
+        size += b.nbytes
+        if size > PACKED:
+            yield packs(held)
+            held, size = [], 0
+    if sum(map(len, held)):
+        yield packs(held)
+
+
+def unpacked(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows (chunk, id, k1, k2, text) of a chunk's packs."""
+    for pack in chunk.column("pack"):
+        yield from pa.ipc.open_stream(pack.as_py())
+
+
+def chunk_ngrams(docs: pa.Table, trusted: pa.Table) -> pa.Table:
+    """The (chunk, h, g, k) of all texts of a chunk: its distinct 4-grams, and how often trusted texts have each."""
+    ids = trusted.column("id").combine_chunks()
+    total: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    held: dict[bool, list] = {True: [], False: []}
+    size = {True: 0, False: 0}
+    for rows in unpacked(docs):
+        for t, own in zip(rows.column("text"), pc.is_in(rows.column("id"), value_set=ids).to_pylist(), strict=True):
+            held[own].append(ngrams(symbols(t.as_py())))
+            size[own] += len(held[own][-1][0])
+            if size[own] >= CHUNK:
+                total = merged(total, distinct(held[own]), own)
+                held[own], size[own] = [], 0
+    for own in (True, False):
+        if size[own]:
+            total = merged(total, distinct(held[own]), own)
+    h, g, k = total if total else (np.empty(0, np.int64),) * 3
+    chunk = np.full(len(g), docs.column("chunk")[0].as_py() if len(docs) else 0, np.int64)
+    return pa.table({"chunk": chunk, "h": h.astype(np.int32), "g": g.astype(np.int64), "k": k.astype(np.int64)})
+
+
+def merged(total: tuple | None, new: tuple, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of both, counts added; those of new are 0 unless counted."""
+    h, g, k = new
+    k = k if counted else np.zeros_like(k)
+    if total is None:
+        return h, g, k
+    h, g, k = (np.concatenate([x, y]) for x, y in zip(total, (h, g, k), strict=True))
+    _, at, back = np.unique(keys(h, g, is_wide(h, g)), return_index=True, return_inverse=True)
+    return h[at], g[at], np.bincount(back, weights=k, minlength=len(at)).astype(np.int64)
 
 
 def discounts(ones: list[float]) -> np.ndarray:
@@ -154,19 +205,6 @@ def kneser_ney(g: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """(h, g, c): the counts of all 4-grams of all trusted texts."""
-    rows = trusted.select(F.col(text_col).alias("text")).mapInArrow(count_ngrams, "h int, g long, k long").groupBy("h", "g").agg(F.sum("k").alias("c"))
-    return stage(rows)
-
-
-def freed(df: DataFrame) -> DataFrame:
-    """df; shuffle files of jobs that are over go when the driver's JVM collects their plans."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return df
-
-
 def log_p(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """(h, g, lp): log p(last symbol | the three before) of the distinct 4-grams wanted (h, g), as kneser_ney() says it.
 
@@ -200,79 +238,77 @@ def log_p(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     return lower.select("h", "g", F.log("p").alias("lp"))
 
 
-def distinct_ngrams(chunk: pa.Table) -> pa.Table:
-    """The (chunk, h, g) of all texts of a chunk (chunk, text)."""
-    held, some, n = [], [], 0
-    for t in chunk.column("text"):
-        some.append(ngrams(symbols(t.as_py())))
-        n += len(some[-1][0])
-        if n >= CHUNK:
-            held, some, n = [*held, distinct(some)[:2]], [], 0
-    h, g, _ = distinct([*held, *some])
-    return pa.table({"chunk": np.full(len(g), chunk.column("chunk")[0].as_py(), np.int64), "h": h.astype(np.int32), "g": g})
-
-
 def score_chunk(docs: pa.Table, model: pa.Table) -> pa.Table:
-    """(row, n, nll) of the texts of a chunk: symbols, and the negative log probability of all."""
+    """(k1, k2, n, nll) of the texts of a chunk: symbols, and the negative log probability of all."""
     h, g, lp = model.column("h").to_numpy().astype(np.int64), model.column("g").to_numpy(), model.column("lp").to_numpy()
     wide = is_wide(h, g)
     known = keys(h, g, wide)
     order = np.argsort(known)
     known, lp = known[order], lp[order]
     n, nll = [], []
-    for t in pc.struct_field(docs.column("row"), "text"):
-        want = keys(*ngrams(symbols(t.as_py())), wide)
-        at = np.searchsorted(known, want)
-        if len(want) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != want).any()):
-            raise ValueError("an n-gram of a document is not in its chunk")
-        n.append(len(want))
-        nll.append(-float(lp[at].sum(dtype=np.float64)) if len(want) else 0.0)
-    return pa.table({"row": docs.column("row"), "n": pa.array(n, pa.int64()), "nll": pa.array(nll, pa.float64())})
-
-
-def dealt(docs: DataFrame, chunks: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-
-
-def chunk_models(docs: DataFrame, counts: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, h, g, lp): what each chunk of docs (doc_id, text) needs of the model."""
-    grams = stage(freed(docs).filter("text IS NOT NULL").select(dealt(docs, chunks), "text").groupBy("chunk").applyInArrow(distinct_ngrams, "chunk long, h int, g long"))
-    return stage(grams.join(log_p(grams.select("h", "g").distinct(), counts), ["h", "g"]).withColumn("lp", F.col("lp").cast("float")))
-
-
-def score(docs: DataFrame, models: DataFrame, chunks: int) -> DataFrame:
-    """(row, n, nll) of each row of docs, row a struct of all its columns, doc_id and text among them."""
-    rows = docs.select(dealt(docs, chunks), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.groupBy("chunk").cogroup(models.groupBy("chunk")).applyInArrow(score_chunk, StructType([rows.schema["row"], StructField("n", LongType()), StructField("nll", DoubleType())]))
+    k1, k2 = [], []
+    for rows in unpacked(docs):
+        k1 += rows.column("k1").to_pylist()
+        k2 += rows.column("k2").to_pylist()
+        for t in rows.column("text"):
+            want = keys(*ngrams(symbols(t.as_py())), wide)
+            at = np.searchsorted(known, want)
+            if len(want) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != want).any()):
+                raise ValueError("an n-gram of a document is not in its chunk")
+            n.append(len(want))
+            nll.append(-float(lp[at].sum(dtype=np.float64)) if len(want) else 0.0)
+    return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "n": pa.array(n, pa.int64()), "nll": pa.array(nll, pa.float64())})
+
+
+def dealt(docs: DataFrame, chunks: int) -> DataFrame:
+    """(chunk, pack), bucketed by chunk: the rows of docs (doc_id, text) with text; null ids are dealt by text."""
+    chunk = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(chunks)).alias("chunk")
+    rows = docs.filter("text IS NOT NULL").select(chunk, F.col("doc_id").cast("long").alias("id"), *row_key(), "text")
+    return bucketed(rows.mapInArrow(packer, "chunk long, pack binary"), "chunk")
+
+
+def scores(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(k1, k2, n, nll) of each row of docs (doc_id, text) that has text, by a model of the texts of ids (doc_id, distinct, no null)."""
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks = -(-total // DEALT) or 1
+    texts = dealt(docs, chunks)
+    marked = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("id"))
+    grams = stage(texts.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(chunk_ngrams, "chunk long, h int, g long, k long"))
+    every = stage(grams.groupBy("h", "g").agg(F.sum("k").alias("c")))
+    lp = stage(log_p(every.select("h", "g"), every.filter("c > 0")).withColumn("lp", F.col("lp").cast("float")))
+    models = grams.select("chunk", "h", "g").join(lp, ["h", "g"])
+    return stage(texts.groupBy("chunk").cogroup(models.groupBy("chunk")).applyInArrow(score_chunk, "k1 long, k2 long, n long, nll double"))
 
 
 def fluency(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(row, n_symbols, perplexity, cut, kept): every row of docs (doc_id, text, lang and any more) with its verdict.
+    """(row, n_symbols, perplexity, cut, kept): every row of docs (doc_id, text, lang and any more) with its verdict; row is a
+    struct of its columns.
 
     trusted_ids: the doc_id of texts to learn from and to set the cuts by, repeats allowed. A document is kept if its
     perplexity a symbol, drawn towards its language's mean by PRIOR symbols, is at most margin times the quantile of that of
     the trusted ones of its language, or of all trusted ones where it has none; null is a language. Null, empty and blank
-    texts have no perplexity and are not kept. Without any trusted text, all others are.
+    texts have no perplexity and are not kept. Without any trusted text, all others are. Very long texts are scored whole.
+    Repeated rows, and null ids, are scored like others; a null id is never trusted. Empty tables give no rows.
     """
     ids = trusted_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    counts = train(short_batches(docs).select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"))  # the same plan at every size
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT))
-    models = chunk_models(docs.select("doc_id", "text"), counts, chunks)
-    thin = stage(score(freed(docs).select("doc_id", "lang", "text"), models, chunks).select("row.doc_id", "row.lang", "n", "nll").filter("n > 0").join(ids, "doc_id", "left_semi"))
+    scored = scores(docs.select("doc_id", "text"), ids)
+    once = scored.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("nll").alias("nll"))  # repeated rows have one score
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key()).join(once, ["k1", "k2"], "left")
+    thin = docs.select("doc_id", "lang", *row_key()).join(once.filter("n > 0"), ["k1", "k2"])
+    thin = stage(thin.join(ids.hint("merge"), "doc_id", "left_semi").select("lang", "n", "nll"))
     mean = thin.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
     drawn = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
     near = thin.withColumnRenamed("lang", "l").join(mean.withColumnRenamed("lang", "m"), F.col("l").eqNullSafe(F.col("m"))).select("l", "mean", drawn.alias("drawn"))
     cuts = near.groupBy("l").agg(F.first("mean").alias("mean"), F.percentile_approx("drawn", quantile, 10000).alias("q"))
-    every = thin.agg((F.sum("nll") / F.sum("n")).alias("mean_all"))
-    every = thin.crossJoin(F.broadcast(every)).agg(F.first("mean_all").alias("mean_all"), F.percentile_approx((F.col("nll") + PRIOR * F.col("mean_all")) / (F.col("n") + PRIOR), quantile, 10000).alias("q_all"))
-    every = every.first()
-    mean, q = F.coalesce("mean", F.lit(every["mean_all"])), F.coalesce("q", F.lit(every["q_all"])) + F.log(F.lit(margin))
+    mean_all = thin.agg((F.sum("nll") / F.sum("n")).alias("mean_all")).first()[0]
+    q_all = thin.agg(F.percentile_approx((F.col("nll") + PRIOR * F.lit(mean_all)) / (F.col("n") + PRIOR), quantile, 10000)).first()[0]
+    mean, q = F.coalesce("mean", F.lit(mean_all).cast("double")), F.coalesce("q", F.lit(q_all).cast("double")) + F.log(F.lit(margin))
     drawn = (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)
-    out = score(freed(docs), models, chunks).join(cut(cuts), F.col("row.lang").eqNullSafe(F.col("l")), "left")
+    out = rows.join(cut(cuts), F.col("row.lang").eqNullSafe(F.col("l")), "left")
+    n = F.coalesce("n", F.lit(0).cast("long"))
     return out.select(
-        "row", F.col("n").alias("n_symbols"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(q).alias("cut"),
-        ((F.col("n") > 0) & F.coalesce(drawn <= q, F.lit(True))).alias("kept"),
+        "row", n.alias("n_symbols"), F.when(n > 0, F.exp(F.col("nll") / n)).alias("perplexity"), F.exp(q).alias("cut"),
+        ((n > 0) & F.coalesce(drawn <= q, F.lit(True))).alias("kept"),
     )
 
 
@@ -286,5 +322,5 @@ def keep_fluent(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_symbols, perplexity, cut, kept) for each row of docs."""
+    """(doc_id, lang, n_symbols, perplexity, cut, kept) for each row of docs; no text is carried along."""
     return fluency(docs.select("doc_id", "lang", "text"), trusted_ids).select("row.doc_id", "row.lang", "n_symbols", "perplexity", "cut", "kept")
