@@ -5,8 +5,6 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from threadloom.llm import ngram_quality
-
 
 def ascii_lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
@@ -46,12 +44,43 @@ def repeats(texts, length=400):
     return out
 
 
+def repeated_words(texts, length=51):
+    """What stays of each text without the words in any run of length words that starts anywhere else too, and the spaces after them."""
+    found = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    seen = Counter(tuple(m[0] for m in w[i : i + length]) for w in found for i in range(len(w) - length + 1))
+    out = []
+    for t, w in zip(texts, found, strict=True):
+        gone = {j for i in range(len(w) - length + 1) if seen[tuple(m[0] for m in w[i : i + length])] > 1 for j in range(i, i + length)}
+        stop = [m.start() for m in w[1:]] + [len(t or "")] * bool(w)
+        out.append((t or "")[: w[0].start() if w else None] + "".join(t[m.start() : e] for i, (m, e) in enumerate(zip(w, stop, strict=True)) if i not in gone))
+    return out
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def one_of_each(docs):
+    """Places of the rows that stay of (doc_id, text): one of each component, the least id first, null ids last; all without words."""
+    label = _labels(docs)
+    first = {}
+    for i, (d, t) in enumerate(docs):
+        if shingles(t):
+            first[label[i]] = min((d is None, d or 0, i), first.get(label[i], (True, float("inf"), i)))
+    return [i for i, (d, t) in enumerate(docs) if not shingles(t) or first[label[i]][2] == i]
+
+
 def components(docs):
+    sets = [shingles(t) for _, t in docs]
+    label, least = _labels(docs), {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[label[i]] = min(d, least.get(label[i], d))
+    return [(d, len(s), least.get(label[i]) if s else d) for i, ((d, _), s) in enumerate(zip(docs, sets, strict=True))]
+
+
+def _labels(docs):
     sets = [shingles(t) for _, t in docs]
     part = list(range(len(docs)))
 
@@ -65,24 +94,52 @@ def components(docs):
             n = len(sets[i] & sets[j])
             if sets[i] and sets[j] and 100 * n >= 75 * len(sets[i] | sets[j]):
                 part[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(docs):
-        if d is not None:
-            least[root(i)] = min(d, least.get(root(i), d))
-    return [(d, len(s), least.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(docs, sets, strict=True))]
+    return [root(i) for i in range(len(docs))]
+
+
+PRIOR, QUANTILE, MARGIN = 30.0, 0.99, 1.25
+GROUPS = [" \t\n\v\f\r", *"abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",", "!?", ";:", "'´`", "-_", "()[]{}", '"', "#$%&*+/<=>@\\^|~"]
+
+
+def symbol(c):
+    """A space, a letter, or a class of characters; code points from 0xDF to 0xFF are told apart up to the 25th, and those over 511 always."""
+    for i, group in enumerate(GROUPS):
+        if c in group:
+            return i
+    o = ord(c)
+    if 0xC0 <= o < 0xDF:
+        return 27
+    if 0xDF <= o <= 0xFF:
+        return 38 + min(o - 0xDF, 24)
+    return 63 if o < 512 else o
+
+
+def symbols(t):
+    s = [symbol(c) for c in t or ""]
+    s = [x for i, x in enumerate(s) if x or i == 0 or s[i - 1]]
+    s = s[1:] if s[:1] == [0] else s
+    return s[:-1] if s[-1:] == [0] and len(s) > 1 else s
+
+
+def discounts(n1, n2, n3, n4):
+    """Discounts of the counts 0, 1, 2 and more as Chen and Goodman have them, kept inside (0, count)."""
+    n = [max(1.0, float(x)) for x in (n1, n2, n3, n4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+    return [0.0] + [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
 
 
 def perplexities(trusted, texts):
     """(n, nll) of each text under a modified Kneser-Ney model of order 4, from dictionaries."""
 
     def grams(t):
-        s = [0, 0, 0, *map(int, ngram_quality.symbols(t))]
+        s = [0, 0, 0, *symbols(t)]
         return [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
 
     counts = {4: Counter(g for t in trusted for g in grams(t))}
     for n in (3, 2, 1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
-    cut = {n: ngram_quality.discounts([sum(c == i for c in counts[n].values()) for i in range(1, 5)]) for n in counts}
+    cut = {n: discounts(*[sum(c == i for c in counts[n].values()) for i in range(1, 5)]) for n in counts}
     rows = defaultdict(dict)
     for n in counts:
         for g, c in counts[n].items():
@@ -122,12 +179,12 @@ def kept_by_quality(docs, trusted_ids):
     for lang in {k[0] for k in known}:
         mine = [(n, s) for k, n, s in known if k == lang]
         mean = sum(s for _, s in mine) / sum(n for n, _ in mine)
-        drawn = sorted((s + ngram_quality.PRIOR * mean) / (n + ngram_quality.PRIOR) for n, s in mine)
-        cuts[lang] = mean, drawn[max(0, math.ceil(ngram_quality.QUANTILE * len(drawn)) - 1)] + math.log(ngram_quality.MARGIN)
+        drawn = sorted((s + PRIOR * mean) / (n + PRIOR) for n, s in mine)
+        cuts[lang] = mean, drawn[max(0, math.ceil(QUANTILE * len(drawn)) - 1)] + math.log(MARGIN)
     out = []
     for (_, _, lang), (n, s) in zip(docs, scored, strict=True):
         mean, top = cuts[lang]
-        out.append(n > 0 and (s + ngram_quality.PRIOR * mean) / (n + ngram_quality.PRIOR) <= top)
+        out.append(n > 0 and (s + PRIOR * mean) / (n + PRIOR) <= top)
     return out
 
 
