@@ -72,21 +72,23 @@ def set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packer(shards: int):
-    """text to (shard, tok, at, classes): the sorted shingles of a batch that fall to a shard, and for each the place of its class in classes."""
+    """text to (shard, high, middle, low, at, classes): the sorted shingles of a batch that fall to a shard, their upper bits, which
+    compress well, apart, and for each the place of its class in classes."""
 
     def pack(sets: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
         tok = np.concatenate(list(sets.values()))
         own = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets.values()])
         order = np.argsort(tok)
         tok, own = tok[order], own[order]
-        classes = np.array(list(sets), np.int64)
+        classes = np.array(list(sets), np.int64).view(CLASS).ravel()
         cuts = np.searchsorted(tok, np.array([i * 2**64 // shards for i in range(shards)], np.uint64))
         rows = []
         for s, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(tok)), strict=True)):
             if a < b:
                 used, at = np.unique(own[a:b], return_inverse=True)
                 at = at.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                rows.append((s, tok[a:b].tobytes(), at.tobytes(), classes[used].tobytes()))
+                t = tok[a:b]
+                rows.append((s, *((t >> np.uint64(shift)).astype(kind).tobytes() for _, shift, kind in PIECES), at.tobytes(), classes[used].tobytes()))
         return pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in rows], PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,21 +108,24 @@ def packer(shards: int):
     return run
 
 
-PACKED = pa.schema([("shard", pa.int32()), ("tok", pa.binary()), ("at", pa.binary()), ("classes", pa.binary())])
+CLASS = np.dtype((np.void, 16))
+PIECES = (("high", 48, np.uint16), ("middle", 32, np.uint16), ("low", 0, np.uint32))
+PACKED = pa.schema([("shard", pa.int32()), *((name, pa.binary()) for name, _, _ in PIECES), ("at", pa.binary()), ("classes", pa.binary())])
 
 
 def shared_shingles(shard: pa.Table) -> pa.Table:
     """The (c1, c2, tok, df) of a shard's shingles that two or more classes have."""
     toks, places, classes, n = [], [], [], 0
-    for tok, at, some in zip(*(shard.column(k) for k in ("tok", "at", "classes")), strict=True):
-        toks.append(np.frombuffer(tok.as_py(), np.uint64))
+    for *pieces, at, some in zip(*(shard.column(k) for k in PACKED.names[1:]), strict=True):
+        toks.append(sum(np.frombuffer(x.as_py(), kind).astype(np.uint64) << np.uint64(shift) for x, (_, shift, kind) in zip(pieces, PIECES, strict=True)))
         place = at.as_py()
         places.append(np.frombuffer(place, np.uint16 if len(place) == 2 * len(toks[-1]) else np.uint32).astype(np.uint32) + np.uint32(n))
-        classes.append(np.frombuffer(some.as_py(), np.dtype((np.void, 16))))
+        classes.append(np.frombuffer(some.as_py(), CLASS))
         n += len(classes[-1])
     known, ident = np.unique(np.concatenate(classes), return_inverse=True)  # a class may come from several batches
     tok, own = np.concatenate(toks), ident.astype(np.uint32)[np.concatenate(places)]
-    order = np.argsort(tok, kind="stable")
+    del toks, places, classes, ident
+    order = np.argsort(tok)
     tok, own = tok[order], own[order]
     again = np.zeros(len(tok), bool)
     again[1:] = tok[1:] == tok[:-1]
@@ -303,7 +308,7 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sizes = cut(docs.mapInArrow(set_sizes, "doc_id long, k2 long, n long, c1 long, c2 long"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD)
-    packed = docs.select("text").mapInArrow(packer(shards), "shard int, tok binary, at binary, classes binary")
+    packed = docs.select("text").mapInArrow(packer(shards), "shard int, high binary, middle binary, low binary, at binary, classes binary")
     shared = packed.groupBy("shard").applyInArrow(shared_shingles, "c1 long, c2 long, tok long, df int")
     classes = sizes.filter("n > 0").groupBy("c1", "c2").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
     toks = F.transform(F.array_sort("toks"), lambda x: x["tok"])
