@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch in registered queries.
+BATCH = "4m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,16 +57,29 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, *keys: str) -> DataFrame:
-    """df, written once under the shared folder as a table bucketed by keys: later joins on keys read it where it lies and
-    shuffle their other side only."""
+def bucketed(df: DataFrame, *keys: str) -> tuple[DataFrame, str]:
+    """df, written once under the shared folder as a table bucketed by keys, and the table's name: later joins on keys read it
+    where it lies and shuffle their other side only. discard() frees it; else it stays as long as the folder does."""
     spark = df.sparkSession
-    name, n = f"buckets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
-    out = spark.table(name)
-    out.schema  # noqa: B018  resolves the table, so that the catalog needs no entry for it any more
-    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
-    return out
+    base = "stage_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{shared_dir(spark)}/{base}'")
+    name, n = f"{base}.buckets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
+def discard(spark: SparkSession, name: str) -> None:
+    """Drops a table of bucketed(), with its files, once nothing that is still to run reads it."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def short_batches(spark: SparkSession) -> SparkSession:
+    """spark, with Arrow batches of BATCH bytes where the session has Spark's own bound; for registered queries and the pipeline,
+    whose tasks hold several batches at once. Operators leave the session as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(name, BATCH)
+    return spark
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

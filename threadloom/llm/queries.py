@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, jaccard_join, language_id, media_columns, ngram_quality, source_mix, suffix_dedup, toxicity, url_rules, warc
-from .common import shared_dir, table
+from .common import shared_dir, short_batches, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _bounded(f):
+    """f in a session with short Arrow batches."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(short_batches(spark), sf_dir)
+
+    return query
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op4_language_id, op5_url_rules, op6_media_columns, op7_toxicity, op8_source_mix, op9_warc, op10_jaccard_join, pipeline)}
+    return {f.__name__: _bounded(f) for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op4_language_id, op5_url_rules, op6_media_columns, op7_toxicity, op8_source_mix, op9_warc, op10_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -472,7 +472,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    docs = bucketed(docs.select("row", *row_key("id"), "text"), "k1", "k2")
+    docs, _ = bucketed(docs.select("row", *row_key("id"), "text"), "k1", "k2")
     found = stage(docs.select("k1", "k2", "text").mapInArrow(text_anchors(length, unit), "k1 long, k2 long, run long, place int, first int, last int"))
     twice = stage(found.groupBy("run").agg(F.count("*").alias("k")).filter("k > 1").select("run", (F.col("k") > most).alias("busy")))  # a table, so that the join can split hot runs
     live = stage(found.join(twice, "run").groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "place", "first", "last", "busy")).alias("anchors")))
