@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from threadloom.functions import text
 from threadloom.operators import drift, evaluate, retrieve, sampling, spans, threads, topics, trends
 from threadloom.sources import tables
 
@@ -177,3 +179,105 @@ def test_topic_names_and_labels(spark):
     k = spark.createDataFrame([("k", "w1", 1), ("k", "w2", 2)], "topic string, term string, rank int")
     got = {r.topic: r.label for r in topics.catalog(a, k).collect()}
     assert got == {"-1": "outliers", "k": "w1, w2"}
+
+
+def test_partial_matches_go_by_gold_span_in_given_order(spark):
+    span = "doc_id long, start int, end int, label string, pos int"
+    gold = spark.createDataFrame([(1, 0, 20, "A", 0), (1, 0, 5, "A", 1), (2, 0, 4, "A", 0)], span)
+    predicted = spark.createDataFrame([(1, 0, 3, "A", 0), (1, 10, 12, "A", 1), (3, 0, 4, "A", 0)], span)
+    r = evaluate.partial_f1(gold, predicted).first()
+    assert (r.tp, r.fp, r.fn) == (1, 2, 2)
+
+
+def test_gold_selection_fills_the_scarcest_label_first(spark):
+    rng = random.Random(5)
+    labels = ("A", "B", "C")
+    data = [(i, [rng.choice("AAAAAABBC") for _ in range(rng.randint(0, 3))]) for i in range(400)]
+    frame = spark.createDataFrame(data, "id long, labels array<string>").repartition(5)
+    spot = {r.id: r.s for r in frame.select("id", text.seeded(F.col("id"), sampling.SEED).alias("s")).collect()}
+
+    def plain(total, per_label):
+        waiting = sorted(data, key=lambda r: (spot[r[0]], r[0]))
+        chosen = [r for r in waiting if not r[1]][: round(total * 0.15)]
+        spans, dry = dict.fromkeys(labels, 0), set()
+        while len(chosen) < total:
+            under = [x for x in labels if spans[x] < per_label and x not in dry]
+            if not under:
+                break
+            scarce = min(under, key=spans.get)
+            row = next((r for r in waiting if r not in chosen and scarce in r[1]), None)
+            if row is None:
+                dry.add(scarce)
+                continue
+            chosen.append(row)
+            for x in row[1]:
+                spans[x] += 1
+        rest = [r for r in waiting if r not in chosen]
+        chosen += [r for r in rest if r[1]] + [r for r in rest if not r[1]]
+        return {r[0] for r in chosen[:total]}
+
+    for total, per_label in ((100, 30), (60, 10), (30, 30)):
+        got = sampling.gold_selection(frame, "id", labels, total, per_label, blind=12).collect()
+        assert {r.id for r in got} == plain(total, per_label) and sum(r.blind for r in got) == 12
+
+
+def test_week_windows_refuse_an_empty_side(spark):
+    rows = spark.sql("SELECT timestamp '2024-01-03 10:00:00' AS t UNION ALL SELECT timestamp '2024-01-16 00:00:00'")
+    reference, live = drift.week_windows(rows, "t", "2024-01-01", ("2024-01-08", "2024-01-15"))
+    assert reference.count() == live.count() == 1
+    with pytest.raises(ValueError, match="live"):
+        drift.week_windows(rows, "t", "2024-01-01", ("2024-01-08",))
+
+
+def test_spans_move_with_splice_and_substitution(spark):
+    at = [(3, 7, "DATE", "soon", 1.0)]
+    kind = "id int, shell string, text string, entities array<struct<start:int,end:int,label:string,text:string,score:double>>"
+    data = [(i, shell, "ok soon", at) for i in range(3) for shell in ("One.  Two! Three", "no end", "\u00e9. \U0001f600? x")]
+    frame = spark.createDataFrame(data, kind)
+    new, moved = spans.spliced(F.col("shell"), F.col("text"), F.col("entities"), F.col("id"))
+    got = {(r.id, r.shell): (r.n, r.m) for r in frame.select("id", "shell", new.alias("n"), moved.alias("m")).collect()}
+    assert got[0, "One.  Two! Three"][0] == "One. ok soon. Two! Three" and got[1, "One.  Two! Three"][0] == "One.  Two! ok soon. Three"
+    assert all((n is None) == (shell == "no end") for (_, shell), (n, _) in got.items())
+    assert all(n[s.start : s.end] == s.text == "soon" for n, m in got.values() if n for s in m)
+    new, one = spans.substituted(F.col("text"), F.col("entities")[0], F.lit("\u00e9t\u00e9 2024"))
+    r = frame.select(new.alias("n"), one.alias("m")).first()
+    assert r.n == "ok \u00e9t\u00e9 2024" and r.n[r.m[0].start : r.m[0].end] == r.m[0].text
+
+
+def test_proposals_unite_two_annotators(spark):
+    kind = "array<struct<start:int,end:int,label:string,text:string,score:double>>"
+    frame = spark.createDataFrame([([(0, 4, "DATE", "x", 1.0)], [(2, 9, "MONEY", "y", 0.5), (10, 12, "WHO", "z", 0.5), (0, 4, "WHEN", "x", 0.2)])], f"a {kind}, b {kind}")
+    got = frame.select(spans.proposals(F.col("a"), F.col("b"), {"MONEY": "AMOUNT", "WHEN": "DATE"}).alias("p")).first().p
+    assert [(s.start, s.end, s.label) for s in got] == [(2, 9, "AMOUNT")]
+
+
+def test_urgency_agreement_leaves_out_what_has_no_partner(spark):
+    m = spark.createDataFrame([(1, 0, "my lawyer will call"), (2, 0, "thanks"), (3, 0, "again")], "ticket_id long, seq int, text string")
+    seeds = spark.createDataFrame([(1, 0, "high"), (2, 0, "low"), (3, 0, None), (9, 0, "low")], "ticket_id long, seq int, label string")
+    r = evaluate.urgency_agreement(m, seeds).first()
+    assert (r.kappa, r.n) == (1.0, 2)
+
+
+def test_places_are_exact_in_each_group(spark):
+    frame = spark.createDataFrame([(i, "xy"[i % 2] if i % 5 else None) for i in range(500)], "id long, g string").repartition(7)
+    for by in ((), ("g",)):
+        got = sampling.placed(frame, "id", 3, *by).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r.g if by else "", []).append((r._p, r._all))
+        assert sum(map(len, groups.values())) == 500 and all(sorted(v) == [(i + 1, len(v)) for i in range(len(v))] for v in groups.values())
+
+
+def test_top_k_meets_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    monkeypatch.setattr(retrieve, "CHUNK", 11)
+    rng = random.Random(2)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4)]
+    corpus = spark.createDataFrame(vectors, "id long, vector array<double>")
+    got = retrieve.top_k(corpus.filter("id < 20").withColumnRenamed("id", "query_id"), corpus, 3).collect()
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / max(1e-30, math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)))
+
+    want = {(q, r): i for q, v in vectors[:20] for r, (_, i) in enumerate(sorted((-round(cosine(v, w), 9), i) for i, w in vectors)[:3], 1)}
+    assert {(r.query_id, r.rank): r.id for r in got} == want

@@ -173,7 +173,12 @@ def punctuation_intensity(c: Column) -> Column:
 
 def urgency_score(c: Column) -> Column:
     low = F.lower(c)
-    hits = lambda patterns: sum((F.rlike(low, F.lit("(?U)" + p)).cast("int") for p in patterns), F.lit(0))
+
+    def hits(patterns: tuple[str, ...]) -> Column:
+        """How many patterns the text has; most texts have none, and one alternation tells."""
+        each = sum((F.rlike(low, F.lit("(?U)" + p)).cast("int") for p in patterns), F.lit(0))
+        return F.when(F.rlike(low, F.lit("(?U)" + "|".join(f"(?:{p})" for p in patterns))), each).otherwise(0)
+
     return caps_ratio(c) * 3.0 + punctuation_intensity(c) + hits(HIGH_URGENCY) * 2.0 + hits(MEDIUM_URGENCY) * 1.0
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import week_start
+
 COSINE_ALARM, PSI_WATCH, PSI_ALARM, FLOOR = 0.05, 0.1, 0.25, 1e-6
 
 
@@ -23,6 +25,21 @@ def centroid_shift(reference: DataFrame, live: DataFrame, column: str = "embeddi
     return sums.crossJoin(counts).select(shift.alias("shift"), "n_reference", "n_live").withColumn("alarm", F.col("shift") > COSINE_ALARM)
 
 
+def week_windows(rows: DataFrame, when: str, reference: str, live: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows of the week that begins on the Monday reference, and those of the weeks live; an empty side is an error."""
+    week = week_start(F.col(when)).cast("string")
+    sides = rows.filter(week == reference), rows.filter(week.isin(*live))
+    for side, name in zip(sides, ("reference", "live"), strict=True):
+        if side.isEmpty():
+            raise ValueError(f"no rows in the {name} window")
+    return sides
+
+
+def label_counts_of(predictions: DataFrame, tickets: DataFrame) -> DataFrame:
+    """(label, n) of the predictions (ticket_id, label) of tickets (id), which a window or a source has chosen; null labels are left out."""
+    return label_counts(predictions.join(tickets.select(F.col("id").alias("ticket_id")).distinct(), "ticket_id", "left_semi"), "label")
+
+
 def label_counts(rows: DataFrame, label: str) -> DataFrame:
     return rows.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
 

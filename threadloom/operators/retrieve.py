@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 TOP_K, POOL, SOURCES, MIN_SCORE = 5, 10, 4, 0.0
-#: Query vectors that one block holds at most.
-BLOCK = 1024
+#: Vectors of a block of queries and of the corpus, about.
+BLOCK, CHUNK = 1024, 4096
 STOP = "a about after all an and any are as at be been but by can do for from had has have he her his how i if in into is it its me my no not of on or our out so than that the their them then there they this to up was we were what when which who will with you your".split()
 
 
@@ -26,44 +26,42 @@ def pool_size(top_k: int, rerank: bool) -> int:
     return max(top_k, POOL) * (4 if rerank else 1)
 
 
+def _blocks(rows: DataFrame, ident: str, size: int) -> DataFrame:
+    """(v): arrays of about size structs (id, vector), dealt by hash."""
+    n = -(-rows.count() // size) or 1
+    return rows.filter("vector IS NOT NULL").groupBy(F.pmod(F.xxhash64(ident), F.lit(n)).alias("b")).agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col("vector").cast("array<double>").alias("vector"))).alias("v")).select("v")
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, where: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): for queries (query_id, vector) the k nearest of corpus (id, vector, ...) by cosine.
 
-    Unit vectors of BLOCK queries at a time meet every corpus row in its own task as one matrix product in Arrow batches,
-    and each batch gives k candidates a query; a window over those is exact. A zero vector scores 0.
+    A block of queries meets each block of the corpus in one task as one matrix product of unit vectors, which gives k
+    candidates a query; a window over those is exact. Neither side passes through the driver. A zero vector scores 0.
     """
     import numpy as np
+    import pyarrow as pa
 
     rows = corpus.filter(where) if where is not None else corpus
-    rows = rows.select("id", "vector")
-    q = queries.select("query_id", "vector").orderBy("query_id").toPandas()  # a stated batch of queries
-    out = None
-    for at in range(0, len(q), BLOCK):
-        block = q.iloc[at : at + BLOCK]
-        ids = block["query_id"].to_numpy()
-        m = np.stack(block["vector"].map(lambda v: np.asarray(v, np.float64)).to_list())
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, m))  # BLOCK vectors at most
-
-        def near(batches, shared=shared):
-            ids, m = shared.value
-            for b in batches:
-                if len(b) == 0:
-                    continue
-                v = np.stack(b["vector"].map(lambda x: np.asarray(x, np.float64)).to_list())
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-                s = m @ v.T
+    pairs = _blocks(queries.select("query_id", "vector"), "query_id", BLOCK).toDF("q").crossJoin(_blocks(rows.select("id", "vector"), "id", CHUNK).toDF("c"))  # all blocks of stated queries with all of the corpus
+    shape = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, score double"
+
+    def side(block) -> tuple:
+        flat = block.values
+        vectors = flat.field("vector")
+        m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+        return flat.field("id"), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+    def near(batches):
+        for b in batches:
+            for q, c in zip(b.column(0), b.column(1), strict=True):
+                (qi, qm), (ci, cm) = side(q), side(c)
+                s = qm @ cm.T
                 n = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(b["id"].to_numpy(), s.shape), -np.round(s, 9)), axis=1)[:, :n]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": b["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-        kind = {c: t for c, t in corpus.dtypes}["id"]
-        part = rows.mapInPandas(near, f"query_id {dict(queries.dtypes)['query_id']}, id {kind}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.select("query_id").limit(0).crossJoin(rows.select("id").limit(0)).select("query_id", "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+                order = np.lexsort((np.broadcast_to(ci.to_numpy(zero_copy_only=False), s.shape), -np.round(s, 9)), axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(np.repeat(np.arange(len(qi)), n))), ci.take(pa.array(order.ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return pairs.mapInArrow(near, shape).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, tables: int = 12, width: float = 1.2, seed: int = 7) -> DataFrame:
@@ -119,6 +117,17 @@ def highlight(query: pd.Series, document: pd.Series) -> pd.Series:
     return pd.Series([spans(q, d) for q, d in zip(query, document, strict=True)])
 
 
+def search(queries: DataFrame, collections: dict[str, DataFrame], texts: DataFrame, k: int = TOP_K, reranked: bool = True) -> DataFrame:
+    """(query_id, kind, id, score, rank, new_rank): the best k of the pool that pool_size() asks for, in the order of a second
+    score over texts (id, text; queries (query_id, text, vector)) if reranked, else in the first order."""
+    pool = retrieve(queries.select("query_id", "vector"), collections, pool_size(k, reranked))
+    if not reranked:
+        return pool.withColumn("new_rank", F.col("rank")).filter(F.col("new_rank") <= k)
+    both = pool.join(texts.select("id", F.col("text").alias("_d")), "id", "left").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
+    scored = rerank(both, F.round(lexical_score(F.coalesce("_q", F.lit("")), F.coalesce("_d", F.lit(""))), 6))
+    return scored.filter(F.col("new_rank") <= k).select("query_id", "kind", "id", "score", "rank", "new_rank")
+
+
 def results(hits: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
     """(query_id, rank, kind, id, score, title): titles of articles only."""
     return hits.filter(F.col("rank") <= k).join(corpus.select("id", "kind", "title"), ["id", "kind"], "left").select("query_id", "rank", "kind", "id", "score", F.when(F.col("kind") == "kb", F.col("title")).alias("title"))
@@ -153,6 +162,12 @@ def spend(ledger: DataFrame, budget: float) -> DataFrame:
     return ledger.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spent")).withColumn("exhausted", F.col("spent") >= budget)
 
 
+def cached_calls(calls: DataFrame, ledger: DataFrame) -> DataFrame:
+    """calls (purpose, model, prompt_hash) that the ledger answers, with its response."""
+    keys = ["purpose", "model", "prompt_hash"]
+    return calls.join(ledger.select(*keys, "response").dropDuplicates(keys), keys)
+
+
 def pending_calls(calls: DataFrame, ledger: DataFrame, budget_left: float) -> DataFrame:
     """Calls (purpose, model, prompt_hash, cost) that the ledger lacks, repeats once, in order of hash until their summed cost
     passes budget_left. Sums by the hash's first two digits, then one running sum inside each, keep it distributed."""

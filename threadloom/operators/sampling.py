@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +49,36 @@ def weekly_pick(summary: DataFrame, targets: DataFrame, total: int, seed: int =
     return s.join(targets.select("brand", "target"), "brand").filter(F.col("spent") < F.bround(F.col("target") * total)).select("root", "brand", "week", "message_count")
 
 
+def placed(rows: DataFrame, ident: str, seed: int | str, *by: str) -> DataFrame:
+    """rows with _p, the 1-based place at random by seed among all rows or those of equal by (nulls too), and _all, their number.
+
+    Only counts of 1,024 buckets a group cross tasks; a group's rows are ranked bucket by bucket, so a large group is many tasks' work.
+    """
+    h = rows.withColumn("_h", seeded(F.col(ident), seed)).withColumn("_b", F.shiftright("_h", 50))
+    names = [f"_by{i}" for i in range(len(by))]
+    counts = h.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*names).orderBy("_c")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*names))).drop("_n")
+    same = F.col("_b") == F.col("_c")
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    h = h.join(counts if by else F.broadcast(counts), same)  # 1,024 rows at most without groups
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", ident))
+    return h.withColumn("_p", place).select(*rows.columns, "_p", "_all")
+
+
 def stratified_split(rows: DataFrame, label: str, ident: str, seed: int = SEED, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """rows with split: exact shares within each label, at random by seed."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(seeded(F.col(ident), seed), ident)) - 1
-    n = F.count("*").over(Window.partitionBy(label))
-    cut1, cut2 = F.bround(n * train), F.bround(n * (train + val))
-    return rows.withColumn("_place", place).withColumn("split", F.when(F.col("_place") < cut1, "train").when(F.col("_place") < cut2, "val").otherwise("test")).drop("_place")
+    return _split(placed(rows, ident, seed, label), train, val)
+
+
+def exact_split(rows: DataFrame, ident: str, seed: int = SEED, train: float = 0.70, val: float = 0.15) -> DataFrame:
+    """rows with split: exact shares of all rows, at random by seed."""
+    return _split(placed(rows, ident, seed), train, val)
+
+
+def _split(p: DataFrame, train: float, val: float) -> DataFrame:
+    cut1, cut2 = F.bround(F.col("_all") * train), F.bround(F.col("_all") * (train + val))
+    return p.withColumn("split", F.when(F.col("_p") <= cut1, "train").when(F.col("_p") <= cut2, "val").otherwise("test")).drop("_p", "_all")
 
 
 def sample(rows: DataFrame, ident: str, n: int, seed: int = SEED) -> DataFrame:
@@ -66,12 +91,7 @@ def sample_excluding(rows: DataFrame, done: DataFrame, ident: str, n: int, seed:
 
 def pools(rows: DataFrame, ident: str, gold: float = 0.10, seed: int = SEED) -> DataFrame:
     """rows with pool: a tenth `gold`, the others `shell`, by one global order that only bucket counts cross tasks for."""
-    h = rows.withColumn("_h", seeded(F.col(ident), seed)).withColumn("_b", F.shiftright("_h", 50))
-    counts = h.groupBy("_b").agg(F.count("*").alias("_n"))  # 1024 buckets
-    counts = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    h = h.join(F.broadcast(counts.drop("_n")), "_b")
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", ident))
-    return h.withColumn("_p", place).withColumn("pool", F.when(F.col("_p") <= F.bround(F.col("_all") * gold), "gold").otherwise("shell")).drop("_h", "_b", "_p", "_before", "_all")
+    return placed(rows, ident, seed).withColumn("pool", F.when(F.col("_p") <= F.bround(F.col("_all") * gold), "gold").otherwise("shell")).drop("_p", "_all")
 
 
 def first_per_group(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -99,3 +119,43 @@ def label_quota(examples: DataFrame, ident: str, per_label: int, negatives: int,
     chosen = ranked.select(ident).distinct().unionByName(none)
     hidden = sample(chosen, ident, blind, f"{seed}-blind").withColumn("blind", F.lit(True))
     return chosen.join(hidden, ident, "left").withColumn("blind", F.coalesce("blind", F.lit(False)))
+
+
+def gold_selection(candidates: DataFrame, ident: str, labels: tuple[str, ...], total: int = 200, per_label: int = 30, negatives: float = 0.15, blind: int = 40, seed: int = SEED) -> DataFrame:
+    """(ident, blind): total of the candidates (ident, labels: the label of each proposed span, repeats included).
+
+    In random order by seed: first a share of negatives, without spans; then, again and again, the next candidate with the
+    label that has the fewest spans so far, until each has per_label or no candidate; then what is left, those with spans
+    first. A blind part of the chosen is marked. Only the first `total` of each label, of those with and of those without
+    spans can be chosen, so the choice itself is made over a number of rows that does not grow.
+    """
+    spot = seeded(F.col(ident), seed)
+    rows = candidates.select(F.col(ident).alias("id"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), spot.alias("spot"))
+    kinds = rows.withColumn("kind", F.explode(F.array_distinct(F.concat(F.array(F.when(F.size("labels") > 0, " with").otherwise(" without")), F.filter("labels", lambda x: x.isin(*labels))))))
+    first = kinds.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("spot", "id"))).filter(F.col("k") <= total).select("id", "labels", "spot").distinct()
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        waiting = [(r.id, list(r.labels)) for r in group.sort_values(["spot", "id"]).itertuples()]
+        chosen = [r for r in waiting if not r[1]][: min(round(total * negatives), total)]
+        taken = {r[0] for r in chosen}
+        spans = dict.fromkeys(labels, 0)
+        open_labels = [x for x in labels if spans[x] < per_label]
+        while open_labels and len(chosen) < total:
+            scarce = min(open_labels, key=spans.get)
+            row = next((r for r in waiting if r[0] not in taken and scarce in r[1]), None)
+            if row is None:
+                open_labels.remove(scarce)
+                continue
+            chosen.append(row)
+            taken.add(row[0])
+            for x in row[1]:
+                spans[x] = spans.get(x, 0) + 1
+            open_labels = [x for x in open_labels if spans[x] < per_label]
+        left = [r for r in waiting if r[0] not in taken]
+        chosen += ([r for r in left if r[1]] + [r for r in left if not r[1]])[: total - len(chosen)]
+        return pd.DataFrame({"id": [r[0] for r in chosen]})
+
+    kind = dict(candidates.dtypes)[ident]
+    chosen = first.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, f"id {kind}")  # total rows of each label and of two kinds at most
+    hidden = sample(chosen, "id", blind, f"{seed}-blind").withColumn("blind", F.lit(True))
+    return chosen.join(hidden, "id", "left").select(F.col("id").alias(ident), F.coalesce("blind", F.lit(False)).alias("blind"))

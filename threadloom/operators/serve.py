@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .threads import with_messages
+
 MAX_PAGE, MAX_RUNS = 200, 500
 
 
-def list_tickets(tickets: DataFrame, source: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def list_tickets(tickets: DataFrame, source: str | None = None, limit: int = 50, offset: int = 0, messages: DataFrame | None = None) -> DataFrame:
+    """A page of tickets, the oldest first; with messages, each with its own nested in order."""
     rows = tickets.filter(F.col("source") == source) if source else tickets
-    return rows.orderBy("ingested_at", "id").offset(offset).limit(min(limit, MAX_PAGE))
+    page = rows.orderBy("ingested_at", "id").offset(offset).limit(min(limit, MAX_PAGE))
+    return page if messages is None else with_messages(page, messages)
 
 
-def ticket(tickets: DataFrame, ident) -> DataFrame:
-    return tickets.filter(F.col("id") == ident)
+def ticket(tickets: DataFrame, ident, messages: DataFrame | None = None) -> DataFrame:
+    one = tickets.filter(F.col("id") == ident)
+    return one if messages is None else with_messages(one, messages)
 
 
 def predictions_of(predictions: DataFrame, ticket_id, task: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from ..functions.text import seeded
+from .sampling import exact_split, placed
 
 SPAN = Y.StructType([Y.StructField("start", Y.IntegerType()), Y.StructField("end", Y.IntegerType()), Y.StructField("label", Y.StringType()), Y.StructField("text", Y.StringType()), Y.StructField("score", Y.DoubleType())])
 SPANS = Y.ArrayType(SPAN)
@@ -115,6 +116,13 @@ def resolved_spans(spans: pd.Series) -> pd.Series:
     return spans.map(one)
 
 
+def proposals(rules: Column, second: Column, names: dict[str, str]) -> Column:
+    """Spans of the rules and of a second annotator, whose labels names translates (others are left out), overlaps resolved."""
+    known = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    mapped = F.transform(F.filter(second, lambda s: s["label"].isin(*names)), lambda s: s.withField("label", known[s["label"]]))
+    return resolved_spans(F.concat(rules, mapped.cast(SPANS)))
+
+
 def route(rules: Column, model: Column, routing: dict[str, str]) -> Column:
     """Spans of each label from the side that routing names, `rules` or `model`; labels it lacks come from rules."""
     use_model = F.array(*[F.lit(k) for k, v in routing.items() if v == "model"], F.lit("\0"))
@@ -218,6 +226,29 @@ def wrapped(prefix: Column, text: Column, spans: Column, suffix: Column) -> tupl
     return F.concat(prefix, text, suffix), F.transform(spans, lambda s: F.struct((s["start"] + n).alias("start"), (s["end"] + n).alias("end"), s["label"].alias("label"), s["text"].alias("text"), s["score"].alias("score")))
 
 
+def _moved(spans: Column, n: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["start"] + n).alias("start"), (s["end"] + n).alias("end"), s["label"].alias("label"), s["text"].alias("text"), s["score"].alias("score")))
+
+
+def spliced(shell: Column, text: Column, spans: Column, pick: Column) -> tuple[Column, Column]:
+    """text, as a sentence of its own, set into shell between two sentences, and its spans moved along; null where shell has
+    only one. pick: a whole number that chooses the place."""
+    gaps = F.regexp_extract_all(shell, F.lit(r"(?<=[.!?])(\s+)"))
+    sentences = F.split(shell, r"(?<=[.!?])\s+")
+    at = (F.pmod(pick, F.size(gaps)) + 1).cast("int")
+    whole = F.zip_with(sentences, F.concat(gaps, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    before = F.concat(F.array_join(F.slice(whole, F.lit(1), at - 1), ""), F.element_at(sentences, at))
+    after = F.array_join(F.slice(whole, at + 1, F.size(whole)), "")
+    some = F.size(gaps) > 0
+    return F.when(some, F.concat(before, F.lit(" "), text, F.lit(". "), after)), F.when(some, _moved(spans, F.length(before) + 1))
+
+
+def substituted(text: Column, span: Column, value: Column) -> tuple[Column, Column]:
+    """text with value in place of a span, and the span that it then has."""
+    new = F.concat(F.substring(text, F.lit(1), span["start"]), value, F.substring(text, span["end"] + 1, F.length(text)))
+    return new, F.array(F.struct(span["start"].alias("start"), (span["start"] + F.length(value)).alias("end"), span["label"].alias("label"), value.alias("text"), F.lit(1.0).alias("score")))
+
+
 def paraphrase_kept(before: Column, after: Column) -> Column:
     """Whether two span arrays have the same multiset of label and surface."""
     pairs = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["label"].alias("label"), s["text"].alias("text"))))
@@ -226,16 +257,27 @@ def paraphrase_kept(before: Column, after: Column) -> Column:
 
 def compose(ids: DataFrame, ident: str, shares: dict[str, float], seed: int = 1) -> DataFrame:
     """(id, kind): exact shares of each kind at random by seed, the rest `negative`."""
-    h = ids.select(F.col(ident).alias("id")).withColumn("k", F.row_number().over(Window.orderBy(seeded(F.col("id"), seed), "id")) - 1)
-    total = ids.agg(F.count("*").alias("n"))
-    h = h.crossJoin(F.broadcast(total))  # one row
+    h = placed(ids.select(F.col(ident).alias("id")), "id", seed)
     kind, upto = F.lit("negative"), 1.0
     for name, share in reversed(list(shares.items())):
         upto = sum(v for k, v in list(shares.items())[: list(shares).index(name) + 1])
-        kind = F.when(F.col("k") < F.bround(F.col("n") * upto), name).otherwise(kind)
+        kind = F.when(F.col("_p") <= F.bround(F.col("_all") * upto), name).otherwise(kind)
     return h.select("id", kind.alias("kind"))
 
 
+def compose_frames(frames: dict[str, DataFrame], shares: dict[str, float], total: int, rest: str = "negative", seed: int = 1) -> DataFrame:
+    """(id, text, entities, source, split): of frames (id, text, entities) each its share of total, at random by seed, what
+    then lacks from the frame rest, and an exact 70/15/15 split of all. A frame that is too small gives all it has."""
+    out = None
+    quotas = {name: round(total * share) for name, share in shares.items()}
+    quotas[rest] = total - sum(quotas.values())
+    for name, quota in quotas.items():
+        part = placed(frames[name].select("id", "text", "entities").filter("text IS NOT NULL"), "id", f"{seed}-{name}").filter(F.col("_p") <= quota)
+        part = part.select(F.col("id").cast("string").alias("id"), "text", F.col("entities").cast(SPANS).alias("entities"), F.lit(name).alias("source"), F.concat_ws("-", F.lit(name), F.col("id").cast("string")).alias("_key"))
+        out = part if out is None else out.unionByName(part)
+    return exact_split(out, "_key", seed).drop("_key")
+
+
 def import_checks(answers: DataFrame, originals: DataFrame) -> DataFrame:
     """(id, reason) for answers (id, text) whose id is unknown or repeated, or whose text is not the original's."""
     o = originals.select("id", F.col("text").alias("original")).withColumn("known", F.lit(True))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import cut
 
 
 def reply_edges(posts: DataFrame) -> DataFrame:
@@ -19,32 +20,23 @@ def reply_edges(posts: DataFrame) -> DataFrame:
     return up.unionByName(down).filter("src <> dst").distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint(eager=True)
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root): the least node that each node reaches. Each round points every node to its least neighbour, follows the
     pointers by doubling jumps to their roots, and keeps the edges between different roots, until none is left."""
-    edges = _cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct())
+    edges = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct())
     labels = nodes.select("id").union(edges.select("a")).union(edges.select("b")).distinct().withColumn("root", F.col("id"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        up = _cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
+        up = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")))
         while True:
-            nearer = _cut(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", "p", "q"))
+            nearer = cut(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", "p", "q"))
             up = nearer.select("a", F.col("q").alias("p"))
             if nearer.filter("p <> q").isEmpty():
                 break
         jump = up.toDF("x", "y")
-        labels = _cut(labels.join(jump, F.col("root") == F.col("x"), "left").select("id", F.coalesce("y", "root").alias("root")))
+        labels = cut(labels.join(jump, F.col("root") == F.col("x"), "left").select("id", F.coalesce("y", "root").alias("root")))
         moved = edges.join(jump.toDF("a", "la"), "a").join(jump.toDF("b", "lb"), "b")
-        edges = _cut(moved.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b").distinct())
+        edges = cut(moved.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b").distinct())
     return labels
 
 
@@ -190,3 +182,16 @@ def trajectories(messages: DataFrame, sentiment: DataFrame, urgency: DataFrame)
 
 def resolved(trajectory: DataFrame) -> DataFrame:
     return trajectory.filter("resolution_quality > 0")
+
+
+def resolved_with_messages(trajectory: DataFrame, tickets: DataFrame, messages: DataFrame, source: str, limit: int) -> DataFrame:
+    """Tickets (id, source, ingested_at) of a source that are resolved, the oldest `limit`, each with its messages in order."""
+    some = tickets.filter(F.col("source") == source).join(resolved(trajectory).select(F.col("ticket_id").alias("id")), "id", "left_semi")
+    return with_messages(some.orderBy("ingested_at", "id").limit(limit), messages)
+
+
+def with_messages(tickets: DataFrame, messages: DataFrame) -> DataFrame:
+    """tickets with messages: an array of (seq, author_role, text) in order, empty where there is none."""
+    few = messages.join(tickets.select(F.col("id").alias("ticket_id")), "ticket_id", "left_semi")
+    nested = few.groupBy(F.col("ticket_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "author_role", "text"))).alias("messages"))
+    return tickets.join(nested, "id", "left").withColumn("messages", F.coalesce("messages", F.array().cast(nested.schema["messages"].dataType)))

@@ -86,16 +86,15 @@ def clean_name(c):
 def coherence(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """(topic, npmi) of (topic, text) and top terms (topic, term): mean normalised pointwise mutual information of a topic's
     term pairs over documents; under two terms 0."""
-    vocabulary = keywords.select("term").distinct()
-    held = docs.select("id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term")).join(vocabulary, "term", "left_semi")
+    terms = keywords.select("topic", "term").distinct()
     n = docs.agg(F.count("*").alias("n"))
-    single = held.groupBy("term").agg(F.count("*").alias("k"))
-    sides = keywords.select("topic", F.col("term").alias("a")).join(keywords.select("topic", F.col("term").alias("b")), "topic").filter("a < b")  # ten terms a topic at most
-    wanted = sides.select("a", "b").distinct()
-    per_doc = held.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    pairs = per_doc.select(F.explode(F.flatten(F.transform("terms", lambda a: F.transform(F.filter("terms", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*")
-    both = pairs.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("ab"))
-    s = sides.join(both, ["a", "b"], "left").join(single.select(F.col("term").alias("a"), F.col("k").alias("ka")), "a", "left").join(single.select(F.col("term").alias("b"), F.col("k").alias("kb")), "b", "left").crossJoin(F.broadcast(n))  # one row
+    held = docs.select("id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term")).join(terms, "term")
+    single = held.groupBy("topic", "term").agg(F.count("*").alias("k"))
+    per_doc = held.groupBy("id", "topic").agg(F.array_sort(F.collect_list("term")).alias("terms")).filter("size(terms) > 1")  # a topic's terms, ten at most
+    pairs = per_doc.select("topic", F.explode(F.flatten(F.transform("terms", lambda a: F.transform(F.filter("terms", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("topic", "p.*")
+    both = pairs.groupBy("topic", "a", "b").agg(F.count("*").alias("ab"))
+    sides = terms.withColumnRenamed("term", "a").join(terms.withColumnRenamed("term", "b"), "topic").filter("a < b")
+    s = sides.join(both, ["topic", "a", "b"], "left").join(single.toDF("topic", "a", "ka"), ["topic", "a"], "left").join(single.toDF("topic", "b", "kb"), ["topic", "b"], "left").crossJoin(F.broadcast(n))  # one row
     p = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) / F.col("n"), F.lit(FLOOR))
     npmi = F.when(p("ab") >= 1, 1.0).otherwise(F.log(p("ab") / (p("ka") * p("kb"))) / -F.log(p("ab")))
     means = s.groupBy("topic").agg(F.avg(npmi).alias("npmi"))

@@ -37,16 +37,29 @@ def topic_trends(counts: DataFrame) -> DataFrame:
     grid = counts.select("topic").distinct().crossJoin(window)
     points = grid.join(counts, ["topic", "week"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     points = points.withColumn("share", F.when(F.col("total") == 0, 0.0).otherwise(F.col("count") / F.col("total"))).drop("total")
-    other = points.select("topic", F.col("week").alias("w"), F.col("share").alias("s"))
-    pairs = points.join(other, "topic").filter("w <> week")  # weeks of a topic: as many as the window has
-    stats = pairs.groupBy("topic", "week").agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("dev"))
-    z = (F.col("share") - F.col("mean")) / F.when(F.col("dev") == 0, FLAT).otherwise(F.col("dev"))
-    out = points.join(stats, ["topic", "week"], "left").withColumn("z_score", F.when(F.col("n") >= MIN_HISTORY, F.round(z, 6) + 0.0))
+    weeks = points.groupBy("topic").agg(F.collect_list(F.struct("week", "count", "share")).alias("p"))  # as many as the window has
+
+    def step(a, y):
+        """Running count, mean and sum of squared deviations: equal shares deviate by exactly 0."""
+        n, d = a["n"] + 1, y["share"] - a["mean"]
+        mean = a["mean"] + d / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["dev"] + d * (y["share"] - mean)).alias("dev"))
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("dev"))
+    others = lambda x: F.aggregate(F.filter("p", lambda y: y["week"] != x["week"]), none, step)
+    out = weeks.select("topic", F.explode(F.transform("p", lambda x: F.struct(x["week"].alias("week"), x["count"].alias("count"), x["share"].alias("share"), others(x).alias("o")))).alias("x")).select("topic", "x.*")
+    dev = F.sqrt(F.col("o.dev") / (F.col("o.n") - 1))
+    z = (F.col("share") - F.col("o.mean")) / F.when(dev == 0, FLAT).otherwise(dev)
+    out = out.withColumn("z_score", F.when(F.col("o.n") >= MIN_HISTORY, F.round(z, 6) + 0.0))
     return out.select("topic", "week", "count", "share", "z_score", F.coalesce((F.col("z_score") > MIN_Z) & (F.col("count") >= MIN_TICKETS), F.lit(False)).alias("is_emerging"))
 
 
-def emerging(trends: DataFrame) -> DataFrame:
-    return trends.filter("is_emerging")
+def emerging(trends: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """The flagged points; with a catalog (topic, label) each with its label, or `unlabeled`."""
+    flagged = trends.filter("is_emerging")
+    if catalog is None:
+        return flagged
+    return flagged.join(catalog.select("topic", "label"), "topic", "left").withColumn("label", F.coalesce("label", F.lit("unlabeled")))
 
 
 def volume_series(trends: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -123,6 +123,34 @@ def drift_runs(spark, d):
     return K.drift_runs({"real": (r, live, a, b), "same": (r, r, a, a)}).withColumn("value", F.round(F.col("value") + 0.0, 6))
 
 
+WEEKS = ("2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")
+
+
+def drift_by_week(spark, d):
+    """One week of twitter tickets against the four after it: their vectors and their labels."""
+    e = table(spark, d, "events")
+    tickets = e.filter("user_id % 2 = 0").select(F.col("event_id").alias("id"), "ts")
+    reference, live = K.week_windows(tickets, "ts", "2024-01-01", WEEKS)
+    vectors = table(spark, d, "embeddings").select((F.col("vec_id") * 7919 % 10000).alias("id"), "embedding")
+    predictions = e.select(F.col("event_id").alias("ticket_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("label"))
+    shift = K.centroid_shift(*[vectors.join(side.select("id"), "id", "left_semi") for side in (reference, live)])
+    psi = K.psi(*[K.label_counts_of(predictions, side) for side in (reference, live)])
+    return shift.crossJoin(psi).withColumns({"shift": F.round("shift", 6), "psi": F.round("psi", 6)})  # one row each
+
+
+WEEKLY = """
+WITH t AS (SELECT event_id AS id, date_trunc('week', ts)::DATE AS week, event_type AS label FROM events WHERE user_id % 2 = 0),
+r AS (SELECT * FROM t WHERE week = DATE '2024-01-01'), l AS (SELECT * FROM t WHERE week IN (DATE '2024-01-08', DATE '2024-01-15', DATE '2024-01-22', DATE '2024-01-29')),
+v AS (SELECT vec_id * 7919 % 10000 AS id, embedding FROM embeddings), rv AS (SELECT * FROM v SEMI JOIN r USING (id)), lv AS (SELECT * FROM v SEMI JOIN l USING (id)),
+rm AS (SELECT dim, avg(x) AS m FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM rv) GROUP BY dim),
+lm AS (SELECT dim, avg(x) AS m FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM lv) GROUP BY dim),
+s AS (SELECT 1 - sum(rm.m * lm.m) / (sqrt(sum(rm.m * rm.m)) * sqrt(sum(lm.m * lm.m))) AS shift FROM rm JOIN lm USING (dim)),
+rc AS (SELECT label, count(*) AS n FROM r WHERE label <> 'error' GROUP BY label), lc AS (SELECT label, count(*) AS n FROM l WHERE label <> 'error' GROUP BY label),
+p AS (SELECT greatest(coalesce(rc.n / (SELECT sum(n) FROM rc), 0), 1e-6) AS a, greatest(coalesce(lc.n / (SELECT sum(n) FROM lc), 0), 1e-6) AS b FROM rc FULL JOIN lc USING (label)),
+q AS (SELECT sum((b - a) * ln(b / a)) AS psi FROM p)
+SELECT round(shift, 6) AS shift, (SELECT count(*) FROM rv) AS n_reference, (SELECT count(*) FROM lv) AS n_live, shift > 0.05 AS alarm, round(psi, 6) AS psi,
+       CASE WHEN psi > 0.25 THEN 'alarm' WHEN psi > 0.1 THEN 'watch' ELSE 'stable' END AS status FROM s, q
+"""
 PSI = """
 WITH r AS (SELECT event_type AS label, count(*) AS n FROM events WHERE ts < '2024-01-08' AND event_type <> 'error' GROUP BY ALL),
 l AS (SELECT event_type AS label, count(*) AS n FROM events WHERE ts >= '2024-01-08' AND event_type <> 'error' AND (event_type <> 'click' OR event_id % 3 = 0) GROUP BY ALL),
@@ -152,5 +180,6 @@ QUERIES = {
     "centroid_shift": (centroid_shift, SHIFT + "SELECT shift, (SELECT count(*) FROM embeddings WHERE label = 0) AS n_reference, (SELECT count(*) FROM embeddings WHERE label BETWEEN 1 AND 4) AS n_live, shift > 0.05 AS alarm FROM s"),
     "label_distributions": (label_distributions, PSI + "SELECT label, round(a, 9) AS p_reference, round(b, 9) AS p_live FROM p"),
     "psi": (psi, PSI + "SELECT round(psi, 6) AS psi, CASE WHEN psi > 0.25 THEN 'alarm' WHEN psi > 0.1 THEN 'watch' ELSE 'stable' END AS status FROM v"),
+    "drift_by_week": (drift_by_week, WEEKLY),
     "drift_runs": (drift_runs, PSI + "," + SHIFT.strip()[5:] + "SELECT 'real' AS scenario, 'cosine_shift' AS metric, shift AS value FROM s UNION ALL SELECT 'real', 'psi', round(psi, 6) FROM v UNION ALL SELECT 'same', 'cosine_shift', 0.0 UNION ALL SELECT 'same', 'psi', 0.0"),
 }

@@ -70,7 +70,7 @@ def document_embeddings(spark, d):
 
 
 def topic_names(spark, d):
-    return table(spark, d, "benchmark").select("item_id", I.clean_name(F.concat(F.lit(' "'), F.substring("text", 1, 12), F.lit('.." '))).alias("name"))
+    return table(spark, d, "benchmark").select("item_id", I.clean_name(F.concat(F.lit(' "'), F.col("text"), F.lit('.." '))).alias("name"))
 
 
 def _vectors(spark, d):
@@ -120,13 +120,19 @@ def highlights(spark, d):
     return h.select("query_id", "id", F.size(M.highlight(F.col("query"), F.col("text"))).alias("n"))
 
 
+def search_reranked(spark, d):
+    t, v = _texts(spark, d), _vectors(spark, d)
+    q = _queries(spark, d).join(t.withColumnRenamed("id", "query_id"), "query_id")
+    return M.search(q, {"kb": v.filter("label >= 7"), "ticket": v.filter("label < 7")}, t).drop("score")
+
+
 def search_results(spark, d):
     c = _vectors(spark, d).select("id", F.when(F.col("label") >= 7, "kb").otherwise("ticket").alias("kind"), F.concat(F.lit("Article "), F.col("id").cast("string")).alias("title"))
     return M.results(_hits(spark, d), c, 3).drop("score")
 
 
 def confidence_gate(spark, d):
-    g = M.confidence_gate(_queries(spark, d), _hits(spark, d).filter("query_id % 100 = 0"), 0.5)
+    g = M.confidence_gate(_queries(spark, d), _hits(spark, d), 0.5)
     return g.select("query_id", F.round("best", 5).alias("best"), "drafts")
 
 
@@ -172,6 +178,11 @@ def list_tickets(spark, d):
     return N.list_tickets(_tickets(spark, d), "src3", 20, 5).select("id", "source")
 
 
+def tickets_with_messages(spark, d):
+    page = N.list_tickets(_tickets(spark, d), "src3", 20, 5, messages(spark, d))
+    return page.select("id", "source", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: m["seq"].cast("string")), ",").alias("turns"))
+
+
 def ticket_by_id(spark, d):
     return N.ticket(_tickets(spark, d), 7).select("id", "source")
 
@@ -258,6 +269,8 @@ h AS (SELECT query_id, CASE WHEN label >= 7 THEN 'kb' ELSE 'ticket' END AS kind,
 RANKED = "(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id))::INT AS rank"
 LEDGER = "WITH l AS (SELECT event_type AS purpose, sha256(user_id::VARCHAR) AS prompt_hash, (user_id * 100 * 3.0::DOUBLE + event_id % 50 * 15.0::DOUBLE) / 1e6 AS cost FROM events)\n"
 R = f"WITH r AS ({RUNS})\n"
+WORDS = ", x AS (SELECT vec_id AS vid, list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda y: y <> '') AS t, list_distinct(list_filter(t, lambda y: NOT list_contains([" + ", ".join(f"'{w}'" for w in M.STOP) + "], y))) AS w FROM embeddings LEFT JOIN documents ON vec_id = doc_id)"
+SECOND = "round(CASE WHEN len(q2.w) > 0 THEN len(list_intersect(q2.w, d2.w)) / len(q2.w) ELSE 0 END, 6)"
 QUERIES = {
     "cluster_keywords": (cluster_keywords, TERMS + "SELECT topic, term, tf, rank FROM k"),
     "class_tfidf": (class_tfidf, TERMS + ", a AS (SELECT avg(w) AS a FROM (SELECT sum(tf) AS w FROM t GROUP BY topic)), f AS (SELECT term, sum(tf) AS f FROM t GROUP BY term), x AS (SELECT topic, term, round(tf * ln(1 + a / f), 6) AS weight FROM t JOIN f USING (term), a) SELECT topic, round(weight, 4) AS weight, (row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term))::INT AS rank FROM x QUALIFY rank <= 10"),
@@ -269,15 +282,17 @@ QUERIES = {
     "kmeans_topics": (kmeans_topics, None),
     "density_topics": (density_topics, None),
     "document_embeddings": (document_embeddings, None),
-    "topic_names": (topic_names, "SELECT item_id, trim(regexp_replace(trim(' ' || substr(text, 1, 12)), '\\.+$', '')) AS name FROM benchmark"),
+    "topic_names": (topic_names, "SELECT item_id, trim(regexp_replace(trim(' ' || text), '\\.+$', '')) AS name FROM benchmark"),
     "vector_top_k": (vector_top_k, VECTORS + f"SELECT query_id, id, round(score, 5) AS score, {RANKED} FROM s QUALIFY rank <= 5"),
     "filtered_top_k": (filtered_top_k, VECTORS + f"SELECT query_id, id, {RANKED} FROM s WHERE label < 5 QUALIFY rank <= 3"),
     "approximate_top_k": (approximate_top_k, None),
     "retrieve_two": (retrieve_two, HITS + "SELECT query_id, kind, id, round(score, 5) AS score, rank FROM h"),
-    "rerank_hits": (rerank_hits, None),
-    "highlights": (highlights, None),
+    "rerank_hits": (rerank_hits, HITS + WORDS + f", z AS (SELECT query_id, id, rank, {SECOND} AS second FROM h JOIN x q2 ON q2.vid = query_id JOIN x d2 ON d2.vid = id) SELECT query_id, id, second, (row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank))::INT AS new_rank FROM z"),
+    "highlights": (highlights, HITS + WORDS + " SELECT query_id, id, len(list_filter(d2.t, lambda y: list_contains(q2.w, y)))::INT AS n FROM h JOIN x q2 ON q2.vid = query_id JOIN x d2 ON d2.vid = id"),
+    "search_reranked": (search_reranked, HITS.replace("rank <= 5", "rank <= 40").replace("WHERE id <> query_id", "") + WORDS + f", z AS (SELECT query_id, kind, id, score, rank, {SECOND} AS second FROM h JOIN x q2 ON q2.vid = query_id JOIN x d2 ON d2.vid = id) SELECT query_id, kind, id, rank, (row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank))::INT AS new_rank FROM z QUALIFY new_rank <= 5"),
+    "tickets_with_messages": (tickets_with_messages, "WITH p AS (SELECT doc_id AS id, source FROM documents WHERE source = 'src3' ORDER BY doc_id * 37 % 1000, doc_id LIMIT 20 OFFSET 5), m AS (SELECT conv_id AS id, count(*) AS n, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id) SELECT id, source, coalesce(n, 0)::INT AS n, coalesce(turns, '') AS turns FROM p LEFT JOIN m USING (id)"),
     "search_results": (search_results, HITS + "SELECT query_id, rank, kind, id, CASE WHEN kind = 'kb' THEN 'Article ' || id END AS title FROM h WHERE rank <= 3"),
-    "confidence_gate": (confidence_gate, HITS + "SELECT q.query_id, round(b, 5) AS best, coalesce(b >= 0.5, false) AS drafts FROM q LEFT JOIN (SELECT query_id, max(score) AS b FROM h WHERE query_id % 100 = 0 GROUP BY ALL) USING (query_id)"),
+    "confidence_gate": (confidence_gate, HITS + "SELECT q.query_id, round(b, 5) AS best, coalesce(b >= 0.5, false) AS drafts FROM q LEFT JOIN (SELECT query_id, max(score) AS b FROM h GROUP BY ALL) USING (query_id)"),
     "reply_prompts": (reply_prompts, HITS + ", x AS (SELECT vec_id AS id, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON vec_id = doc_id), p AS (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) ORDER BY rank) AS s FROM h JOIN x USING (id) WHERE rank <= 4 GROUP BY ALL), y AS (SELECT q.query_id, 'Issue: ' || x.text || chr(10) || 'Sources:' || chr(10) || coalesce(s, '') AS t FROM q JOIN x ON x.id = q.query_id LEFT JOIN p ON p.query_id = q.query_id) SELECT query_id, length(t)::INT AS n, md5(t) AS digest FROM y"),
     "citations": (citations, "SELECT event_id, CASE WHEN user_id % 4 = event_id % 4 THEN (user_id % 4 + 1)::VARCHAR ELSE least(user_id % 4, event_id % 4) + 1 || ',' || greatest(user_id % 4, event_id % 4) + 1 END AS cited FROM events"),
     "call_spend": (call_spend, LEDGER + "SELECT round(sum(cost), 6) AS spent, sum(cost) >= 5 AS exhausted FROM l"),

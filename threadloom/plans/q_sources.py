@@ -1,8 +1,7 @@
-"""Queries of sources, sinks and classifiers. Files go to a new folder under spark.checkpoint.dir, or a temporary one."""
+"""Queries of sources, sinks and classifiers. Files go to a new folder under the shared one."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,11 +10,13 @@ from ..functions import text as T
 from ..operators import classify as G
 from ..operators import sampling
 from ..sources import tables as A
+from ..sources.shared import shared_dir
+from .q_spans import G as SPANS_SQL
 from .tables import table
 
 
 def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-shared-')}/io-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
 
 
 def csv_posts(spark, d):
@@ -118,13 +119,14 @@ def sanitised_labels(spark, d):
     return table(spark, d, "events").select("event_id", G.sanitised(said).alias("label"))
 
 
+EXAMPLES = SPANS_SQL + ", r AS (SELECT id, template_id FROM e UNION ALL SELECT id, template_id FROM e WHERE id % 10 = 0), c AS (SELECT doc_id AS id, count(*) AS c FROM g GROUP BY doc_id) SELECT template_id::VARCHAR AS template_id, count(*) AS n, sum(c)::BIGINT AS spans FROM r JOIN c USING (id) GROUP BY template_id".replace(", r AS", ", rr AS").replace("FROM r JOIN", "FROM rr JOIN")
 E = "SELECT event_id AS ticket_id, event_type AS task, round(value, 4) AS score FROM events"
 QUERIES = {
     "csv_posts": (csv_posts, "SELECT event_id::VARCHAR AS id, event_type AS author, event_id % 2 = 0 AS inbound, date_trunc('second', ts)::TIMESTAMP AS sent_at, CASE WHEN event_id % 5 = 0 THEN 0 ELSE length(props) + 17 END::INT AS n, 2 AS children, user_id::VARCHAR AS parent_id FROM events"),
     "json_utterances": (json_utterances, None),
     "labelled_texts": (labelled_texts, "SELECT 'quality_' || s || '_' || doc_id AS id, CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS label, s AS split FROM (SELECT doc_id, quality, CASE WHEN doc_id % 3 = 0 THEN 'val' ELSE 'train' END AS s FROM documents JOIN labels USING (doc_id))"),
     "pooled_sets": (pooled_sets, "SELECT CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, sum(conv_id)::BIGINT AS ids FROM conversations GROUP BY ALL"),
-    "span_examples": (span_examples, None),
+    "span_examples": (span_examples, EXAMPLES),
     "insert_absent": (insert_absent, "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL"),
     "upserted": (upserted, "WITH n AS (SELECT event_id * 2 AS event_id, 1.5::DOUBLE AS value FROM events WHERE event_id % 3 = 0) SELECT event_id, value FROM events ANTI JOIN n USING (event_id) UNION ALL SELECT * FROM n"),
     "replace_task": (replace_task, f"SELECT task, count(*) AS n, round(sum(score), 2) AS score FROM (SELECT ticket_id, task, CASE WHEN task = 'click' THEN 0.5 ELSE score END AS score FROM ({E}) WHERE task <> 'click' OR ticket_id % 2 = 0) GROUP BY task"),

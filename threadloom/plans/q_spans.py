@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as L
 from ..operators import spans as H
+from ..operators import sampling as S
 from .q_sampling import SEEDED
+from .q_text import NORMAL, URGENCY_SQL
 from .tables import table
 
 
@@ -98,8 +100,8 @@ def span_violations(spark, d):
 
 def gold_checks(spark, d):
     r = rendered(spark, d)
-    gold = r.filter("id % 3 = 0")
-    return H.gold_checks(gold.unionByName(gold.filter("id % 30 = 0")), r.filter("id % 5 = 0"), 200)
+    training = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return H.gold_checks(r.unionByName(r.join(training.filter("id % 10 = 0"), "id", "left_semi")), training, 1000)
 
 
 def benchmark_leakage(spark, d):
@@ -133,20 +135,51 @@ def compose_dataset(spark, d):
     return H.compose(table(spark, d, "documents").select("doc_id"), "doc_id", {"template": 0.48, "shell": 0.15, "slot": 0.10, "splice": 0.12}).groupBy("kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
+def gold_selection(spark, d):
+    """Gold candidates among the rendered texts; every fifth has no proposal, and is a negative."""
+    labels = F.when(F.col("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.transform("entities", lambda s: s["label"]))
+    return S.gold_selection(rendered(spark, d).select("id", labels.alias("labels")), "id", H.LABELS)
+
+
+def proposal_union(spark, d):
+    """Spans of the rules in rendered texts, and those of a second annotator with names of its own."""
+    names = {"MONEY": "AMOUNT", "WHEN": "DATE"}
+    second = F.transform("entities", lambda s: s.withField("label", F.when(s["label"] == "AMOUNT", "MONEY").when(s["label"] == "DATE", "WHEN").otherwise("OTHER")))
+    p = rendered(spark, d).select("id", H.proposals(H.rule_spans(F.col("text")), second, names).alias("e"))
+    return p.select("id", F.explode("e").alias("s")).select("id", "s.label", "s.start", F.col("s.end").alias("stop"), "s.text")
+
+
+SHARES = {"template": 0.48, "shell": 0.15, "slot": 0.10, "splice": 0.12}
+
+
+def compose_frames(spark, d):
+    """Rendered texts, wrapped, substituted and spliced ones, and documents without spans, in exact shares."""
+    r = rendered(spark, d)
+    both = r.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("shell")), "id")
+    wrapped = H.wrapped(F.concat("shell", F.lit(" ")), F.col("text"), F.col("entities"), F.lit(""))
+    slot = H.substituted(F.col("text"), F.col("entities")[0], F.lit("NEW-1"))
+    splice = H.spliced(F.lit("Thanks for that.  All fine! Bye."), F.col("text"), F.col("entities"), F.col("id"))
+    frame = lambda df, made: df.select("id", made[0].alias("text"), made[1].alias("entities"))
+    frames = {"template": r, "shell": frame(both, wrapped), "slot": frame(r, slot), "splice": frame(r, splice), "negative": both.select("id", F.col("shell").alias("text"), F.array().cast(H.SPANS).alias("entities"))}
+    c = H.compose_frames(frames, SHARES, table(spark, d, "documents").count())
+    sound = F.forall("entities", lambda s: F.substring("text", s["start"] + 1, s["end"] - s["start"]) == s["text"])
+    return c.groupBy("source", "split").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids"), F.sum(F.size("entities")).alias("spans"), F.count_if(~sound).alias("broken"))
+
+
 def import_checks(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    answers = docs.filter("id % 2 = 0").select(F.when(F.col("id") % 9 == 0, F.col("id") + 10_000_000).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    answers = docs.select(F.when(F.col("id") % 9 == 0, F.col("id") + 10_000_000).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     return H.import_checks(answers.unionByName(answers.filter("id % 11 = 0")), docs)
 
 
 def omissions(spark, d):
     r = rendered(spark, d)
     gold = r.withColumn("entities", F.when(F.col("id") % 3 == 0, F.array().cast(H.SPANS)).otherwise(F.col("entities")))
-    return H.omissions(gold, r, r.filter("id % 2 = 0"))
+    return H.omissions(gold, r, table(spark, d, "labels").select(F.col("doc_id").alias("id")))
 
 
 def proposal_counts(spark, d):
-    return H.span_counts(rendered(spark, d).filter("id % 2 = 0"))
+    return H.span_counts(rendered(spark, d))
 
 
 def _judged(spark, d):
@@ -174,6 +207,14 @@ def kappa(spark, d):
     return L.kappa(_judged(spark, d).toDF("a", "b")).withColumn("kappa", F.round("kappa", 6))
 
 
+def urgency_agreement(spark, d):
+    """Labels as seeds of urgency, against what the documents' own text gives."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ticket_id"), F.lit(0).alias("seq"), "text")
+    seed = F.when(F.col("toxic") == 1, "high").when(F.col("quality") == 1, "low").otherwise("medium")
+    seeds = table(spark, d, "labels").select(F.col("doc_id").alias("ticket_id"), F.lit(0).alias("seq"), seed.alias("label"))
+    return L.urgency_agreement(docs, seeds).withColumn("kappa", F.round("kappa", 6))
+
+
 def _rounded(df):
     return df.select("label", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -241,6 +282,10 @@ mb AS (SELECT least(coalesce(g, 0), coalesce(p, 0)) AS tp, coalesce(p, 0) - leas
 each AS (SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM m GROUP BY label),
 scored AS (SELECT label, tp, fp, fn, """ + PRF + """ FROM each), raw AS (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re, CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f FROM each)
 """
+AGREED = f"WITH u AS ({URGENCY_SQL.replace(' UNION ALL SELECT page_id, html FROM pages', '')}), ab AS (SELECT u.label AS a, CASE WHEN toxic = 1 THEN 'high' WHEN quality = 1 THEN 'low' ELSE 'medium' END AS b FROM labels JOIN u ON u.id = doc_id), s AS (SELECT count(*) AS n, count(*) FILTER (a = b) AS same FROM ab), e0 AS (SELECT sum(v.n * w.n) AS p FROM (SELECT a, count(*) AS n FROM ab GROUP BY a) v JOIN (SELECT b, count(*) AS n FROM ab GROUP BY b) w ON a = b) SELECT round((same / n - coalesce(p, 0) / (n * n)) / (1 - coalesce(p, 0) / (n * n)), 6) AS kappa, n FROM s, e0"
+PART = ", ".join(f"{name} AS (SELECT doc_id, '{name}' AS source FROM documents QUALIFY row_number() OVER (ORDER BY {SEEDED.format('1-' + name, 'doc_id')}, doc_id) <= {quota})" for name, quota in ((x, f"(SELECT round_even(count(*) * {share}::DOUBLE, 0) FROM documents)") for x, share in SHARES.items()))
+REST = "(SELECT count(*) - " + " - ".join(f"round_even(count(*) * {x}::DOUBLE, 0)" for x in SHARES.values()) + " FROM documents)"
+COMPOSED = G + f", {PART}, negative AS (SELECT doc_id, 'negative' AS source FROM documents QUALIFY row_number() OVER (ORDER BY {SEEDED.format('1-negative', 'doc_id')}, doc_id) <= {REST}), u AS (" + " UNION ALL ".join(f"SELECT * FROM {x}" for x in [*SHARES, "negative"]) + f"), k AS (SELECT *, row_number() OVER (ORDER BY {SEEDED.format(1, 'source || chr(45) || doc_id')}, source || chr(45) || doc_id) AS k, count(*) OVER () AS n FROM u), c AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id) SELECT source, CASE WHEN k <= round_even(n * 0.70::DOUBLE, 0) THEN 'train' WHEN k <= round_even(n * (0.70::DOUBLE + 0.15::DOUBLE), 0) THEN 'val' ELSE 'test' END AS split, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(CASE source WHEN 'negative' THEN 0 WHEN 'slot' THEN 1 ELSE c END)::BIGINT AS spans, 0::BIGINT AS broken FROM k JOIN c USING (doc_id) GROUP BY ALL"
 QUERIES = {
     "render_templates": (render_templates, G + "SELECT id, template_id, text, label, start, \"end\" AS stop, surface FROM g JOIN e ON id = doc_id"),
     "rule_spans": (rule_spans, None),
@@ -249,15 +294,19 @@ QUERIES = {
     "align_spans": (align_spans, TOKENS + ", q AS (SELECT doc_id, s + 2 AS a, s + 25 AS b, CASE WHEN pos % 2 = 0 THEN 'DATE' ELSE 'AMOUNT' END AS label FROM t WHERE pos % 7 = 0), h AS (SELECT t.doc_id, pos, CASE WHEN row_number() OVER (PARTITION BY t.doc_id, a, b, label ORDER BY pos) = 1 THEN 'B-' ELSE 'I-' END || label AS tag FROM t JOIN q ON t.doc_id = q.doc_id AND s < b AND a < e AND e > s), k AS (SELECT doc_id, pos, min(tag) AS tag FROM h GROUP BY ALL) SELECT t.doc_id, coalesce(k.tag, 'O') AS tag, count(*) AS n, sum(pos)::BIGINT AS places FROM t LEFT JOIN k USING (doc_id, pos) GROUP BY ALL"),
     "bio_labels": (bio_labels, "WITH t(tag) AS (VALUES " + ", ".join(f"('{x}')" for x in H.bio_labels()) + ") SELECT tag, (SELECT count(*) FROM labels) AS n FROM t"),
     "span_violations": (span_violations, G + BAD + "SELECT DISTINCT id, unnest(list_filter([CASE WHEN label NOT IN ('ORDER_ID', 'PRODUCT', 'DATE', 'AMOUNT', 'ACCOUNT_REF') THEN 'label' END, CASE WHEN start < 0 OR stop > length(text) OR start >= stop THEN 'bounds' END, CASE WHEN before > start THEN 'overlap' END, CASE WHEN substr(text, start + 1, stop - start) <> surface THEN 'surface' END], lambda x: x IS NOT NULL)) AS reason FROM bb"),
-    "gold_checks": (gold_checks, G + ", q AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 30 = 0), fs AS (SELECT label, count(*) AS n FROM g JOIN q USING (doc_id) GROUP BY label) SELECT 'size' AS check, '' AS subject, count(*) AS n FROM q UNION ALL SELECT 'duplicate', doc_id::VARCHAR, count(*) FROM q GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'leaked', doc_id::VARCHAR, count(*) FROM q WHERE doc_id % 5 = 0 GROUP BY doc_id UNION ALL SELECT 'few', label, n FROM fs WHERE n < 200"),
-    "benchmark_leakage": (benchmark_leakage, None),
+    "gold_checks": (gold_checks, G + ", q AS (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id % 10 = 0), fs AS (SELECT label, count(*) AS n FROM g JOIN q USING (doc_id) GROUP BY label) SELECT 'size' AS check, '' AS subject, count(*) AS n FROM q UNION ALL SELECT 'duplicate', doc_id::VARCHAR, count(*) FROM q GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'leaked', doc_id::VARCHAR, count(*) FROM q WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY doc_id UNION ALL SELECT 'few', label, n FROM fs WHERE n < 1000"),
+    "benchmark_leakage": (benchmark_leakage, f"WITH g AS (SELECT sha1({NORMAL}) AS id FROM benchmark), l AS (SELECT DISTINCT sha1({NORMAL}) AS id FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents)), c AS (SELECT id, count(*) AS n FROM g GROUP BY id) SELECT 'size' AS check, count(*)::BIGINT AS n FROM g UNION ALL SELECT 'duplicate', sum(n)::BIGINT FROM c WHERE n > 1 HAVING count(*) > 0 UNION ALL SELECT 'leaked', sum(n)::BIGINT FROM c WHERE id IN (SELECT id FROM l) HAVING count(*) > 0"),
+    "urgency_agreement": (urgency_agreement, AGREED),
+    "gold_selection": (gold_selection, None),
+    "proposal_union": (proposal_union, None),
+    "compose_frames": (compose_frames, COMPOSED),
     "shell_kinds": (shell_kinds, None),
     "wrapped_spans": (wrapped_spans, G + "SELECT doc_id AS id, start + 4 AS start, surface FROM g"),
     "paraphrases": (paraphrases, G + "SELECT DISTINCT doc_id AS id, doc_id % 7 <> 0 AS kept FROM g"),
     "compose_dataset": (compose_dataset, f"WITH k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY {SEEDED.format(1, 'doc_id')}, doc_id) - 1 AS k, (SELECT count(*) FROM documents) AS n FROM documents), c AS (SELECT id, CASE WHEN k < round_even(n * 0.48::DOUBLE, 0) THEN 'template' WHEN k < round_even(n * (0.48::DOUBLE + 0.15::DOUBLE), 0) THEN 'shell' WHEN k < round_even(n * (0.48::DOUBLE + 0.15::DOUBLE + 0.10::DOUBLE), 0) THEN 'slot' WHEN k < round_even(n * (0.48::DOUBLE + 0.15::DOUBLE + 0.10::DOUBLE + 0.12::DOUBLE), 0) THEN 'splice' ELSE 'negative' END AS kind FROM k) SELECT kind, count(*) AS n, sum(id)::BIGINT AS ids FROM c GROUP BY kind"),
-    "import_checks": (import_checks, "WITH a0 AS (SELECT CASE WHEN doc_id % 9 = 0 THEN doc_id + 10000000 ELSE doc_id END AS id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 2 = 0), a AS (SELECT * FROM a0 UNION ALL SELECT * FROM a0 WHERE id % 11 = 0), x AS (SELECT a.id, count(*) OVER (PARTITION BY a.id) AS n, o.doc_id AS known, a.text, o.text AS original FROM a LEFT JOIN documents o ON a.id = o.doc_id) SELECT DISTINCT id, 'unknown' AS reason FROM x WHERE known IS NULL UNION ALL SELECT DISTINCT id, 'repeated' FROM x WHERE n > 1 UNION ALL SELECT DISTINCT id, 'changed' FROM x WHERE known IS NOT NULL AND text IS DISTINCT FROM original"),
-    "omissions": (omissions, G + "SELECT doc_id AS id, count(*)::INT AS n_predicted FROM g WHERE doc_id % 6 = 0 GROUP BY doc_id"),
-    "proposal_counts": (proposal_counts, G + "SELECT label, count(*) AS n FROM g WHERE doc_id % 2 = 0 GROUP BY label"),
+    "import_checks": (import_checks, "WITH a0 AS (SELECT CASE WHEN doc_id % 9 = 0 THEN doc_id + 10000000 ELSE doc_id END AS id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents), a AS (SELECT * FROM a0 UNION ALL SELECT * FROM a0 WHERE id % 11 = 0), x AS (SELECT a.id, count(*) OVER (PARTITION BY a.id) AS n, o.doc_id AS known, a.text, o.text AS original FROM a LEFT JOIN documents o ON a.id = o.doc_id) SELECT DISTINCT id, 'unknown' AS reason FROM x WHERE known IS NULL UNION ALL SELECT DISTINCT id, 'repeated' FROM x WHERE n > 1 UNION ALL SELECT DISTINCT id, 'changed' FROM x WHERE known IS NOT NULL AND text IS DISTINCT FROM original"),
+    "omissions": (omissions, G + "SELECT doc_id AS id, count(*)::INT AS n_predicted FROM g WHERE doc_id % 3 = 0 AND doc_id IN (SELECT doc_id FROM labels) GROUP BY doc_id"),
+    "proposal_counts": (proposal_counts, G + "SELECT label, count(*) AS n FROM g GROUP BY label"),
     "confusion": (confusion, JUDGED + "SELECT a.label AS truth, b.label AS guess, (SELECT count(*) FROM j WHERE truth = a.label AND guess = b.label) AS n FROM c a CROSS JOIN c b"),
     "class_f1": (class_f1, JUDGED + "SELECT label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM q"),
     "macro_f1": (macro_f1, JUDGED + "SELECT round(avg(f1), 6) AS macro_f1 FROM q"),

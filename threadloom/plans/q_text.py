@@ -102,8 +102,8 @@ def deterministic_ids(spark, d):
 
 def urgency_labels(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")).unionByName(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("t")))
-    s = T.urgency_score(F.col("t"))
-    return t.select("id", F.length("t").alias("n"), F.round(T.caps_ratio(F.col("t")), 6).alias("caps"), T.punctuation_intensity(F.col("t")).alias("punctuation"), F.round(s, 6).alias("score"), T.urgency_label(F.round(s, 6)).alias("label"))
+    t = t.select("id", F.length("t").alias("n"), F.round(T.caps_ratio(F.col("t")), 6).alias("caps"), T.punctuation_intensity(F.col("t")).alias("punctuation"), F.round(T.urgency_score(F.col("t")), 6).alias("score"))
+    return t.withColumn("label", T.urgency_label(F.col("score")))
 
 
 def coherence_tokens(spark, d):

@@ -99,7 +99,7 @@ def index_records(spark, d):
 
 def article_bodies(spark, d):
     b = table(spark, d, "benchmark")
-    return b.select("item_id", O.article_body(F.lit("To fix this:"), F.slice(F.split("text", " "), 1, 3), F.lit("Contact us if it persists.")).alias("body"))
+    return b.select("item_id", O.article_body(F.lit("To fix this:"), F.split("text", " "), F.lit("Contact us if it persists.")).alias("body"))
 
 
 def _urgency(spark, d):
@@ -117,6 +117,13 @@ def resolved(spark, d):
     return t.join(oldest, "ticket_id").orderBy("since", "ticket_id").limit(40).select("ticket_id", "since", F.round("resolution_quality", 6).alias("resolution_quality"))
 
 
+def resolved_with_messages(spark, d):
+    m = messages(spark, d)
+    t = m.groupBy(F.col("ticket_id").alias("id")).agg(F.min("sent_at").alias("ingested_at")).withColumn("source", F.when(F.col("id") % 3 == 0, "bitext").otherwise("twitter"))
+    r = O.resolved_with_messages(O.trajectories(m, sentiment(spark, d), _urgency(spark, d)), t, m, "twitter", 40)
+    return r.select("id", "source", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda x: F.concat(x["seq"].cast("string"), F.substring(x["author_role"], 1, 1))), ",").alias("roles"))
+
+
 M = f"WITH m AS ({MESSAGES})\n"
 TRAJECTORY = f"""
 WITH m AS ({MESSAGES}), s AS ({SENTIMENT}),
@@ -149,7 +156,8 @@ QUERIES = {
     "multi_message": (multi_message, M + "SELECT ticket_id, count(*) AS n FROM m WHERE author_role = 'customer' GROUP BY ticket_id HAVING count(*) >= 2"),
     "thread_summaries": (thread_summaries, f"{M}, x AS (SELECT ticket_id, count(*) AS message_count, string_agg({LINE}, chr(10) ORDER BY seq) AS t FROM m GROUP BY ticket_id HAVING count(*) >= 2) SELECT ticket_id, 'thread_summary' AS task, message_count, md5(array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')[1:4], ' ')) AS digest FROM x"),
     "index_records": (index_records, f"{M}, x AS (SELECT ticket_id, min(sent_at) AS c, string_agg({LINE}, chr(10) ORDER BY seq) AS t FROM m GROUP BY ticket_id) SELECT ticket_id AS id, '{{\"source\":\"ticket\",\"created_at\":\"' || strftime(c, '%Y-%m-%d %H:%M:%S') || '\"}}' AS metadata, length(t)::INT AS n FROM x"),
-    "article_bodies": (article_bodies, "WITH x AS (SELECT item_id, string_split(text, ' ')[1:3] AS s FROM benchmark) SELECT item_id, 'To fix this:' || chr(10) || array_to_string(list_transform(s, lambda x, i: i::VARCHAR || '. ' || x), chr(10)) || chr(10) || 'Contact us if it persists.' AS body FROM x"),
+    "article_bodies": (article_bodies, "WITH x AS (SELECT item_id, string_split(text, ' ') AS s FROM benchmark) SELECT item_id, 'To fix this:' || chr(10) || array_to_string(list_transform(s, lambda x, i: i::VARCHAR || '. ' || x), chr(10)) || chr(10) || 'Contact us if it persists.' AS body FROM x"),
     "trajectories": (trajectories, TRAJECTORY + "SELECT ticket_id, sequence, scores, final_customer_label, resolution_quality FROM t"),
+    "resolved_with_messages": (resolved_with_messages, TRAJECTORY + ", o1 AS (SELECT ticket_id AS id FROM t WHERE resolution_quality > 0 AND ticket_id % 3 <> 0 ORDER BY since, ticket_id LIMIT 40) SELECT id, 'twitter' AS source, count(*)::INT AS n, string_agg(seq::VARCHAR || author_role[1], ',' ORDER BY seq) AS roles FROM o1 JOIN m ON ticket_id = id GROUP BY id"),
     "resolved": (resolved, TRAJECTORY + "SELECT ticket_id, since, resolution_quality FROM t WHERE resolution_quality > 0 ORDER BY since, ticket_id LIMIT 40"),
 }
