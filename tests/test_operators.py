@@ -281,3 +281,14 @@ def test_top_k_meets_all_blocks(spark, monkeypatch):
 
     want = {(q, r): i for q, v in vectors[:20] for r, (_, i) in enumerate(sorted((-round(cosine(v, w), 9), i) for i, w in vectors)[:3], 1)}
     assert {(r.query_id, r.rank): r.id for r in got} == want
+
+
+def test_approximate_search_recalls_nine_tenths(spark):
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    vectors = [(i, [x + rng.gauss(0, 0.3) for x in centres[i % 20]]) for i in range(300)]
+    corpus = spark.createDataFrame(vectors, "id long, vector array<double>")
+    queries = corpus.filter("id < 30").withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in retrieve.top_k(queries, corpus).collect()}
+    found = {(r.query_id, r.id) for r in retrieve.approximate_top_k(queries, corpus).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)

@@ -64,8 +64,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, where: Column |
     return pairs.mapInArrow(near, shape).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, tables: int = 12, width: float = 1.2, seed: int = 7) -> DataFrame:
-    """As top_k(), over the corpus rows that share a bucket of a random projection with the query."""
+def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, tables: int = 12, width: float = 0.25, seed: int = 7) -> DataFrame:
+    """As top_k(), over the corpus rows that share a bucket of a random projection with the query. Projections of unit vectors
+    lie within -1 and 1, so a bucket is an eighth of their range."""
     norm = Normalizer(inputCol="v", outputCol="features")
     c = norm.transform(corpus.select("id", array_to_vector(F.col("vector")).alias("v"))).select("id", "features")
     q = norm.transform(queries.select("query_id", array_to_vector(F.col("vector")).alias("v"))).select("query_id", "features")
