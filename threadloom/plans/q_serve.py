@@ -163,6 +163,12 @@ def pending_calls(spark, d):
     return M.pending_calls(led.select("purpose", "model", "prompt_hash", F.lit(0.25).alias("cost")), led.filter("purpose < 'f'"), 40.0).select("purpose", "prompt_hash")
 
 
+def cached_calls(spark, d):
+    led = _ledger(spark, d)
+    answered = led.filter("purpose < 'f'").withColumn("response", F.substring("prompt_hash", 1, 8))
+    return M.cached_calls(led.select("purpose", "model", "prompt_hash").distinct(), answered).select("purpose", "prompt_hash", "response")
+
+
 def retrieval_eval(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     q = _queries(spark, d)
@@ -297,6 +303,7 @@ QUERIES = {
     "citations": (citations, "SELECT event_id, CASE WHEN user_id % 4 = event_id % 4 THEN (user_id % 4 + 1)::VARCHAR ELSE least(user_id % 4, event_id % 4) + 1 || ',' || greatest(user_id % 4, event_id % 4) + 1 END AS cited FROM events"),
     "call_spend": (call_spend, LEDGER + "SELECT round(sum(cost), 6) AS spent, sum(cost) >= 5 AS exhausted FROM l"),
     "pending_calls": (pending_calls, LEDGER + ", m AS (SELECT DISTINCT purpose, prompt_hash FROM l WHERE purpose >= 'f') SELECT purpose, prompt_hash FROM m QUALIFY sum(0.25) OVER (ORDER BY prompt_hash, purpose ROWS UNBOUNDED PRECEDING) <= 40"),
+    "cached_calls": (cached_calls, LEDGER + "SELECT DISTINCT purpose, prompt_hash, substr(prompt_hash, 1, 8) AS response FROM l WHERE purpose < 'f'"),
     "retrieval_eval": (retrieval_eval, VECTORS + f", r AS (SELECT query_id, label, {RANKED} FROM s WHERE id % 50 <> 0 QUALIFY rank <= 5), t AS (SELECT vec_id AS query_id, label AS own FROM embeddings WHERE vec_id % 50 = 0), f AS (SELECT query_id, max((label = own)::INT) AS hit FROM r JOIN t USING (query_id) GROUP BY ALL) SELECT round(avg(hit), 6) AS hit_rate, count(*) AS n FROM f"),
     "list_tickets": (list_tickets, "SELECT doc_id AS id, source FROM documents WHERE source = 'src3' ORDER BY doc_id * 37 % 1000, doc_id LIMIT 20 OFFSET 5"),
     "ticket_by_id": (ticket_by_id, "SELECT doc_id AS id, source FROM documents WHERE doc_id = 7"),
