@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import cut, row_key, slices
+from .common import cut, lean, lean_group, row_key, slices
 from .components import components
 
 SHINGLE = 5
@@ -255,7 +255,7 @@ def find_links(members: DataFrame) -> DataFrame:
     """Links (a, b) inside the blocks of (pool, block, side, c, n, toks)."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = members.select("pool", "block", "side", "c", "n", "toks").repartition(parts, "pool", "block").sortWithinPartitions("pool", "block")
-    return rows.mapInArrow(search, "a long, b long")
+    return rows.mapInArrow(lean(search), "a long, b long")
 
 
 def link_classes(candidates: DataFrame) -> DataFrame:
@@ -305,11 +305,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, k2 of row_key(), n, component_id, label), one row for each row of docs; label tells components apart, with ids or without."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col)[1], F.col(text_col).alias("text"))
-    sizes = cut(docs.mapInArrow(set_sizes, "doc_id long, k2 long, n long, c1 long, c2 long"))
+    sizes = cut(docs.mapInArrow(lean(set_sizes), "doc_id long, k2 long, n long, c1 long, c2 long"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD)
-    packed = docs.select("text").mapInArrow(packer(shards), "shard int, high binary, middle binary, low binary, at binary, classes binary")
-    shared = packed.groupBy("shard").applyInArrow(shared_shingles, "c1 long, c2 long, tok long, df int")
+    packed = docs.select("text").mapInArrow(lean(packer(shards)), "shard int, high binary, middle binary, low binary, at binary, classes binary")
+    shared = packed.groupBy("shard").applyInArrow(lean_group(shared_shingles), "c1 long, c2 long, tok long, df int")
     classes = sizes.filter("n > 0").groupBy("c1", "c2").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
     toks = F.transform(F.array_sort("toks"), lambda x: x["tok"])
     least = -F.floor(-F.col("n") * 3 / 4)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import poly_hash
-from .common import bucketed, cut, discard, row_key, slices, stage
+from .common import bucketed, cut, discard, lean, lean_cogroup, row_key, slices, stage
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -264,7 +264,7 @@ def dealt(docs: DataFrame, chunks: int) -> tuple[DataFrame, str]:
     """(chunk, pack), bucketed by chunk, and the table's name: the rows of docs (doc_id, text) with text; null ids are dealt by text."""
     chunk = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(chunks)).alias("chunk")
     rows = docs.filter("text IS NOT NULL").select(chunk, F.col("doc_id").cast("long").alias("id"), *row_key(), "text")
-    return bucketed(rows.mapInArrow(packer, "chunk long, pack binary"), "chunk")
+    return bucketed(rows.mapInArrow(lean(packer), "chunk long, pack binary"), "chunk")
 
 
 def scores(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -273,11 +273,11 @@ def scores(docs: DataFrame, ids: DataFrame) -> DataFrame:
     chunks = -(-total // DEALT) or 1
     texts, name = dealt(docs, chunks)
     marked = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("id"))
-    grams = stage(texts.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(chunk_ngrams, "chunk long, h int, g long, k long"))
+    grams = stage(texts.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(lean_cogroup(chunk_ngrams), "chunk long, h int, g long, k long"))
     every = stage(grams.groupBy("h", "g").agg(F.sum("k").alias("c")))
     lp = stage(log_p(every.select("h", "g"), every.filter("c > 0")).withColumn("lp", F.col("lp").cast("float")))
     models = grams.select("chunk", "h", "g").join(lp, ["h", "g"])
-    scored = stage(texts.groupBy("chunk").cogroup(models.groupBy("chunk")).applyInArrow(score_chunk, "k1 long, k2 long, n long, nll double"))
+    scored = stage(texts.groupBy("chunk").cogroup(models.groupBy("chunk")).applyInArrow(lean_cogroup(score_chunk), "k1 long, k2 long, n long, nll double"))
     discard(docs.sparkSession, name)
     return scored
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import bucketed, row_key, slices, stage
+from .common import bucketed, lean, row_key, slices, stage
 
 #: The contract's length, in bytes.
 LENGTH = 400
@@ -377,14 +377,14 @@ def dealt_windows(crowded: DataFrame, length: int, unit: str, hashed=window_hash
     windows are counted by text.
     """
     key = ["run", "left", "digest"]
-    each = stage(crowded.select(*key, "context", "n").mapInArrow(windows(length, unit, hashed), "run long, left int, digest binary, n long, at int, w long"))
+    each = stage(crowded.select(*key, "context", "n").mapInArrow(lean(windows(length, unit, hashed)), "run long, left int, digest binary, n long, at int, w long"))
     other = crowded.select("run", F.col("left").alias("hl"), F.col("digest").alias("hd"), F.col("context").alias("other"))
 
     def tried(each: DataFrame) -> DataFrame:
         held = stage(each.groupBy("run", "w").agg(F.sum("n").alias("k"), F.min(F.struct("left", "digest", "at")).alias("h")).filter("k > 1").select("run", "w", "h"))
         pairs = each.join(held, ["run", "w"]).groupBy(*key, F.col("h.left").alias("hl"), F.col("h.digest").alias("hd")).agg(F.collect_list(F.struct("at", F.col("h.at").alias("to"))).alias("pairs"))
         pairs = pairs.join(crowded.select(*key, "context"), key).join(other, ["run", "hl", "hd"]).select(*key, "context", "other", "pairs")
-        return stage(pairs.mapInArrow(verified(length, unit), VERDICT_SHAPE + ", wrong array<int>"))
+        return stage(pairs.mapInArrow(lean(verified(length, unit)), VERDICT_SHAPE + ", wrong array<int>"))
 
     found = tried(each)
     wrong = found.select(*key, F.explode("wrong").alias("at"))
@@ -393,7 +393,7 @@ def dealt_windows(crowded: DataFrame, length: int, unit: str, hashed=window_hash
     aside = stage(each.join(wrong, [*key, "at"]).select("run", "w").distinct())
     found = tried(each.join(aside, ["run", "w"], "left_anti").select(each.columns)).filter("size(spans) > 0").select(*key, "spans")
     doubtful = each.join(aside, ["run", "w"]).groupBy(*key).agg(F.first("n").alias("n"), F.collect_list("at").alias("at"))
-    texts = doubtful.join(crowded.select(*key, "context"), key).select(*key, "n", "context", "at").mapInArrow(window_texts(length, unit), "run long, left int, digest binary, n long, at int, w binary")
+    texts = doubtful.join(crowded.select(*key, "context"), key).select(*key, "n", "context", "at").mapInArrow(lean(window_texts(length, unit)), "run long, left int, digest binary, n long, at int, w binary")
     again = texts.groupBy("run", "w").agg(F.sum("n").alias("k")).filter("k > 1").select("run", "w")
     span = F.struct(F.col("at").alias("first"), F.col("at").alias("last"))
     return found.unionByName(texts.join(again, ["run", "w"]).groupBy(*key).agg(F.collect_list(span).alias("spans")))
@@ -473,7 +473,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     docs, _ = bucketed(docs.select("row", *row_key("id"), "text"), "k1", "k2")
-    found = stage(docs.select("k1", "k2", "text").mapInArrow(text_anchors(length, unit), "k1 long, k2 long, run long, place int, first int, last int"))
+    found = stage(docs.select("k1", "k2", "text").mapInArrow(lean(text_anchors(length, unit)), "k1 long, k2 long, run long, place int, first int, last int"))
     twice = stage(found.groupBy("run").agg(F.count("*").alias("k")).filter("k > 1").select("run", (F.col("k") > most).alias("busy")))  # a table, so that the join can split hot runs
     live = stage(found.join(twice, "run").groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "place", "first", "last", "busy")).alias("anchors")))
 
@@ -482,7 +482,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def found_in(busy: bool) -> DataFrame:
         some = live.select("k1", "k2", F.filter("anchors", lambda a: a["busy"] == busy).alias("anchors")).filter("size(anchors) > 0")
-        return around(some).select("text", "anchors").mapInArrow(contexts(length, unit), CONTEXT_SHAPE)
+        return around(some).select("text", "anchors").mapInArrow(lean(contexts(length, unit)), CONTEXT_SHAPE)
 
     to_sort, dealt = found_in(False), None
     if not twice.filter("busy").isEmpty():
@@ -491,13 +491,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         to_sort = to_sort.unionByName(counted.join(crowds, "run", "left_anti").select(*to_sort.columns))
         if not crowds.isEmpty():
             dealt = dealt_windows(stage(counted.join(crowds, "run")), length, unit, hashed)
-    verdict = to_sort.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(sorter(length, unit), VERDICT_SHAPE)
+    verdict = to_sort.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(lean(sorter(length, unit)), VERDICT_SHAPE)
     verdict = stage(verdict if dealt is None else verdict.unionByName(dealt))
-    starts = around(live).select("k1", "k2", "text", "anchors").mapInArrow(marks(length, unit), "k1 long, k2 long, run long, left int, digest binary, first int").join(verdict, ["run", "left", "digest"])
+    starts = around(live).select("k1", "k2", "text", "anchors").mapInArrow(lean(marks(length, unit)), "k1 long, k2 long, run long, left int, digest binary, first int").join(verdict, ["run", "left", "digest"])
     moved = F.transform("spans", lambda x: F.struct((F.col("first") + x["first"]).alias("first"), (F.col("first") + x["last"]).alias("last")))
     starts = starts.select("k1", "k2", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("starts"))
     row = docs.schema["row"].dataType.simpleString()
-    return docs.join(starts.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "starts").mapInArrow(cleaned(length, unit), f"row {row}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.join(starts.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "starts").mapInArrow(lean(cleaned(length, unit)), f"row {row}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
