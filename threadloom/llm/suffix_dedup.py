@@ -413,16 +413,6 @@ def marks(length: int, unit: str):
     return run
 
 
-def _decoded(kept):
-    """Bytes as text, without replacement characters for the halves of characters that a cut leaves."""
-
-    @F.pandas_udf("string")
-    def decode(raw):
-        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decode(kept)
-
-
 def removed(raw: bytes, starts: list[tuple[int, int]], length: int = LENGTH, unit: str = "bytes") -> tuple[bytes, list[tuple[int, int]]]:
     """What stays of raw, and the maximal removed runs, if the windows that start in the intervals [first, last] go; a word
     takes the spaces after it along."""
@@ -444,9 +434,9 @@ def removed(raw: bytes, starts: list[tuple[int, int]], length: int = LENGTH, uni
     return b"".join([*kept, raw[at:]]), [(a, b) for a, b in runs]
 
 
-def cleaned(length: int, unit: str):
-    """(row, text, starts) to (row, kept, n_bytes, n_removed, n_spans)."""
-    types = {"kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
+def cleaned(length: int, unit: str, as_text: bool = False):
+    """(row, text, starts) to (row, kept, n_bytes, n_removed, n_spans); kept as text has no halves of characters that a cut leaves."""
+    types = {"kept": pa.string() if as_text else pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -454,15 +444,16 @@ def cleaned(length: int, unit: str):
             for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 raw = text.encode()
                 kept, runs = removed(raw, [(s["first"], s["last"]) for s in starts or ()], length, unit)
-                out.append((kept, len(raw), len(raw) - len(kept), len(runs)))
+                out.append((kept.decode("utf-8", "ignore") if as_text else kept, len(raw), len(raw) - len(kept), len(runs)))
             new = _batch(out, types)
             yield pa.RecordBatch.from_arrays([b.column("row"), *new.columns], ["row", *new.schema.names])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, unit: str = "bytes", most: int = MOST, hashed=window_hash) -> DataFrame:
-    """(row, kept, n_bytes, n_removed, n_spans), one row for each row of docs: row a struct of all its columns, kept the bytes left.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, unit: str = "bytes", most: int = MOST, hashed=window_hash, as_text: bool = False) -> DataFrame:
+    """(row, kept, n_bytes, n_removed, n_spans), one row for each row of docs: row a struct of all its columns, kept the bytes left,
+    or, as_text, the whole characters among them.
 
     A byte goes if a string of `length` units over it also starts anywhere else, in the same text or another; strings are
     judged on the input, and every copy goes, the first too. unit "bytes", or "words": what stands between spaces, compared
@@ -497,7 +488,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     moved = F.transform("spans", lambda x: F.struct((F.col("first") + x["first"]).alias("first"), (F.col("first") + x["last"]).alias("last")))
     starts = starts.select("k1", "k2", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("starts"))
     row = docs.schema["row"].dataType.simpleString()
-    return docs.join(starts.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "starts").mapInArrow(lean(cleaned(length, unit)), f"row {row}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.join(starts.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "starts").mapInArrow(lean(cleaned(length, unit, as_text)), f"row {row}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -509,6 +500,6 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH, unit: str = "bytes") -> DataFrame:
     """docs with its columns, the text cut as remove_repeats() says; broken characters at the cuts go, n_chars follows, and rows
     left without text, or that never had one, go. No copy of a repeated string stays, so a document that is all repeats goes."""
-    out = remove_repeats(docs, length=length, unit=unit).withColumn("text", _decoded(F.col("kept")))
+    out = remove_repeats(docs, length=length, unit=unit, as_text=True).withColumnRenamed("kept", "text")
     cols = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return out.filter(F.trim("text") != "").select(*cols)
