@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, media_columns, merkle, ngram_quality, source_mix, spelling, suffix_dedup, toxicity, url_rules, warc
+from . import decontaminate, jaccard_join, language_id, media_columns, merkle, minhash, ngram_quality, source_mix, spelling, suffix_dedup, toxicity, url_rules, warc
 from .common import shared_dir, short_batches, table
 
 
@@ -57,6 +57,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_rows(table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def _bounded(f):
 
 
 def queries() -> dict:
-    return {f.__name__: _bounded(f) for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op4_language_id, op5_url_rules, op6_media_columns, op7_toxicity, op8_source_mix, op9_warc, op10_jaccard_join, op11_spelling_variants, op13_merkle_manifest, pipeline)}
+    return {f.__name__: _bounded(f) for f in (op1_decontaminate, op2_suffix_dedup, op3_ngram_quality, op4_language_id, op5_url_rules, op6_media_columns, op7_toxicity, op8_source_mix, op9_warc, op10_jaccard_join, op11_spelling_variants, op12_minhash_dedup, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -88,5 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_warc": warc.ORACLE,
         "op10_jaccard_join": jaccard_join.ORACLE,
         "op11_spelling_variants": spelling.ORACLE,
+        "op12_minhash_dedup": minhash.ORACLE,
         "op13_merkle_manifest": merkle.ORACLE,
     }
