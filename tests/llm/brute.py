@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 
@@ -223,3 +224,98 @@ def mixture(docs, weights=(5, 2, 1), cap=3):
         for _, i in mine:
             taken[i] = size[i] * (whole + (i in more))
     return taken
+
+
+def near_duplicates(docs, size=3, percent=85):
+    """(doc_id, n, component, kept) of rows (doc_id, text): all pairs of distinct sets."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or "")) for _, t in docs]
+    sets = [frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset() for w in words]
+    part = list(range(len(docs)))
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                part[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[root(i)].append(d)
+    out = []
+    for i, (d, _) in enumerate(docs):
+        c = (min(least[root(i)], default=None) if sets[i] else d)
+        out.append((d, len(sets[i]), c, d is not None and d == c))
+    return out
+
+
+def spelling(docs):
+    """(word, form, root, n, n_near, form_n) of rows (doc_id, text): every pair of words is compared."""
+    count = Counter()
+    for d, t in docs:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", t or ""):
+            w = ascii_lower(run)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            count[w] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 5 and n >= 3}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    out = {}
+    for w, n in words.items():
+        around = [v for v in words if near(w, v)]
+        best = min(around, key=lambda v: (-words[v], v), default=None)
+        form = best if best and words[best] >= 2 * n else None
+        out[w] = (form, n, len(around), words[form] if form else None)
+
+    def root(w):
+        return root(out[w][0]) if out[w][0] else w
+
+    return [(w, f, root(w), n, k, m) for w, (f, n, k, m) in out.items()]
+
+
+def manifest(docs):
+    """Rows of the Merkle query for rows (doc_id, source, lang, n_chars, text), level by level."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    code = lambda vs: "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in vs)
+    leaf = [sha(code(r)) for r in docs]
+    bent = [sha(code((*r[:3], r[3] + 1, r[4]))) if r[0] is not None and r[3] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 else None for r in docs]
+
+    def tree(nodes):
+        """The top and, for each node, its path: (side, sibling or '')."""
+        paths, at, level = [[] for _ in nodes], list(range(len(nodes))), nodes
+        while len(level) > 1:
+            for i, j in enumerate(at):
+                k = j ^ 1
+                paths[i].append((j & 1, level[k] if k < len(level) else ""))
+            at = [j // 2 for j in at]
+            level = [sha("".join(level[j : j + 2])) for j in range(0, len(level), 2)]
+        return level[0], paths
+
+    groups = defaultdict(list)
+    for i, r in enumerate(docs):
+        groups[r[2]].append(i)
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    tops, paths = {}, {}
+    for name in names:
+        own = sorted(groups[name], key=lambda i: (docs[i][0] is not None, docs[i][0] or 0, leaf[i]))
+        tops[name], found = tree([leaf[i] for i in own])
+        paths |= dict(zip(own, found, strict=True))
+    root, above = tree([tops[x] for x in names]) if names else (None, [])
+    out = []
+    for i, r in enumerate(docs):
+        path = paths[i] + above[names.index(r[2])]
+        node = bent[i] or leaf[i]
+        for side, kin in path:
+            node = sha(kin + node if side else node + kin)
+        out.append((r[0], leaf[i], tops[r[2]], root, sha("".join(k for _, k in path)), node, node == root))
+    return out

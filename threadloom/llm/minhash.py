@@ -18,6 +18,7 @@ or more.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -40,7 +41,7 @@ BLOCK, OVERHEAD = 200_000, 200
 #: Classes on each side of a group that is dealt out of a large pool.
 GROUP = 200
 #: The keys that are searched at a time in large pools.
-TURNS = (0, 2, 8, BANDS)
+TURNS = (0, 4, BANDS)
 U = np.uint64
 SEEDS = poly_hash.mix(np.arange(1, 2 * WIDTH + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 FULL = U(2**64 - 1)
@@ -183,29 +184,33 @@ def dealt(rows: DataFrame, asking: str) -> DataFrame:
     return index.unionByName(query).withColumn("block", F.col("i") * F.col("ask") + F.col("j"))
 
 
-def labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """members with label, the least class that links lead to."""
-    return members.drop("label").join(components(edges).withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (c, label, others) with the labels that links between classes now lead to; parts, not classes, are contracted."""
+    ends = [members.select(F.col("c").alias(x), F.col("label").alias(y)) for x, y in (("a", "la"), ("b", "lb"))]
+    parts = links.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    return members.join(components(parts).toDF("label", "to"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
 
 def links_of_large(members: DataFrame) -> DataFrame:
     """Links of the members (c, bands, text) of large pools, as point 4 says."""
+    texts = members.select("c", "text")
     posts = members.select("c", F.explode("bands").alias("key"))
     score = posts.join(posts.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "key").groupBy("c").agg(F.sum("k").alias("score"))
-    posts = cut(posts.join(score, "c").select("c", "key", "score"))
+    posts = posts.join(score, "c")
     hubs = posts.groupBy("key").agg(F.max(F.struct("score", "c")).alias("m")).select("key", F.col("m.c").alias("hub"))
-    stars = posts.join(hubs, "key").filter("c <> hub").select(F.col("hub").alias("at"), "c").distinct()
+    stars = cut(posts.join(hubs, "key").filter("c <> hub").select(F.col("hub").alias("at"), "c").distinct())
     own = stars.select("at").distinct().select("at", F.col("at").alias("c"))
     rows = stars.withColumn("asks", F.lit(True)).unionByName(own.withColumn("asks", F.lit(False))).withColumn("alone", F.lit(True))
-    found = found_in(dealt(rows.withColumn("label", F.col("c")), "asks").join(members.select("c", "text"), "c"))
+    found = [found_in(dealt(rows.withColumn("label", F.col("c")), "asks").join(texts, "c"))]
+    parts = members.select("c", "bands", F.col("c").alias("label"))
     for first, last in pairwise(TURNS):
-        parts = labelled(members, found)
+        if not found[-1].isEmpty():
+            parts = relabelled(parts, found[-1])
         posts = parts.select("c", "label", F.explode(F.slice("bands", first + 1, last - first)).alias("at"))
         mixed = posts.groupBy("at", "label").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
         rows = cut(posts.join(mixed, "at").select("at", "c", "label", (F.col("label") != F.col("main")).alias("asks"), F.lit(False).alias("alone")))
-        if not rows.isEmpty():
-            found = cut(found.unionByName(found_in(dealt(rows, "asks").join(members.select("c", "text"), "c"))))
-    return found
+        found.append(found_in(dealt(rows, "asks").join(texts, "c")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def link_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
