@@ -55,19 +55,17 @@ def test_neighbourhoods_are_full_and_hold_no_more():
     assert len(set(spelling.symbols("".join(map(chr, range(97, 123)))).tolist())) > 4
 
 
-@pytest.mark.parametrize("block, group", [(minhash.BLOCK, minhash.GROUP), (600, 4)])
-def test_near_duplicates(monkeypatch, corpus, docs, none, block, group):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 1500])
+def test_near_duplicates(monkeypatch, corpus, docs, none, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "GROUP", group)
     assert rows(minhash.near_duplicates(docs)) == sorted(brute.near_duplicates([r[:2] for r in corpus]), key=str)
     assert minhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 1])
+@pytest.mark.parametrize("block", [minhash.BLOCK, 2500])
 def test_near_duplicates_of_one_original_and_chains(monkeypatch, spark, block):
     """Copies that reach the threshold with their original only, and chains of copies; nothing is all pairs."""
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "GROUP", 16)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
     base = rng.sample(words, 120)

@@ -9,17 +9,15 @@ or more.
    classes that share a key are candidates. A pair at the threshold shares none with probability 6e-9. Keys of one class go.
 3. Classes joined by keys are pools. The texts of a pool come together in one task, which compares candidates on the words
    themselves, not on hashes, until what links is connected.
-4. A pool too large for a task is searched key by key: first all candidates against the class of most candidates under each
-   key, a copy's original as a rule; then, a few keys at a time, under keys whose classes are not yet all connected, those outside
-   the largest part against all. Both are dealt out in groups of at most GROUP by GROUP. No link is lost: two classes under a
-   key are in one part or are compared.
+4. A pool too large for a task is searched in two rounds. First each class asks one other, that with most candidates of all that it
+   shares a key with, a copy's original as a rule. Then classes that share a key with a part that they are not connected to meet,
+   in blocks: those outside the pool's largest part against all. Overlaps of one class with a block are counted together, from the
+   block's inverted lists. No link is lost: two classes under a key are in one part or are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +34,8 @@ SHINGLE = 3
 PERCENT = 85
 BANDS, ROWS = 40, 6
 WIDTH = BANDS * ROWS
-#: A pool for one task: the shingles of its classes, and OVERHEAD for each class, sum to no more.
+#: A pool for one task, or one side of a block: the shingles of its classes, and OVERHEAD for each class, sum to about no more.
 BLOCK, OVERHEAD = 200_000, 200
-#: Classes on each side of a group that is dealt out of a large pool.
-GROUP = 200
-#: The keys that are searched at a time in large pools.
-TURNS = (0, 4, BANDS)
 U = np.uint64
 SEEDS = poly_hash.mix(np.arange(1, 2 * WIDTH + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 FULL = U(2**64 - 1)
@@ -120,21 +114,31 @@ def links(index: list[tuple], query: list[tuple]) -> list[tuple[int, int]]:
 
     under: dict[int, dict[int, list[int]]] = {}
     out = []
+    sizes = np.array([len(x) for x in sets])
+    tok = np.concatenate(sets)
+    order = np.argsort(tok, kind="stable")
+    owners = np.repeat(np.arange(len(sets)), sizes)[order]
+    starts = np.searchsorted(tok[order], np.arange(int(tok.max()) + 2))
+
+    def overlaps(i: int) -> np.ndarray:
+        """How much each member shares with member i: its inverted lists, counted."""
+        first, n = starts[sets[i]], starts[sets[i] + 1] - starts[sets[i]]
+        skip = np.repeat(first - np.cumsum(n) + n, n)
+        return np.bincount(owners[skip + np.arange(len(skip))], minlength=len(sets))
 
     def ask(i: int) -> None:
         c, label, keys, _ = members[i]
-        own, seen = sets[i], set()
+        fits = None
         for key in keys:
             for part, others in under.get(key, {}).items():  # a part as it was called when it came
-                for j in others:
-                    if root(part) == root(label):
-                        break
-                    if j not in seen:
-                        seen.add(j)
-                        a, b = len(own), len(sets[j])
-                        if linked(a, b, min(a, b)) and linked(a, b, len(np.intersect1d(own, sets[j], assume_unique=True))):
-                            out.append((c, members[j][0]))
-                            parent[root(label)] = root(part)
+                if root(part) == root(label):
+                    continue
+                if fits is None:
+                    both = overlaps(i)
+                    fits = linked(sizes[i], sizes, both)
+                if (j := next((j for j in others if fits[j]), None)) is not None:
+                    out.append((c, members[j][0]))
+                    parent[root(label)] = root(part)
 
     for i, (_, label, keys, _) in enumerate(index):
         if not query:
@@ -172,16 +176,15 @@ def found_in(groups: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(lean(search), "a long, b long"))
 
 
-def dealt(rows: DataFrame, asking: str) -> DataFrame:
-    """Members (at, c, label, text, asking or not) in blocks of GROUP by GROUP: those that ask meet all of their at."""
-    asked = F.expr(f"NOT {asking} OR NOT alone")  # where hubs stand alone, only they are asked
-    sizes = rows.groupBy("at").agg(F.ceil(F.count_if(asked) / GROUP).alias("all"), F.ceil(F.count_if(F.col(asking)) / GROUP).alias("ask"))
-    rows = rows.join(sizes, "at").withColumn("keys", F.array(F.lit(0).cast("long")))
+def dealt(rows: DataFrame) -> DataFrame:
+    """Members (at, c, n, label, keys, asks, asked) in blocks: those that ask meet all of their at that are asked."""
+    blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col(who), F.col("n") + OVERHEAD)) / BLOCK)).alias(f"{who}_in")
+    rows = rows.join(rows.groupBy("at").agg(blocks("asks"), blocks("asked")), "at")
     own = lambda n: F.pmod(F.xxhash64("c", F.col("at")), F.col(n))
-    count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    index = rows.filter(asked).select("*", own("all").alias("i"), count("ask").alias("j"), F.lit(0).alias("side"))
-    query = rows.filter(asking).select("*", own("ask").alias("j"), count("all").alias("i"), F.lit(1).alias("side"))
-    return index.unionByName(query).withColumn("block", F.col("i") * F.col("ask") + F.col("j"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    index = rows.filter("asked").select("*", own("asked_in").alias("i"), each("asks_in").alias("j"), F.lit(0).alias("side"))
+    query = rows.filter("asks").select("*", own("asks_in").alias("j"), each("asked_in").alias("i"), F.lit(1).alias("side"))
+    return index.unionByName(query).withColumn("block", F.col("i") * F.col("asks_in") + F.col("j"))
 
 
 def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,25 +195,24 @@ def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def links_of_large(members: DataFrame) -> DataFrame:
-    """Links of the members (c, bands, text) of large pools, as point 4 says."""
-    texts = members.select("c", "text")
-    posts = members.select("c", F.explode("bands").alias("key"))
+    """Links of the members (at, c, n, bands, text) of large pools, as point 4 says."""
+    texts, parts = members.select("c", "text"), members.select("at", "c", "n", "bands", F.col("c").alias("label"))
+    posts = parts.select("c", "n", F.explode("bands").alias("key"))
     score = posts.join(posts.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "key").groupBy("c").agg(F.sum("k").alias("score"))
     posts = posts.join(score, "c")
-    hubs = posts.groupBy("key").agg(F.max(F.struct("score", "c")).alias("m")).select("key", F.col("m.c").alias("hub"))
-    stars = cut(posts.join(hubs, "key").filter("c <> hub").select(F.col("hub").alias("at"), "c").distinct())
-    own = stars.select("at").distinct().select("at", F.col("at").alias("c"))
-    rows = stars.withColumn("asks", F.lit(True)).unionByName(own.withColumn("asks", F.lit(False))).withColumn("alone", F.lit(True))
-    found = [found_in(dealt(rows.withColumn("label", F.col("c")), "asks").join(texts, "c"))]
-    parts = members.select("c", "bands", F.col("c").alias("label"))
-    for first, last in pairwise(TURNS):
-        if not found[-1].isEmpty():
-            parts = relabelled(parts, found[-1])
-        posts = parts.select("c", "label", F.explode(F.slice("bands", first + 1, last - first)).alias("at"))
-        mixed = posts.groupBy("at", "label").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-        rows = cut(posts.join(mixed, "at").select("at", "c", "label", (F.col("label") != F.col("main")).alias("asks"), F.lit(False).alias("alone")))
-        found.append(found_in(dealt(rows, "asks").join(texts, "c")))
-    return reduce(DataFrame.unionByName, found)
+    best = posts.groupBy("key").agg(F.max(F.struct("score", "c", "n")).alias("best"))
+    stars = cut(posts.join(best, "key").groupBy("c", "n").agg(F.max("best").alias("best")).filter("c <> best.c").select(F.col("best.c").alias("at"), "c", "n", F.col("best.n").alias("hub_n")))
+    hubs = stars.select("at", F.col("at").alias("c"), F.col("hub_n").alias("n")).distinct().withColumns({"asks": F.lit(False), "asked": F.lit(True)})
+    rows = stars.drop("hub_n").withColumns({"asks": F.lit(True), "asked": F.lit(False)}).unionByName(hubs)
+    found = found_in(dealt(rows.withColumns({"label": F.col("c"), "keys": F.array(F.lit(0).cast("long"))})).join(texts, "c"))
+
+    parts = cut(relabelled(parts, found))
+    posts = parts.select("c", "label", F.explode("bands").alias("key"))
+    mixed = posts.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
+    open_ = parts.join(posts.join(mixed, "key", "left_semi").select("c").distinct(), "c")
+    main = open_.groupBy("at", "label").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
+    rows = open_.join(main, "at").select("at", "c", "n", "label", F.col("bands").alias("keys"), (F.col("label") != F.col("main")).alias("asks"), F.lit(True).alias("asked"))
+    return found.unionByName(found_in(dealt(rows).join(texts, "c")))
 
 
 def link_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -221,11 +223,11 @@ def link_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     pools = components(stars).withColumnsRenamed({"node": "c", "label": "at"})
     members = classes.join(pools, "c")
     weight = members.groupBy("at").agg((F.sum(F.col("n") + OVERHEAD) > BLOCK).alias("large"))
-    members = cut(members.join(weight, "at").select("at", "large", "c", "k1", "k2", "bands"))
+    members = cut(members.join(weight, "at").select("at", "large", "c", "n", "k1", "k2", "bands"))
     texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))  # repeated rows once, before they travel
     members = stage(texts.join(members, ["k1", "k2"]).drop("k1", "k2"))
     small = members.filter("NOT large").select("at", F.lit(0).alias("block"), F.lit(0).alias("side"), "c", F.col("c").alias("label"), F.col("bands").alias("keys"), "text")
-    found, large = found_in(small), members.filter("large").select("c", "bands", "text")
+    found, large = found_in(small), members.filter("large").select("at", "c", "n", "bands", "text")
     return found if large.isEmpty() else found.unionByName(links_of_large(large))
 
 
