@@ -1,11 +1,13 @@
 """Spelling variants: words that are one edit apart, found through a reduced alphabet, and followed to their commonest form.
 
 1. Words are counted over all texts, with map-side sums; from here on only the vocabulary is handled.
-2. Letters are hashed to SYMBOLS symbols. Words one edit apart have reduced words that are equal or one edit apart, so the full
-   neighbourhood of each reduced word (itself, and every symbol deleted, replaced, inserted) holds the reduced words of all its
-   near words. Neighbours are known by the polynomial hash of their symbols, each made from the hash of the word in a few
-   operations, so a very long word costs its length, not its square; what a hash confuses is sorted out in the last step.
-3. Neighbours are joined with the reduced vocabulary, ids only, and candidate pairs are verified on the words themselves.
+2. Letters are hashed to SYMBOLS symbols. Words one edit apart have reduced words that are equal or one edit apart. One-edit
+   neighbourhoods of reduced words are generated whole, each edit at one of its two ends: deletions at the longer word, which
+   are the insertions of the shorter one, and replacements at the word with the lesser symbol. Neighbours are known by the
+   polynomial hash of their symbols, each made from the hash of the word in a few operations, so a very long word costs its
+   length, not its square; what a hash confuses is sorted out in the last step.
+3. Neighbours are joined with the reduced vocabulary. Rows carry ids and a mask of the letters that a word has an odd number of
+   times, in which one edit changes two bits at most; what passes that is verified on the words themselves.
 4. A form has at least twice the count of its word, so forms make trees; pointers are doubled until they end at roots.
 """
 
@@ -22,7 +24,7 @@ from . import poly_hash
 from .common import ascii_lower, cut, lean, stage
 
 RUN = r"[A-Za-zÀ-ÿ]+"
-#: Symbols of the reduced alphabet. Eight letters make 16 million reduced words and 137 neighbours.
+#: Symbols of the reduced alphabet. Eight letters make 16 million reduced words.
 SYMBOLS = 8
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 #: One run in NOISE loses a letter.
@@ -38,51 +40,58 @@ def symbols(word: str) -> np.ndarray:
     return (poly_hash.mix(np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(U) + U(1)) % U(SYMBOLS)).astype(np.int64)
 
 
-def reduced(word: str) -> np.ndarray:
-    """The hash of the reduced word, as an array of one."""
-    return poly_hash.prefixes(MARKS[symbols(word)])[-1:]
+def letter_mask(word: str) -> int:
+    """A bit for each of 64 hashes of letters, set where its letters occur an odd number of times."""
+    letters = poly_hash.mix(np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(U) + U(99)) % U(64)
+    return int(np.bitwise_xor.reduce(U(1) << letters).view(np.int64))
 
 
-def neighbours(word: str, step: int = BATCH // (2 * SYMBOLS)) -> Iterator[np.ndarray]:
-    """Hashes of the full one-edit neighbourhood of a reduced word, itself included, step positions at a time, distinct within each."""
-    s = symbols(word)
+def reduced(s: np.ndarray) -> np.ndarray:
+    """The hash of a reduced word, as an array of one."""
+    return poly_hash.prefixes(MARKS[s])[-1:]
+
+
+def neighbours(s: np.ndarray, step: int = BATCH // SYMBOLS) -> Iterator[np.ndarray]:
+    """Hashes of a reduced word, of it with each symbol deleted and with each symbol replaced by greater ones, step positions at a time, distinct within each."""
     own, before = MARKS[s], poly_hash.prefixes(MARKS[s])
-    n, whole = len(s), before[-1]
-    power, back = poly_hash.powers(n + 1), poly_hash.powers(2, "down")[1]
-    for a in range(0, n + 1, step):
-        i = np.arange(a, min(a + step, n + 1))
-        inserted = (before[i] + (whole - before[i]) * U(poly_hash.BASE))[:, None] + MARKS[None, :] * power[i][:, None]
-        i = i[i < n]
+    whole, power, back = before[-1], poly_hash.powers(len(s)), poly_hash.powers(2, "down")[1]
+    for a in range(0, len(s), step):
+        i = np.arange(a, min(a + step, len(s)))
         deleted = before[i] + (whole - before[i + 1]) * back
-        replaced = whole + (MARKS[None, :] - own[i][:, None]) * power[i][:, None]  # with its own symbol: the word itself
-        yield np.unique(np.concatenate([inserted.ravel(), deleted, replaced.ravel()]))
+        at, to = np.nonzero(np.arange(SYMBOLS) > s[i][:, None])
+        replaced = whole + (MARKS[to] - own[i][at]) * power[i][at]
+        yield np.unique(np.concatenate([before[-1:], deleted, replaced]))
 
 
 def neighbour_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, word) to (id, key), one row for each neighbour."""
-    ids, keys, n = [], [], 0
+    """(id, word) to (id, mask, key), one row for each neighbour."""
+    ids, masks, keys, n = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(k) for k in keys]), pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], ["id", "key"])
+        spread = [np.repeat(np.array(x, np.int64), [len(k) for k in keys]) for x in (ids, masks)]
+        return pa.RecordBatch.from_arrays([pa.array(spread[0]), pa.array(spread[1]), pa.array(np.concatenate(keys).view(np.int64))], ["id", "mask", "key"])
 
     for b in batches:
         for i, word in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for found in neighbours(word.as_py()):
+            mask = letter_mask(word.as_py())
+            for found in neighbours(symbols(word.as_py())):
                 ids.append(i)
+                masks.append(mask)
                 keys.append(found)
                 n += len(found)
                 if n >= BATCH:
                     yield flush()
-                    ids, keys, n = [], [], 0
+                    ids, masks, keys, n = [], [], [], 0
     if n:
         yield flush()
 
 
 def reduced_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, word) to (other, key): the reduced vocabulary."""
+    """(id, word) to (other, other_mask, key): the reduced vocabulary."""
     for b in batches:
-        keys = [reduced(w.as_py()) for w in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())], ["other", "key"])
+        words = b.column(1).to_pylist()
+        keys = np.concatenate([reduced(symbols(w)) for w in words]).view(np.int64) if words else []
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([letter_mask(w) for w in words], pa.int64()), pa.array(keys, pa.int64())], ["other", "other_mask", "key"])
 
 
 def noisy(run: Column, doc_id: Column) -> Column:
@@ -100,12 +109,15 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(id, word, n, near, near_n) of the ordered pairs of words (id, word, n) that differ by exactly one edit."""
+    """(word, n, near, near_n) of the ordered pairs of words (id, word, n) that differ by exactly one edit."""
     lists = words.select("id", "word")
-    keys = lists.mapInArrow(lean(neighbour_rows), "id long, key long")
-    pairs = keys.join(lists.mapInArrow(lean(reduced_rows), "other long, key long"), "key").filter("id <> other").select("id", "other").distinct()
-    pairs = pairs.join(words, "id").join(words.toDF("other", "near", "near_n"), "other")
-    return pairs.filter((F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)).select("id", "word", "n", "near", "near_n")
+    keys = lists.mapInArrow(lean(neighbour_rows), "id long, mask long, key long")
+    pairs = keys.join(lists.mapInArrow(lean(reduced_rows), "other long, other_mask long, key long"), "key")
+    pairs = pairs.filter("id <> other AND bit_count(mask ^ other_mask) <= 2").select("id", "other")
+    pairs = pairs.join(words, "id").join(words.toDF("other", "near", "near_n"), "other").select("word", "n", "near", "near_n")
+    pairs = pairs.filter((F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1))
+    ends = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    return pairs.select(F.explode(ends).alias("p")).select("p.*").dropDuplicates(["word", "near"])
 
 
 def roots(up: DataFrame) -> DataFrame:
