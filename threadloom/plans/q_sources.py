@@ -111,7 +111,10 @@ def embedding_table(spark, d):
 
 def train_baseline(spark, d):
     docs = sampling.stratified_split(table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), "text"), "label", "doc_id")
-    return G.train_job(docs)
+    path = _folder(spark)
+    A.append_run(G.eval_runs(G.train_job(docs), "language"), path)
+    metrics = F.from_json("metrics", "split string, macro_f1 double, selected boolean")
+    return spark.read.parquet(path).select("run_id", "task", "model_version", metrics.alias("m")).select("run_id", "task", "model_version", "m.*")
 
 
 def sanitised_labels(spark, d):
