@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 
-import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Y
+
+from ..sources.shared import cut, shared_dir
 
 TOP_K, POOL, SOURCES, MIN_SCORE = 5, 10, 4, 0.0
 #: Vectors of a block of queries and of the corpus, about.
 BLOCK, CHUNK = 1024, 4096
+#: An index: rows its cells are learned from and their number, at most; bits of a code; rows whose codes are compared to find the
+#: distance that a share CLOSE of pairs does not exceed, beyond which codes are passed over.
+SAMPLE, MOST_CELLS, BITS, PAIRED, CLOSE = 20_000, 1_024, 512, 1_000, 0.06
+#: Queries that choose the number of probes.
+PROBED = 64
 STOP = "a about after all an and any are as at be been but by can do for from had has have he her his how i if in into is it its me my no not of on or our out so than that the their them then there they this to up was we were what when which who will with you your".split()
 
 
@@ -64,26 +70,149 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, where: Column |
     return pairs.mapInArrow(near, shape).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, tables: int = 12, width: float = 0.25, seed: int = 7) -> DataFrame:
-    """As top_k(), over the corpus rows that share a bucket of a random projection with the query. Projections of unit vectors
-    lie within -1 and 1, so a bucket is an eighth of their range."""
-    norm = Normalizer(inputCol="v", outputCol="features")
-    c = norm.transform(corpus.select("id", array_to_vector(F.col("vector")).alias("v"))).select("id", "features")
-    q = norm.transform(queries.select("query_id", array_to_vector(F.col("vector")).alias("v"))).select("query_id", "features")
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(c)
-    near = lsh.approxSimilarityJoin(q, c, 2.0, "d").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), (1 - F.col("d") ** 2 / 2).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+def build_index(corpus: DataFrame, path: str, seed: int = 7) -> DataFrame:
+    """An index of corpus (id, vector), written to path by cell and read back: (cell, chunk, v), v the ids, codes and unit vectors of
+    at most about CHUNK rows of a cell.
+
+    Cells are k-means cells of SAMPLE rows at most, those of least hash; every row is in the cell of its nearest centre. A code is
+    the signs of BITS random projections, and beside the index lie the cells' centres and the distance of codes up to which vectors are
+    compared, that of CLOSE of the pairs of PAIRED rows. Null vectors are left out; zero vectors have a cell like others and score 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = corpus.filter("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    count = rows.count()
+    cells = max(1, min(MOST_CELLS, int(count**0.5)))
+    some = rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE).select(array_to_vector("vector").alias("v"))
+    unit = Normalizer(inputCol="v", outputCol="features").transform(some)
+    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(unit).clusterCenters()) if count else np.zeros((1, 1))
+    paired = _codes(np.array([r.v.toArray() for r in some.limit(PAIRED).collect()]), seed) if count else np.zeros((1, BITS // 64), np.uint64)
+    apart = np.sort(np.concatenate([np.bitwise_count(paired[i + 1 :] ^ row).sum(1) for i, row in enumerate(paired)]))
+    within = int(apart[int(CLOSE * len(apart))]) if len(apart) else BITS
+    shape = f"cell int, id {dict(corpus.dtypes)['id']}, code array<long>, vector array<double>"
+
+    def placed(batches):
+        for b in batches:
+            if b.num_rows:
+                m = _units(b.column(1))
+                near = (2 * m @ centres.T - (centres**2).sum(1)).argmax(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(near), b.column(0), pa.array(list(_codes(m, seed).view(np.int64)), pa.list_(pa.int64())), pa.array(list(m), pa.list_(pa.float64()))], ["cell", "id", "code", "vector"])
+
+    known = cut(rows.mapInArrow(placed, shape))
+    chunks = known.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = known.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))  # MOST_CELLS rows
+    blocks = dealt.groupBy("cell", "chunk").agg(F.collect_list(F.struct("id", "code", "vector")).alias("v"))
+    blocks.write.partitionBy("cell").parquet(path)
+    spark = corpus.sparkSession
+    spark.createDataFrame([(i, c.tolist(), within) for i, c in enumerate(centres)], "cell int, centre array<double>, within int").write.parquet(f"{path}-centres")
+    return spark.read.schema(blocks.schema).parquet(path)
+
+
+def _units(vectors):
+    """The vectors of an Arrow column as rows of unit length."""
+    import numpy as np
+
+    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
+def _codes(m, seed: int):
+    """The signs of BITS random projections of each row, as 64-bit words."""
+    import numpy as np
+
+    signs = m @ np.random.default_rng(seed).standard_normal((m.shape[1], BITS)) > 0
+    return np.packbits(signs, axis=1).view(np.uint64)
+
+
+def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | None = None, seed: int = 7) -> DataFrame:
+    """(query_id, id, score, rank, compared): the k best of an index for queries (query_id, vector).
+
+    A query reads its `probes` nearest cells (all without a number); other cells' files are pruned. There, codes too
+    far from the query's are passed over; the rest, compared in number, is scored exactly.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = queries.sparkSession
+    index = spark.read.parquet(path)
+    known = spark.read.parquet(f"{path}-centres").orderBy("cell").collect()  # MOST_CELLS at most
+    centres, within, wanted = np.array([r.centre for r in known]), known[0].within, probes or len(known)
+    shape = f"query_id {dict(queries.dtypes)['query_id']}, cells array<int>, vector array<double>"
+
+    def routed(batches):
+        for b in batches:
+            if b.num_rows:
+                m = _units(b.column(1))
+                order = np.argsort((centres**2).sum(1) - 2 * m @ centres.T, axis=1)[:, :wanted].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(order), pa.list_(pa.int32())), pa.array(list(m), pa.list_(pa.float64()))], ["query_id", "cells", "vector"])
+
+    asked = queries.filter("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(routed, shape)
+    asked = asked.select("query_id", "vector", F.explode("cells").alias("cell"))
+    sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = asked.join(F.broadcast(sizes), "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
+    ids, answer = dict(queries.dtypes)["query_id"], index.schema["v"].dataType.elementType["id"].dataType.simpleString()
+
+    def near(batches):
+        for b in batches:
+            for q, c in zip(b.column(0), b.column(1), strict=True):
+                qs, cs = q.values, c.values
+                qm, cm = _units(qs.field("vector")), _units(cs.field("vector"))
+                codes = np.array(cs.field("code").to_pylist(), np.int64).view(np.uint64)
+                at, to, score, compared = [], [], [], []
+                for i, (row, code) in enumerate(zip(qm, _codes(qm, seed), strict=True)):
+                    some = np.nonzero(np.bitwise_count(codes ^ code).sum(1) <= within)[0]
+                    s = cm[some] @ row
+                    best = np.argsort(-np.round(s, 9), kind="stable")[:k]
+                    if len(s) > k:  # equal scores at the end stay together
+                        best = np.nonzero(np.round(s, 9) >= np.round(s[best[-1]], 9))[0]
+                    at += [i] * len(best)
+                    to += some[best].tolist()
+                    score += s[best].tolist()
+                    compared += [len(some)] + [0] * (len(best) - 1) if len(best) else []
+                yield pa.RecordBatch.from_arrays([qs.field("query_id").take(pa.array(at, pa.int64())), cs.field("id").take(pa.array(to, pa.int64())), pa.array(score, pa.float64()), pa.array(compared, pa.int64())], ["query_id", "id", "score", "compared"])
+
+    found = asked.join(index, "cell").select("q", "v").mapInArrow(near, f"query_id {ids}, id {answer}, score double, compared long")
+    own = Window.partitionBy("query_id")
+    rank = F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "id"))
+    return found.withColumns({"rank": rank, "compared": F.sum("compared").over(own)}).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank", "compared")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of exact's rows (query_id, id) that found has."""
+    r = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]
+    return 1.0 if r is None else r
+
+
+def fewest_probes(queries: DataFrame, corpus: DataFrame, path: str, k: int = TOP_K, least: float = 0.9) -> int:
+    """The number of probes, by doubling, with which the index at path reaches a recall of least for PROBED of the queries at most,
+    against exact search; all cells where no smaller number does, as in vectors without clusters."""
+    some = queries.orderBy(F.xxhash64("query_id")).limit(PROBED)
+    exact = cut(top_k(some, corpus, k))
+    cells, probes = corpus.sparkSession.read.parquet(f"{path}-centres").count(), 1
+    while probes < cells and recall(search_index(some, path, k, probes), exact) < least:
+        probes *= 2
+    return min(probes, cells)
+
+
+def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, least: float = 0.9) -> DataFrame:
+    """As top_k(), by an index of corpus with as few probes as reach a recall of least."""
+    path = f"{shared_dir(corpus.sparkSession)}/index-{uuid.uuid4().hex}"
+    build_index(corpus, path)
+    return search_index(queries, path, k, fewest_probes(queries, corpus, path, k, least)).drop("compared")
 
 
 def retrieve(queries: DataFrame, collections: dict[str, DataFrame], k: int = TOP_K, exclude: DataFrame | None = None) -> DataFrame:
     """(query_id, kind, id, score, rank) over all collections, without the pairs (query_id, id) of exclude."""
-    hits = None
+    hits, more = None, 0
+    if exclude is not None:  # each query may lose as many hits as it excludes
+        exclude = exclude.select("query_id", "id").distinct()
+        more = exclude.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for kind, corpus in collections.items():
-        part = top_k(queries, corpus, k + (1 if exclude is not None else 0)).select("query_id", F.lit(kind).alias("kind"), "id", "score")
+        part = top_k(queries, corpus, k + more).select("query_id", F.lit(kind).alias("kind"), "id", "score")
         hits = part if hits is None else hits.unionByName(part)
     if exclude is not None:
-        hits = hits.join(exclude.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        hits = hits.join(exclude, ["query_id", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "kind", "id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -103,19 +232,21 @@ def rerank(hits: DataFrame, score: Column) -> DataFrame:
     return hits.withColumn("second", score).withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("second"), "rank")))
 
 
-HITS = Y.ArrayType(Y.StructType([Y.StructField("start", Y.IntegerType()), Y.StructField("end", Y.IntegerType())]))
-
-
-@F.pandas_udf(HITS)
-def highlight(query: pd.Series, document: pd.Series) -> pd.Series:
-    """Places of the document's words that are words of the query, stop words left out."""
-    word, stop = re.compile(r"\w+"), set(STOP)
+def highlight(query: Column, document: Column) -> Column:
+    """Places (start, end) of the document's words that are words of the query, stop words left out: the document is split at its
+    words, and their places are the running lengths of what lies between and of the words themselves."""
+    word = r"[\p{L}\p{N}_]+"
+    text, terms = F.coalesce(document, F.lit("")), words_of(F.coalesce(query, F.lit("")))
+    pieces = F.arrays_zip(F.split(text, word, -1).alias("gap"), F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("word"))
+    none = F.array().cast("array<struct<start: int, end: int>>")
 
-    def spans(q: str, d: str) -> list[dict]:
-        terms = {w.lower() for w in word.findall(q or "")} - stop
-        return [{"start": m.start(), "end": m.end()} for m in word.finditer(d or "") if m.group().lower() in terms]
+    def step(so_far: Column, piece: Column) -> Column:
+        start = so_far["at"] + F.length(piece["gap"])
+        end = (start + F.coalesce(F.length(piece["word"]), F.lit(0))).cast("int")
+        hit = F.array(F.struct(start.cast("int").alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(piece["word"])), F.concat(so_far["spans"], hit)).otherwise(so_far["spans"]).alias("spans"))
 
-    return pd.Series([spans(q, d) for q, d in zip(query, document, strict=True)])
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda x: x["spans"])
 
 
 def search(queries: DataFrame, collections: dict[str, DataFrame], texts: DataFrame, k: int = TOP_K, reranked: bool = True) -> DataFrame:
