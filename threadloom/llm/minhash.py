@@ -9,9 +9,10 @@ or more.
    classes that share a key are candidates. A pair at the threshold shares none with probability 6e-9. Keys of one class go.
 3. Classes joined by keys are pools. The texts of a pool come together in one task, which compares candidates on the words
    themselves, not on hashes, until what links is connected.
-4. A pool too large for a task is searched in two rounds. First each class asks one other, that with most candidates of all that it
-   shares a key with, a copy's original as a rule. Then classes that share a key with a part that they are not connected to meet,
-   in blocks: those outside the pool's largest part against all. Overlaps of one class with a block are counted together, from the
+4. A pool too large for a task is searched in three rounds. First each class asks one other, that with most candidates of all that it
+   shares a key with, a copy's original as a rule. What is then under a key with a part that it is not connected to is dealt to
+   blocks, each class once, and searched inside them. Last, what is so still meets in blocks: those outside the pool's largest part
+   against all. Overlaps of one class with a block are counted together, from the
    block's inverted lists. No link is lost: two classes under a key are in one part or are compared.
 """
 
@@ -199,17 +200,26 @@ def links_of_large(members: DataFrame) -> DataFrame:
     texts, parts = members.select("c", "text"), members.select("at", "c", "n", "bands", F.col("c").alias("label"))
     posts = parts.select("c", "n", F.explode("bands").alias("key"))
     score = posts.join(posts.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1"), "key").groupBy("c").agg(F.sum("k").alias("score"))
-    posts = posts.join(score, "c")
+    posts = parts.join(score, "c").select("c", "n", "score", F.explode("bands").alias("key"))
     best = posts.groupBy("key").agg(F.max(F.struct("score", "c", "n")).alias("best"))
     stars = cut(posts.join(best, "key").groupBy("c", "n").agg(F.max("best").alias("best")).filter("c <> best.c").select(F.col("best.c").alias("at"), "c", "n", F.col("best.n").alias("hub_n")))
     hubs = stars.select("at", F.col("at").alias("c"), F.col("hub_n").alias("n")).distinct().withColumns({"asks": F.lit(False), "asked": F.lit(True)})
     rows = stars.drop("hub_n").withColumns({"asks": F.lit(True), "asked": F.lit(False)}).unionByName(hubs)
     found = found_in(dealt(rows.withColumns({"label": F.col("c"), "keys": F.array(F.lit(0).cast("long"))})).join(texts, "c"))
 
-    parts = cut(relabelled(parts, found))
-    posts = parts.select("c", "label", F.explode("bands").alias("key"))
-    mixed = posts.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
-    open_ = parts.join(posts.join(mixed, "key", "left_semi").select("c").distinct(), "c")
+    def still_open(parts: DataFrame) -> DataFrame:
+        """Those under a key with a class of another label."""
+        posts = parts.select("c", "label", F.explode("bands").alias("key"))
+        mixed = posts.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
+        return parts.join(posts.join(mixed, "key", "left_semi").select("c").distinct(), "c")
+
+    parts = cut(still_open(cut(relabelled(parts, found))))
+    blocks = parts.groupBy("at").agg(F.ceil(F.sum(F.col("n") + OVERHEAD) / BLOCK).alias("blocks"))
+    once = parts.join(blocks, "at").select("at", F.pmod(F.xxhash64("c"), F.col("blocks")).alias("block"), F.lit(0).alias("side"), "c", "label", F.col("bands").alias("keys"))
+    inside = found_in(once.join(texts, "c"))
+    found = found.unionByName(inside)
+
+    open_ = cut(still_open(relabelled(parts, inside)))
     main = open_.groupBy("at", "label").agg(F.count("*").alias("k")).groupBy("at").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
     rows = open_.join(main, "at").select("at", "c", "n", "label", F.col("bands").alias("keys"), (F.col("label") != F.col("main")).alias("asks"), F.lit(True).alias("asked"))
     return found.unionByName(found_in(dealt(rows).join(texts, "c")))
