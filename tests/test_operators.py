@@ -2,12 +2,13 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from threadloom.functions import text
+from threadloom.functions import stems, text
 from threadloom.operators import drift, evaluate, retrieve, sampling, spans, threads, topics, trends
 from threadloom.sources import tables
 
@@ -189,36 +190,101 @@ def test_partial_matches_go_by_gold_span_in_given_order(spark):
     assert (r.tp, r.fp, r.fn) == (1, 2, 2)
 
 
-def test_gold_selection_fills_the_scarcest_label_first(spark):
+def test_gold_selection_fills_labels_evenly(spark):
     rng = random.Random(5)
     labels = ("A", "B", "C")
-    data = [(i, [rng.choice("AAAAAABBC") for _ in range(rng.randint(0, 3))]) for i in range(400)]
+    data = [(i, [rng.choice("AAAAAABBCD") for _ in range(rng.randint(0, 3))]) for i in range(400)]
     frame = spark.createDataFrame(data, "id long, labels array<string>").repartition(5)
     spot = {r.id: r.s for r in frame.select("id", text.seeded(F.col("id"), sampling.SEED).alias("s")).collect()}
 
     def plain(total, per_label):
-        waiting = sorted(data, key=lambda r: (spot[r[0]], r[0]))
-        chosen = [r for r in waiting if not r[1]][: round(total * 0.15)]
-        spans, dry = dict.fromkeys(labels, 0), set()
-        while len(chosen) < total:
-            under = [x for x in labels if spans[x] < per_label and x not in dry]
-            if not under:
-                break
-            scarce = min(under, key=spans.get)
-            row = next((r for r in waiting if r not in chosen and scarce in r[1]), None)
-            if row is None:
-                dry.add(scarce)
-                continue
-            chosen.append(row)
-            for x in row[1]:
-                spans[x] += 1
-        rest = [r for r in waiting if r not in chosen]
-        chosen += [r for r in rest if r[1]] + [r for r in rest if not r[1]]
-        return {r[0] for r in chosen[:total]}
-
-    for total, per_label in ((100, 30), (60, 10), (30, 30)):
+        seen, free, rank = dict.fromkeys(labels, 0), 0, {}
+        for i, has in sorted(data, key=lambda r: (spot[r[0]], r[0])):
+            turns = [(1, seen[x], labels.index(x)) for x in labels if x in has and seen[x] < per_label]
+            if has:
+                rank[i] = min(turns, default=(2, 0, 0))
+            else:
+                rank[i] = (0 if free < round(total * 0.15) else 3, 0, 0)
+                free += 1
+            for x in has:
+                seen[x] = seen.get(x, 0) + 1
+        return set(sorted(rank, key=lambda i: (rank[i], spot[i], i))[:total])
+
+    for total, per_label in ((100, 30), (60, 10), (30, 30), (500, 30)):
         got = sampling.gold_selection(frame, "id", labels, total, per_label, blind=12).collect()
         assert {r.id for r in got} == plain(total, per_label) and sum(r.blind for r in got) == 12
+    chosen = {r.id for r in sampling.gold_selection(frame, "id", labels, 200, 30).collect()}
+    for x in labels:
+        assert sum(has.count(x) for i, has in data if i in chosen) >= min(30, sum(has.count(x) for _, has in data))
+    assert sum(not has for i, has in data if i in chosen) >= 30
+    assert sampling.gold_selection(frame.limit(0), "id", labels).count() == 0
+
+
+def test_posts_of_random_threads_stand_as_taken_one_by_one(spark):
+    rng = random.Random(3)
+    data = []
+    for root in range(40):
+        n = rng.randint(1, 14)
+        for i in range(n):
+            up = rng.choice([None, rng.randrange(n), rng.randrange(n)]) if root % 4 == 0 else (rng.randrange(i) if i else None)
+            at = None if rng.random() < 0.1 else dt.datetime(2024, 1, 1, 0, rng.randint(0, 9))
+            data.append((root, f"{root}-{i:02}", None if up is None else f"{root}-{up:02}", at))
+    data += [(99, f"c{i:03}", f"c{i - 1:03}" if i else None, dt.datetime(2024, 1, 2) - dt.timedelta(minutes=i)) for i in range(100)]
+    got = {(r.root, r.id): r.place for r in threads.order_posts(spark.createDataFrame(data, "root long, id string, parent_id string, sent_at timestamp")).collect()}
+    for root in {r[0] for r in data}:
+        posts = {r[1]: r for r in data if r[0] == root}
+        key = {i: (r[3] is not None, r[3] or dt.datetime(1970, 1, 1), i) for i, r in posts.items()}
+        done = []
+        while ready := [i for i, r in posts.items() if i not in done and (r[2] not in posts or r[2] == i or r[2] in done)]:
+            done.append(min(ready, key=key.get))
+        done += sorted((i for i in posts if i not in done), key=key.get)
+        assert [i for i in sorted(posts, key=lambda i: got[root, i])] == done
+
+
+def test_sums_before_in_blocks(spark):
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), m, w, rng.choice([None, 1, 5])) for m in (*range(1, 6), *range(1020, 1030), 5000) for w in range(3) for _ in "x"]
+    frame = spark.createDataFrame(data, "g string, m long, w int, v int")
+    got = {(r.m, r.w): r._sum for r in sampling.sum_before(frame, "v", "g", "m", "w").collect()}
+    assert got == {(m, w): sum(v or 0 for h, n, x, v in data if h == g and (n, x) < (m, w)) for g, m, w, _ in data}
+
+
+def test_bootstrap_interval_is_that_of_plain_resampling(spark):
+    rng = np.random.default_rng(1)
+    gold = [(int(i), int(s) * 10, int(s) * 10 + 5, "A") for i in range(60) for s in range(rng.integers(0, 5))]
+    guess = [(i, a, b + (1 if rng.random() < 0.3 else 0), x) for i, a, b, x in gold if rng.random() < 0.8]
+    span = "doc_id long, start int, end int, label string"
+    r = evaluate.bootstrap_f1(spark.createDataFrame(gold, span), spark.createDataFrame(guess, span), spark.range(60).toDF("doc_id")).first()
+    g, p = set(gold), set(guess)
+    counts = np.array([[sum(x[0] == i for x in g & p), sum(x[0] == i for x in p - g), sum(x[0] == i for x in g - p)] for i in range(60)])
+    f1 = lambda c: 2 * c[0] / (2 * c[0] + c[1] + c[2])
+    drawn = sorted(f1(counts[rng.integers(0, 60, 60)].sum(0)) for _ in range(20_000))
+    assert r.f1 == pytest.approx(f1(counts.sum(0))) and r.low == pytest.approx(drawn[500], abs=0.015) and r.high == pytest.approx(drawn[19_500], abs=0.015)
+    none = evaluate.bootstrap_f1(spark.createDataFrame([], span), spark.createDataFrame([], span), spark.range(0).toDF("doc_id")).first()
+    assert tuple(none) == (0.0, 0.0, 0.0)
+
+
+STEMS = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss failing fail filing file happy happi relational relat conditional condit digitizer digit vietnamization vietnam operator oper decisiveness decis sensibiliti sensibl triplicate triplic formalize formal electrical electr goodness good revival reviv adjustment adjust adoption adopt homologous homolog probate probat rate rate cease ceas controll control roll roll".split()
+
+
+def test_stems_of_the_published_examples():
+    assert [stems.stem(w) for w in STEMS[::2]] == STEMS[1::2]
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcde"), max_size=9))
+def test_common_length_is_that_of_the_table(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert stems.common_length(a, b) == table[-1][-1]
+
+
+def test_rouge_counts_repeats_and_stems(spark):
+    rows = spark.createDataFrame([(1, "Cats were running, running!", "the cat runs"), (2, None, "x"), (3, "", ""), (4, "a a b", "a b b")], "id long, reference string, summary string")
+    got = {r.id: (r.rouge1, r.rouge2, r.rougeL) for r in evaluate.rouge(rows).collect()}
+    assert got[1] == (pytest.approx(4 / 7), 0.0, pytest.approx(4 / 7)) and got[2] == got[3] == (0.0, 0.0, 0.0)
+    assert got[4] == (pytest.approx(2 / 3), 0.5, pytest.approx(2 / 3))
 
 
 def test_week_windows_refuse_an_empty_side(spark):

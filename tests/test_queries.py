@@ -23,9 +23,7 @@ def test_train_baseline_has_the_whole_vocabulary(spark, tmp_path, monkeypatch):
     assert seen == [30_000]
 
 
-def test_bootstrap_draws_a_thousand_resamples(spark, tmp_path, monkeypatch):
+def test_bootstrap_of_the_registered_query(spark, tmp_path):
     spark.createDataFrame([(i,) for i in range(30)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
-    drawn, sequence = [], F.sequence
-    monkeypatch.setattr(evaluate.F, "sequence", lambda a, b, *c: drawn.append(b) or sequence(a, b, *c))
     r = q_spans.bootstrap_f1(spark, str(tmp_path)).first()
-    assert r.low <= r.f1 <= r.high and spark.range(1).select(drawn[-1]).first()[0] == 1000
+    assert r.low < r.f1 < r.high

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +42,25 @@ def weekly_pick(summary: DataFrame, targets: DataFrame, total: int, seed: int =
     """Conversations (root, brand, start_time, message_count): per brand, weeks in turn give one at random each until the
     brand's running count of messages reaches its target share of total."""
     s = summary.withColumn("brand", F.coalesce("brand", F.lit("__unknown__"))).withColumn("week", iso_week(F.col("start_time")))
-    s = s.withColumn("round", F.row_number().over(Window.partitionBy("brand", "week").orderBy(seeded(F.col("root"), seed), "root")))
-    before = Window.partitionBy("brand").orderBy("round", "week").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("spent", F.coalesce(F.sum("message_count").over(before), F.lit(0)))
-    return s.join(targets.select("brand", "target"), "brand").filter(F.col("spent") < F.bround(F.col("target") * total)).select("root", "brand", "week", "message_count")
+    s = placed(s, "root", seed, "brand", "week").withColumnRenamed("_p", "round").drop("_all")
+    s = sum_before(s, "message_count", "brand", "round", "week")
+    return s.join(targets.select("brand", "target"), "brand").filter(F.col("_sum") < F.bround(F.col("target") * total)).select("root", "brand", "week", "message_count")
+
+
+def sum_before(rows: DataFrame, value: str, group: str, major: str, minor: str) -> DataFrame:
+    """rows with _sum, the sum of value over the rows of the same group that stand before, by the integer major and then minor.
+
+    Three levels of sums: over blocks of 1,024 majors, over the majors of a block, over the rows of a major. No task sorts a whole
+    group, only the rows of one major or 1,024 sums.
+    """
+    v = F.coalesce(F.col(value), F.lit(0))
+    each = rows.groupBy(F.col(group).alias("_g"), F.col(major).alias("_m")).agg(F.sum(v).alias("_v")).withColumn("_k", F.shiftright("_m", 10))
+    block = each.groupBy("_g", "_k").agg(F.sum("_v").alias("_all"))
+    block = block.withColumn("_before", F.sum("_all").over(Window.partitionBy("_g").orderBy("_k")) - F.col("_all")).drop("_all")
+    each = each.join(block, ["_g", "_k"]).withColumn("_before", F.col("_before") + F.sum("_v").over(Window.partitionBy("_g", "_k").orderBy("_m")) - F.col("_v"))
+    near = Window.partitionBy(group, major).orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(each.select("_g", "_m", "_before"), (F.col(group) == F.col("_g")) & (F.col(major) == F.col("_m")))
+    return out.withColumn("_sum", F.col("_before") + F.coalesce(F.sum(v).over(near), F.lit(0))).select(*rows.columns, "_sum")
 
 
 def placed(rows: DataFrame, ident: str, seed: int | str, *by: str) -> DataFrame:
@@ -124,38 +138,24 @@ def label_quota(examples: DataFrame, ident: str, per_label: int, negatives: int,
 def gold_selection(candidates: DataFrame, ident: str, labels: tuple[str, ...], total: int = 200, per_label: int = 30, negatives: float = 0.15, blind: int = 40, seed: int = SEED) -> DataFrame:
     """(ident, blind): total of the candidates (ident, labels: the label of each proposed span, repeats included).
 
-    In random order by seed: first a share of negatives, without spans; then, again and again, the next candidate with the
-    label that has the fewest spans so far, until each has per_label or no candidate; then what is left, those with spans
-    first. A blind part of the chosen is marked. Only the first `total` of each label, of those with and of those without
-    spans can be chosen, so the choice itself is made over a number of rows that does not grow.
+    Rows stand at random by seed. A row's turn for a label is the number of that label's spans in the rows before it; the label
+    needs the row while that is under per_label. Chosen are a share of negatives, without spans; then needed rows by their least
+    turn, so that labels fill evenly, ties in order of labels; then other rows with spans; then without. So each label has per_label
+    spans, or all that it has, if total leaves room. A blind part of the chosen is marked. Each kind of row is first cut to its
+    first `total`, of which no more can be chosen, so that turns are counted over a number of rows that does not grow.
     """
-    spot = seeded(F.col(ident), seed)
-    rows = candidates.select(F.col(ident).alias("id"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), spot.alias("spot"))
-    kinds = rows.withColumn("kind", F.explode(F.array_distinct(F.concat(F.array(F.when(F.size("labels") > 0, " with").otherwise(" without")), F.filter("labels", lambda x: x.isin(*labels))))))
-    first = kinds.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("spot", "id"))).filter(F.col("k") <= total).select("id", "labels", "spot").distinct()
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        waiting = [(r.id, list(r.labels)) for r in group.sort_values(["spot", "id"]).itertuples()]
-        chosen = [r for r in waiting if not r[1]][: min(round(total * negatives), total)]
-        taken = {r[0] for r in chosen}
-        spans = dict.fromkeys(labels, 0)
-        open_labels = [x for x in labels if spans[x] < per_label]
-        while open_labels and len(chosen) < total:
-            scarce = min(open_labels, key=spans.get)
-            row = next((r for r in waiting if r[0] not in taken and scarce in r[1]), None)
-            if row is None:
-                open_labels.remove(scarce)
-                continue
-            chosen.append(row)
-            taken.add(row[0])
-            for x in row[1]:
-                spans[x] = spans.get(x, 0) + 1
-            open_labels = [x for x in open_labels if spans[x] < per_label]
-        left = [r for r in waiting if r[0] not in taken]
-        chosen += ([r for r in left if r[1]] + [r for r in left if not r[1]])[: total - len(chosen)]
-        return pd.DataFrame({"id": [r[0] for r in chosen]})
-
-    kind = dict(candidates.dtypes)[ident]
-    chosen = first.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, f"id {kind}")  # total rows of each label and of two kinds at most
+    rows = candidates.select(F.col(ident).alias("id"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), seeded(F.col(ident), seed).alias("spot"))
+    kind = F.array(F.when(F.size("labels") > 0, " with").otherwise(" without"))
+    kinds = rows.withColumn("kind", F.explode(F.concat(kind, F.array_distinct(F.filter("labels", lambda x: x.isin(*labels))))))
+    own = Window.partitionBy("kind").orderBy("spot", "id")
+    first = kinds.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= total)
+    spans = F.size(F.filter("labels", lambda x: x == F.col("kind")))
+    turned = first.withColumn("turn", F.coalesce(F.sum(spans).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.when(F.col("kind") == " without", F.struct(F.when(F.col("k") <= min(round(total * negatives), total), 0).otherwise(3).alias("class"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("at")))
+    rank = rank.when(F.col("kind") == " with", F.struct(F.lit(2).alias("class"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("at")))
+    need = F.when(F.col("turn") < per_label, F.col("turn"))
+    rank = rank.when(need.isNotNull(), F.struct(F.lit(1).alias("class"), need.cast("long").alias("turn"), F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("kind")).cast("long").alias("at")))
+    best = turned.groupBy("id", "spot").agg(F.min(rank).alias("rank")).filter("rank IS NOT NULL")  # null: only past the cuts
+    chosen = best.orderBy("rank", "spot", "id").limit(total).select("id")
     hidden = sample(chosen, "id", blind, f"{seed}-blind").withColumn("blind", F.lit(True))
     return chosen.join(hidden, "id", "left").select(F.col("id").alias(ident), F.coalesce("blind", F.lit(False)).alias("blind"))

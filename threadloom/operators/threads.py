@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,39 +61,41 @@ def slice_of(posts: DataFrame, selected: DataFrame) -> DataFrame:
     return posts.join(selected.select("root").distinct(), "root", "left_semi")
 
 
-def _traverse(group: pd.DataFrame) -> pd.DataFrame:
-    """Parents before children, the least (time, id) first among those ready; posts on cycles come last, by time."""
-    key = {r.id: (pd.notna(r.sent_at), r.sent_at.value if pd.notna(r.sent_at) else 0, r.id) for r in group.itertuples()}
-    children: dict = {}
-    for r in group.itertuples():
-        if r.parent_id in key and r.parent_id != r.id:
-            children.setdefault(r.parent_id, []).append(r.id)
-    waiting = {c for cs in children.values() for c in cs}
-    heap = [key[i] for i in key if i not in waiting]
-    heapq.heapify(heap)
-    order = []
-    while heap:
-        i = heapq.heappop(heap)[2]
-        order.append(i)
-        for c in children.get(i, ()):
-            heapq.heappush(heap, key[c])
-    done = set(order)
-    order += sorted((i for i in key if i not in done), key=key.get)
-    return pd.DataFrame({"root": group["root"].iloc[0], "id": order, "place": range(len(order))})
+def _stacks(posts: DataFrame) -> DataFrame:
+    """(root, id, loop, stack) of posts (root, id, parent_id, sent_at).
+
+    stack: of the keys (time, id) from the top of the thread down to the post, those that are greater than all keys after them.
+    Taking the least ready post each time is the order of these arrays: below a post all lesser ones follow it at once. Stacks of two
+    adjoining stretches of a path merge into one, so each round doubles the stretch. loop marks posts on or below a cycle, whose
+    stack is their own key.
+    """
+    key = F.struct(F.coalesce(F.unix_micros(F.col("sent_at").cast("timestamp")), F.lit(-(2**62))).alias("t"), F.col("id").alias("i"))
+    above = posts.select("root", F.col("id").alias("parent_id"), F.lit(True).alias("there")).distinct()
+    up = F.when(F.col("there") & (F.col("parent_id") != F.col("id")), F.col("parent_id"))
+    now = cut(posts.join(above, ["root", "parent_id"], "left").select("root", "id", up.alias("up"), F.array(key).alias("stack")))
+    open_now, before = now.filter("up IS NOT NULL").count(), -1
+    while open_now and open_now != before:
+        top = now.select("root", F.col("id").alias("up"), F.col("up").alias("next"), F.col("stack").alias("over"))
+        merged = F.when(F.col("over").isNotNull(), F.concat(F.filter("over", lambda x: x > F.col("stack")[0]), "stack")).otherwise(F.col("stack"))
+        now = cut(now.join(top, ["root", "up"], "left").select("root", "id", F.col("next").alias("up"), merged.alias("stack")))
+        before, open_now = open_now, now.filter("up IS NOT NULL").count()
+    loop = F.col("up").isNotNull()
+    return now.select("root", "id", loop.alias("loop"), F.when(loop, F.slice("stack", -1, 1)).otherwise(F.col("stack")).alias("stack"))
 
 
 def order_posts(posts: DataFrame) -> DataFrame:
-    """(root, id, place): 0-based order in each conversation.
+    """(root, id, place): 0-based order in each conversation: parents before children, of those ready the least by time, nulls
+    first, and id; posts on or below cycles come last, by time and id.
 
-    Sorted by time, nulls first, and id wherever no post then stands before its parent; the other conversations alone are
-    traversed one by one.
+    That is the order by time and id wherever no post then stands before its parent; only the other conversations are ordered by
+    their stacks.
     """
     spot = Window.partitionBy("root").orderBy(F.col("sent_at").asc_nulls_first(), "id")
     fast = posts.select("root", "id", "parent_id", "sent_at", (F.row_number().over(spot) - 1).alias("place"))
     parents = fast.select("root", F.col("id").alias("parent_id"), F.col("place").alias("above"))
     late = fast.join(parents, ["root", "parent_id"]).filter("above > place").select("root").distinct()
-    kind = posts.schema["root"].dataType.simpleString()
-    slow = posts.join(late, "root", "left_semi").select("root", "id", "parent_id", "sent_at").groupBy("root").applyInPandas(_traverse, f"root {kind}, id {posts.schema['id'].dataType.simpleString()}, place long")
+    stacks = _stacks(posts.join(late, "root", "left_semi").select("root", "id", "parent_id", "sent_at"))
+    slow = stacks.select("root", "id", (F.row_number().over(Window.partitionBy("root").orderBy("loop", "stack")) - 1).cast("long").alias("place"))
     return fast.join(late, "root", "left_anti").select("root", "id", F.col("place").cast("long")).unionByName(slow)
 
 

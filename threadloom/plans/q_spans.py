@@ -286,6 +286,15 @@ AGREED = f"WITH u AS ({URGENCY_SQL.replace(' UNION ALL SELECT page_id, html FROM
 PART = ", ".join(f"{name} AS (SELECT doc_id, '{name}' AS source FROM documents QUALIFY row_number() OVER (ORDER BY {SEEDED.format('1-' + name, 'doc_id')}, doc_id) <= {quota})" for name, quota in ((x, f"(SELECT round_even(count(*) * {share}::DOUBLE, 0) FROM documents)") for x, share in SHARES.items()))
 REST = "(SELECT count(*) - " + " - ".join(f"round_even(count(*) * {x}::DOUBLE, 0)" for x in SHARES.values()) + " FROM documents)"
 COMPOSED = G + f", {PART}, negative AS (SELECT doc_id, 'negative' AS source FROM documents QUALIFY row_number() OVER (ORDER BY {SEEDED.format('1-negative', 'doc_id')}, doc_id) <= {REST}), u AS (" + " UNION ALL ".join(f"SELECT * FROM {x}" for x in [*SHARES, "negative"]) + f"), k AS (SELECT *, row_number() OVER (ORDER BY {SEEDED.format(1, 'source || chr(45) || doc_id')}, source || chr(45) || doc_id) AS k, count(*) OVER () AS n FROM u), c AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id) SELECT source, CASE WHEN k <= round_even(n * 0.70::DOUBLE, 0) THEN 'train' WHEN k <= round_even(n * (0.70::DOUBLE + 0.15::DOUBLE), 0) THEN 'val' ELSE 'test' END AS split, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(CASE source WHEN 'negative' THEN 0 WHEN 'slot' THEN 1 ELSE c END)::BIGINT AS spans, 0::BIGINT AS broken FROM k JOIN c USING (doc_id) GROUP BY ALL"
+GOLD_SQL = G.rstrip() + f""",
+x AS (SELECT id, {SEEDED.format(42, "id")} AS spot FROM e),
+n AS (SELECT doc_id AS id, label, count(*) AS n, list_position([{", ".join(f"'{x}'" for x in H.LABELS)}], label) AS pos FROM g WHERE doc_id % 5 <> 0 GROUP BY doc_id, label),
+u AS (SELECT id, pos, coalesce(sum(n) OVER (PARTITION BY label ORDER BY spot, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM n JOIN x USING (id)),
+b AS (SELECT id, min(turn * 100 + pos) FILTER (turn < 30) AS turn FROM u GROUP BY id),
+k AS (SELECT x.id, spot, b.turn, CASE WHEN b.id IS NOT NULL THEN CASE WHEN b.turn IS NULL THEN 2 ELSE 1 END
+             WHEN row_number() OVER (PARTITION BY b.id IS NULL ORDER BY spot, x.id) <= 30 THEN 0 ELSE 3 END AS class FROM x LEFT JOIN b USING (id)),
+c AS (SELECT id FROM k ORDER BY class, turn, spot, id LIMIT 200)
+SELECT id, row_number() OVER (ORDER BY {SEEDED.format("42-blind", "id")}, id) <= 40 AS blind FROM c"""
 QUERIES = {
     "render_templates": (render_templates, G + "SELECT id, template_id, text, label, start, \"end\" AS stop, surface FROM g JOIN e ON id = doc_id"),
     "rule_spans": (rule_spans, None),
@@ -297,7 +306,7 @@ QUERIES = {
     "gold_checks": (gold_checks, G + ", q AS (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id % 10 = 0), fs AS (SELECT label, count(*) AS n FROM g JOIN q USING (doc_id) GROUP BY label) SELECT 'size' AS check, '' AS subject, count(*) AS n FROM q UNION ALL SELECT 'duplicate', doc_id::VARCHAR, count(*) FROM q GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'leaked', doc_id::VARCHAR, count(*) FROM q WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY doc_id UNION ALL SELECT 'few', label, n FROM fs WHERE n < 1000"),
     "benchmark_leakage": (benchmark_leakage, f"WITH g AS (SELECT sha1({NORMAL}) AS id FROM benchmark), l AS (SELECT DISTINCT sha1({NORMAL}) AS id FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents)), c AS (SELECT id, count(*) AS n FROM g GROUP BY id) SELECT 'size' AS check, count(*)::BIGINT AS n FROM g UNION ALL SELECT 'duplicate', sum(n)::BIGINT FROM c WHERE n > 1 HAVING count(*) > 0 UNION ALL SELECT 'leaked', sum(n)::BIGINT FROM c WHERE id IN (SELECT id FROM l) HAVING count(*) > 0"),
     "urgency_agreement": (urgency_agreement, AGREED),
-    "gold_selection": (gold_selection, None),
+    "gold_selection": (gold_selection, GOLD_SQL),
     "proposal_union": (proposal_union, None),
     "compose_frames": (compose_frames, COMPOSED),
     "shell_kinds": (shell_kinds, None),
