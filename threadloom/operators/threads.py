@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import cut
+from ..sources.shared import cut, stored
 
 
 def reply_edges(posts: DataFrame) -> DataFrame:
@@ -72,12 +72,12 @@ def _stacks(posts: DataFrame) -> DataFrame:
     key = F.struct(F.coalesce(F.unix_micros(F.col("sent_at").cast("timestamp")), F.lit(-(2**62))).alias("t"), F.col("id").alias("i"))
     above = posts.select("root", F.col("id").alias("parent_id"), F.lit(True).alias("there")).distinct()
     up = F.when(F.col("there") & (F.col("parent_id") != F.col("id")), F.col("parent_id"))
-    now = cut(posts.join(above, ["root", "parent_id"], "left").select("root", "id", up.alias("up"), F.array(key).alias("stack")))
+    now = stored(posts.join(above, ["root", "parent_id"], "left").select("root", "id", up.alias("up"), F.array(key).alias("stack")))
     open_now, before = now.filter("up IS NOT NULL").count(), -1
     while open_now and open_now != before:
         top = now.select("root", F.col("id").alias("up"), F.col("up").alias("next"), F.col("stack").alias("over"))
         merged = F.when(F.col("over").isNotNull(), F.concat(F.filter("over", lambda x: x > F.col("stack")[0]), "stack")).otherwise(F.col("stack"))
-        now = cut(now.join(top, ["root", "up"], "left").select("root", "id", F.col("next").alias("up"), merged.alias("stack")))
+        now = stored(now.join(top, ["root", "up"], "left").select("root", "id", F.col("next").alias("up"), merged.alias("stack")))
         before, open_now = open_now, now.filter("up IS NOT NULL").count()
     loop = F.col("up").isNotNull()
     return now.select("root", "id", loop.alias("loop"), F.when(loop, F.slice("stack", -1, 1)).otherwise(F.col("stack")).alias("stack"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from ..sources.shared import stored
+from .retrieve import approximate_top_k
 from .threads import components
 
 TOP, FLOOR, OUTLIERS = 10, 1e-12, -1
@@ -29,15 +31,50 @@ def kmeans_topics(vectors: DataFrame, k: int = 40, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, predictionCol="topic_key").fit(v).transform(v).select("id", "topic_key")
 
 
-def density_topics(vectors: DataFrame, distance: float, least: int = 75, seed: int = 42) -> DataFrame:
-    """(id, topic_key): components of near neighbours, by size from 0; those under least vectors are outliers, -1."""
-    v = vectors.select("id", array_to_vector(F.col("vector")).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=distance * 4, numHashTables=3, seed=seed).fit(v)
-    near = lsh.approxSimilarityJoin(v, v, distance).select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst")).filter("src < dst")
-    roots = components(v, near)
-    size = roots.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    keys = size.withColumn("topic_key", F.row_number().over(Window.orderBy(F.desc("n"), "root")) - 1).select("root", "topic_key")
-    return roots.join(keys, "root", "left").select("id", F.coalesce("topic_key", F.lit(OUTLIERS)).alias("topic_key"))
+def density_topics(vectors: DataFrame, least: int = 75, k: int = 5, levels: int = 6, near: DataFrame | None = None) -> DataFrame:
+    """(id, topic_key) of (id, vector): dense groups by size from 0; what is in none is an outlier, -1, null vectors too.
+
+    The core distance of a vector is that of its k-th neighbour by cosine; two neighbours are as far apart as the greatest of their
+    distance and both core distances. Quantiles of the core distances are bounds, from dense to loose; at each bound the vectors whose
+    core distance is within it fall into components, of which those of least vectors count. They form a tree: a component
+    gathers its size times the span of 1 / bound for which it lasts, and stays a topic if no split of it gathers more.
+    near: rows (query_id, id, score) of k + 1 neighbours or more; by default those of approximate_top_k. Edges between
+    components are contracted from bound to bound, and nothing but the bounds passes through the driver.
+    """
+    known = vectors.filter("vector IS NOT NULL").select("id", "vector")
+    near = approximate_top_k(known.withColumnRenamed("id", "query_id"), known, k + 1) if near is None else near
+    far = near.filter("query_id <> id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round(1 - F.col("score"), 9).alias("d"))
+    far = stored(far.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("k") <= k))
+    core = far.groupBy("a").agg(F.max("d").alias("core"))
+    found = core.agg(F.percentile_approx("core", [(i + 1) / levels for i in range(levels)], 10_000)).first()[0]
+    bounds = sorted(set(found or []))
+    sharp = [1 / max(x, 1e-9) for x in bounds]
+    edges = far.join(core, "a").join(core.toDF("b", "other"), "b").select("a", "b", F.greatest("d", "core", "other").alias("d"))
+    labels, tree, topics = core.select(F.col("a").alias("id"), F.col("a").alias("root")), None, None
+    for i, bound in enumerate(bounds):
+        joined = components(labels.select(F.col("root").alias("id")).distinct(), edges.filter(F.col("d") <= bound).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        up = stored(joined.select(F.col("id").alias("low"), F.col("root").alias("high")))
+        labels = stored(labels.join(up, F.col("root") == F.col("low")).select("id", F.col("high").alias("root")))
+        edges = edges.filter(F.col("d") > bound).join(up.toDF("a", "ra"), "a").join(up.toDF("b", "rb"), "b").filter("ra <> rb")
+        edges = stored(edges.groupBy(F.col("ra").alias("a"), F.col("rb").alias("b")).agg(F.min("d").alias("d")))
+        members = labels.join(core.filter(F.col("core") <= bound), F.col("id") == F.col("a"), "left_semi")
+        now = members.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        lasts = sharp[i] - sharp[min(i + 1, len(bounds) - 1)]
+        if tree is None:
+            now = now.select("root", F.lit(0).alias("parts"), F.lit(0.0).alias("apart"), (F.col("n") * lasts).alias("whole"))
+        else:
+            parts = tree.join(up, F.col("root") == F.col("low")).groupBy("high").agg(F.count("*").alias("parts"), F.sum("best").alias("apart"), F.sum("whole").alias("same"))
+            whole = F.col("n") * lasts + F.when(F.col("parts") == 1, F.col("same")).otherwise(0.0)
+            now = now.join(parts, F.col("root") == F.col("high"), "left").select("root", "parts", F.coalesce("apart", F.lit(0.0)).alias("apart"), whole.alias("whole"))
+        tree = stored(now.withColumn("best", F.greatest("whole", "apart")))
+        held = members.join(tree.filter("whole >= apart").select("root"), "root").select("id", F.struct(F.lit(i).alias("level"), "root").alias("topic"))
+        topics = held if topics is None else topics.unionByName(held)
+    if topics is None:
+        return vectors.select("id", F.lit(OUTLIERS).alias("topic_key"))
+    topics = stored(topics.groupBy("id").agg(F.max("topic").alias("topic")))  # the loosest that holds
+    size = topics.groupBy("topic").agg(F.count("*").alias("n"))
+    keys = size.select("topic", (F.row_number().over(Window.orderBy(F.desc("n"), "topic.root")) - 1).alias("topic_key"))
+    return vectors.select("id").join(topics.join(keys, "topic").select("id", "topic_key"), "id", "left").select("id", F.coalesce("topic_key", F.lit(OUTLIERS)).alias("topic_key"))
 
 
 def topic_terms(docs: DataFrame, stop: list[str]) -> DataFrame:
