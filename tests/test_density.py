@@ -79,5 +79,11 @@ def test_density_topics_by_the_index_with_nulls_and_of_nothing(spark):
     rows = planted()
     v = spark.createDataFrame([(i, x) for i, _, x in rows] + [(9999, None)], "id long, vector array<double>")
     got = {r.id: r.topic_key for r in topics.density_topics(v, LEAST).collect()}
-    assert len(got) == len(rows) + 1 and got[9999] == -1 and {t for t in got.values()} == {-1, 0, 1, 2}
+    assert len(got) == len(rows) + 1 and got[9999] == -1 and set(got.values()) == {-1, 0, 1, 2}
     assert topics.density_topics(v.filter(F.col("id") < 0), LEAST).count() == 0
+
+
+def test_the_index_keeps_its_recall_in_clusters(spark):
+    v = spark.createDataFrame([(i, x) for i, _, x in planted()], "id long, vector array<double>")
+    q = v.withColumnRenamed("id", "query_id")
+    assert retrieve.recall(retrieve.approximate_top_k(q, v, K + 1), retrieve.top_k(q, v, K + 1)) >= 0.9

@@ -125,8 +125,9 @@ def _codes(m, seed: int):
     return np.packbits(signs, axis=1).view(np.uint64)
 
 
-def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | None = None, seed: int = 7) -> DataFrame:
-    """(query_id, id, score, rank, compared): the k best of an index for queries (query_id, vector).
+def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | None = None, seed: int = 7, within: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank, compared): the k best of an index for queries (query_id, vector), codes compared up to the
+    index's distance or that of within.
 
     A query reads its `probes` nearest cells (all without a number); other cells' files are pruned. There, codes too
     far from the query's are passed over; the rest, compared in number, is scored exactly.
@@ -137,7 +138,7 @@ def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | No
     spark = queries.sparkSession
     index = spark.read.parquet(path)
     known = spark.read.parquet(f"{path}-centres").orderBy("cell").collect()  # MOST_CELLS at most
-    centres, within, wanted = np.array([r.centre for r in known]), known[0].within, probes or len(known)
+    centres, within, wanted = np.array([r.centre for r in known]), known[0].within if within is None else within, probes or len(known)
     shape = f"query_id {dict(queries.dtypes)['query_id']}, cells array<int>, vector array<double>"
 
     def routed(batches):
@@ -184,22 +185,41 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
     return 1.0 if r is None else r
 
 
-def fewest_probes(queries: DataFrame, corpus: DataFrame, path: str, k: int = TOP_K, least: float = 0.9) -> int:
+def fewest_probes(queries: DataFrame, corpus: DataFrame, path: str, k: int = TOP_K, least: float = 0.9, within: int | None = None) -> int:
     """The number of probes, by doubling, with which the index at path reaches a recall of least for PROBED of the queries at most,
     against exact search; all cells where no smaller number does, as in vectors without clusters."""
     some = queries.orderBy(F.xxhash64("query_id")).limit(PROBED)
     exact = cut(top_k(some, corpus, k))
     cells, probes = corpus.sparkSession.read.parquet(f"{path}-centres").count(), 1
-    while probes < cells and recall(search_index(some, path, k, probes), exact) < least:
+    while probes < cells and recall(search_index(some, path, k, probes, within=within), exact) < least:
         probes *= 2
     return min(probes, cells)
 
 
+def code_distance(queries: DataFrame, corpus: DataFrame, path: str, k: int = TOP_K, least: float = 0.9, seed: int = 7) -> int:
+    """The distance of codes to search the index at path with: its own if a share least of the k exact neighbours of PROBED
+    queries at most is within it, else, as in clusters that are a large part of all pairs, that of a share halfway from least to 1."""
+    import numpy as np
+
+    some = queries.filter("vector IS NOT NULL").orderBy(F.xxhash64("query_id")).limit(PROBED)
+    pairs = top_k(some, corpus, k).join(some.select("query_id", F.col("vector").alias("q")), "query_id").join(corpus.select("id", "vector"), "id")
+    pairs = pairs.select(F.col("q").cast("array<double>"), F.col("vector").cast("array<double>")).collect()  # k for each of PROBED queries
+    own = corpus.sparkSession.read.parquet(f"{path}-centres").first().within
+    if not pairs:
+        return own
+    q, v = (_codes(np.array([r[i] for r in pairs]), seed) for i in (0, 1))
+    apart = np.sort(np.bitwise_count(q ^ v).sum(1))
+    return own if (apart <= own).mean() >= least else max(own, int(apart[int((1 + least) / 2 * (len(apart) - 1))]))
+
+
 def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, least: float = 0.9) -> DataFrame:
-    """As top_k(), by an index of corpus with as few probes as reach a recall of least."""
+    """As top_k(), by an index of corpus with as few probes as reach a recall of least. A corpus without vectors gives no rows."""
+    if corpus.filter("vector IS NOT NULL").isEmpty():
+        return top_k(queries, corpus, k)
     path = f"{shared_dir(corpus.sparkSession)}/index-{uuid.uuid4().hex}"
     build_index(corpus, path)
-    return search_index(queries, path, k, fewest_probes(queries, corpus, path, k, least)).drop("compared")
+    within = code_distance(queries, corpus, path, k, least)
+    return search_index(queries, path, k, fewest_probes(queries, corpus, path, k, least, within), within=within).drop("compared")
 
 
 def retrieve(queries: DataFrame, collections: dict[str, DataFrame], k: int = TOP_K, exclude: DataFrame | None = None) -> DataFrame:
