@@ -61,7 +61,7 @@ def kmeans_topics(spark, d):
 
 def density_topics(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return N.value_counts(I.density_topics(v, 20), "topic_key")
+    return N.value_counts(I.density_topics(v, 20, levels=4), "topic_key")
 
 
 def document_embeddings(spark, d):
