@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .encoding import repair
+
 # Mask tokens, patterns and word lists whose results are compared with published ones.
 MASK_TOKENS = ("<URL>", "<USER>", "<EMAIL>", "<PHONE>")
 BREAK = r"(?i)<br\s*/?>"
@@ -53,20 +55,9 @@ STOP_VOTE = {
     "tr": "ve bir bu da de ne gibi daha çok için", "ja": "の に は を た が で", "ar": "في من على أن إلى عن", "hi": "के का की में है से को",
 }
 
-_MOJIBAKE = re.compile("[ÂÃâ][\u0080-¿Œ-Ÿ–-™€]")
 _EMOJI = re.compile("[\U0001f300-\U0001faff☀-➿⬀-⯿]️?")
 
 
-def _repair(text: str) -> str:
-    """Undoes UTF-8 that was once read as cp1252, where the text shows such pairs and the round trip works."""
-    if _MOJIBAKE.search(text):
-        try:
-            return text.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            return text
-    return text
-
-
 def _emoji_name(match: re.Match) -> str:
     name = unicodedata.name(match.group(0)[0], "")
     return f"<EMOJI:{name.lower().replace(' ', '_').replace('-', '_')}>" if name else match.group(0)
@@ -75,7 +66,7 @@ def _emoji_name(match: re.Match) -> str:
 @F.pandas_udf(StringType())
 def repaired(text: pd.Series) -> pd.Series:
     """Mojibake repaired and HTML entities replaced."""
-    return text.map(lambda t: html.unescape(_repair(t)), na_action="ignore")
+    return text.map(lambda t: html.unescape(repair(t)), na_action="ignore")
 
 
 @F.pandas_udf(StringType())

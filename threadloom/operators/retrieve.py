@@ -247,6 +247,29 @@ def lexical_score(query: Column, document: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words_of(document))) / F.size(q)).otherwise(0.0)
 
 
+def scored_words(c: Column) -> Column:
+    """The words of a text that are no stop words, repeats kept."""
+    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_]+", " ")), " "), lambda w: (w != "") & ~w.isin(*STOP))
+
+
+def bm25(pairs: DataFrame, queries: DataFrame, texts: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """pairs (query_id, id, ...) with bm25, over queries (query_id, text) and the collection texts (id, text); ids are unique.
+
+    Frequencies and the mean length are of the whole collection: its words are counted as distinct words of a text, partly before the
+    shuffle, so that a frequent word is one row a task. Postings are made of the texts in pairs alone and meet the words of a query by
+    (id, word). Null and empty texts, ids that the collection lacks and queries without words score 0.
+    """
+    held = texts.select("id", scored_words(F.col("text")).alias("words"))
+    frequency = held.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    size = held.agg(F.count(F.lit(1)).alias("texts"), F.avg(F.size("words")).alias("mean"))  # one row
+    postings = held.join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.size("words").alias("length"), F.explode("words").alias("word")).groupBy("id", "length", "word").agg(F.count(F.lit(1)).alias("tf"))
+    asked = queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.explode(F.array_distinct(scored_words(F.col("text")))).alias("word")).join(frequency, "word")
+    weight = F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    sums = pairs.select("query_id", "id").distinct().join(asked, "query_id").join(postings, ["id", "word"]).crossJoin(F.broadcast(size)).groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    return pairs.join(sums, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+
+
 def rerank(hits: DataFrame, score: Column) -> DataFrame:
     """hits in the order of a second score, equal ones in their first order: new_rank."""
     return hits.withColumn("second", score).withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("second"), "rank")))

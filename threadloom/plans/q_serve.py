@@ -114,6 +114,12 @@ def rerank_hits(spark, d):
     return M.rerank(h, F.round(M.lexical_score(F.col("query"), F.col("text")), 6)).select("query_id", "id", "second", "new_rank")
 
 
+def bm25_rerank(spark, d):
+    t = _texts(spark, d)
+    scored = M.bm25(_hits(spark, d), t.withColumnRenamed("id", "query_id"), t)
+    return M.rerank(scored, F.round("bm25", 6)).select("query_id", "id", "second", "new_rank")
+
+
 def highlights(spark, d):
     t = _texts(spark, d)
     h = _hits(spark, d).join(t, "id").join(t.select(F.col("id").alias("query_id"), F.col("text").alias("query")), "query_id")
@@ -277,6 +283,12 @@ LEDGER = "WITH l AS (SELECT event_type AS purpose, sha256(user_id::VARCHAR) AS p
 R = f"WITH r AS ({RUNS})\n"
 WORDS = ", x AS (SELECT vec_id AS vid, list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda y: y <> '') AS t, list_distinct(list_filter(t, lambda y: NOT list_contains([" + ", ".join(f"'{w}'" for w in M.STOP) + "], y))) AS w FROM embeddings LEFT JOIN documents ON vec_id = doc_id)"
 SECOND = "round(CASE WHEN len(q2.w) > 0 THEN len(list_intersect(q2.w, d2.w)) / len(q2.w) ELSE 0 END, 6)"
+BM25 = WORDS + """,
+held AS (SELECT vid, list_filter(t, lambda y: list_contains(w, y)) AS words FROM x), size AS (SELECT count(*) AS texts, avg(len(words)) AS mean FROM held),
+post AS (SELECT vid, length, word, count(*) AS tf FROM (SELECT vid, len(words) AS length, unnest(words) AS word FROM held) GROUP BY ALL), freq AS (SELECT word, count(*) AS df FROM post GROUP BY word),
+asked AS (SELECT vid, unnest(list_distinct(words)) AS word FROM held),
+sums AS (SELECT h.query_id, h.id, sum(ln(1 + (texts - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS s FROM h JOIN asked a ON a.vid = h.query_id JOIN post p ON p.vid = h.id AND p.word = a.word JOIN freq f ON f.word = a.word, size GROUP BY ALL)
+"""
 QUERIES = {
     "cluster_keywords": (cluster_keywords, TERMS + "SELECT topic, term, tf, rank FROM k"),
     "class_tfidf": (class_tfidf, TERMS + ", a AS (SELECT avg(w) AS a FROM (SELECT sum(tf) AS w FROM t GROUP BY topic)), f AS (SELECT term, sum(tf) AS f FROM t GROUP BY term), x AS (SELECT topic, term, round(tf * ln(1 + a / f), 6) AS weight FROM t JOIN f USING (term), a) SELECT topic, round(weight, 4) AS weight, (row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term))::INT AS rank FROM x QUALIFY rank <= 10"),
@@ -295,6 +307,7 @@ QUERIES = {
     "retrieve_two": (retrieve_two, HITS + "SELECT query_id, kind, id, round(score, 5) AS score, rank FROM h"),
     "rerank_hits": (rerank_hits, HITS + WORDS + f", z AS (SELECT query_id, id, rank, {SECOND} AS second FROM h JOIN x q2 ON q2.vid = query_id JOIN x d2 ON d2.vid = id) SELECT query_id, id, second, (row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank))::INT AS new_rank FROM z"),
     "highlights": (highlights, HITS + WORDS + " SELECT query_id, id, len(list_filter(d2.t, lambda y: list_contains(q2.w, y)))::INT AS n FROM h JOIN x q2 ON q2.vid = query_id JOIN x d2 ON d2.vid = id"),
+    "bm25_rerank": (bm25_rerank, HITS + BM25 + ", z AS (SELECT h.query_id, h.id, rank, round(coalesce(s, 0), 6) AS second FROM h LEFT JOIN sums USING (query_id, id)) SELECT query_id, id, second, (row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank))::INT AS new_rank FROM z"),
     "search_reranked": (search_reranked, HITS.replace("rank <= 5", "rank <= 40").replace("WHERE id <> query_id", "") + WORDS + f", z AS (SELECT query_id, kind, id, score, rank, {SECOND} AS second FROM h JOIN x q2 ON q2.vid = query_id JOIN x d2 ON d2.vid = id) SELECT query_id, kind, id, rank, (row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank))::INT AS new_rank FROM z QUALIFY new_rank <= 5"),
     "tickets_with_messages": (tickets_with_messages, "WITH p AS (SELECT doc_id AS id, source FROM documents WHERE source = 'src3' ORDER BY doc_id * 37 % 1000, doc_id LIMIT 20 OFFSET 5), m AS (SELECT conv_id AS id, count(*) AS n, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id) SELECT id, source, coalesce(n, 0)::INT AS n, coalesce(turns, '') AS turns FROM p LEFT JOIN m USING (id)"),
     "search_results": (search_results, HITS + "SELECT query_id, rank, kind, id, CASE WHEN kind = 'kb' THEN 'Article ' || id END AS title FROM h WHERE rank <= 3"),

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import classify as G
 from ..operators import sampling
 from ..sources import tables as A
+from ..sources import versions as V
 from ..sources.shared import shared_dir
 from .q_spans import G as SPANS_SQL
 from .tables import table
@@ -88,6 +89,43 @@ def replaced_for_tickets(spark, d):
     return A.replaced_for_tickets(p, p.filter("ticket_id % 7 = 0").withColumn("score", F.lit(0.25))).groupBy("task").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"))
 
 
+def _fails(df):
+    """df as a write that fails in its tasks."""
+    return df.withColumn("event_id", F.when(F.rand() >= 0, F.raise_error(F.lit("lost"))).otherwise(F.col("event_id")))
+
+
+def upsert_table(spark, d):
+    """Two upserts into one table, the second once again; a write that fails between them changes nothing."""
+    e, path = table(spark, d, "events").select("event_id", "value"), _folder(spark)
+    V.upsert(e, path, ["event_id"])
+    new = e.filter("event_id % 3 = 0").select((F.col("event_id") * 2).alias("event_id"), F.lit(1.5).alias("value"))
+    V.upsert(new, path, ["event_id"])
+    try:
+        V.publish(_fails(e), path)
+    except Exception as error:
+        if "lost" not in str(error):
+            raise
+    V.upsert(new, path, ["event_id"])
+    return V.current(spark, path, e)
+
+
+def replace_tickets_table(spark, d):
+    p, path = _predictions(spark, d), _folder(spark)
+    V.publish(p, path)
+    for _ in range(2):  # a rerun changes nothing
+        V.replace_for_tickets(p.filter("ticket_id % 7 = 0").withColumn("score", F.lit(0.25)), path)
+    return V.current(spark, path, p).groupBy("task").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"))
+
+
+def split_tables(spark, d):
+    """Splits of all documents, written and read back split by split."""
+    docs, path = table(spark, d, "documents").select("doc_id", "lang", "text"), _folder(spark)
+    rows = docs.withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int")))
+    V.write_splits(rows, path)
+    parts = [V.read_split(spark, path, rows, s).withColumn("read", F.lit(s)) for s in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "lang", "split", (F.col("split") == F.col("read")).alias("same"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def append_runs(spark, d):
     path = _folder(spark)
     runs = table(spark, d, "labels").groupBy("toxic").agg(F.count("*").alias("n"))
@@ -132,8 +170,11 @@ QUERIES = {
     "span_examples": (span_examples, EXAMPLES),
     "insert_absent": (insert_absent, "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL"),
     "upserted": (upserted, "WITH n AS (SELECT event_id * 2 AS event_id, 1.5::DOUBLE AS value FROM events WHERE event_id % 3 = 0) SELECT event_id, value FROM events ANTI JOIN n USING (event_id) UNION ALL SELECT * FROM n"),
+    "upsert_table": (upsert_table, "WITH n AS (SELECT event_id * 2 AS event_id, 1.5::DOUBLE AS value FROM events WHERE event_id % 3 = 0) SELECT event_id, value FROM events ANTI JOIN n USING (event_id) UNION ALL SELECT * FROM n"),
     "replace_task": (replace_task, f"SELECT task, count(*) AS n, round(sum(score), 2) AS score FROM (SELECT ticket_id, task, CASE WHEN task = 'click' THEN 0.5 ELSE score END AS score FROM ({E}) WHERE task <> 'click' OR ticket_id % 2 = 0) GROUP BY task"),
     "replaced_for_tickets": (replaced_for_tickets, f"SELECT task, count(*) AS n, round(sum(CASE WHEN ticket_id % 7 = 0 THEN 0.25 ELSE score END), 2) AS score FROM ({E}) GROUP BY task"),
+    "replace_tickets_table": (replace_tickets_table, f"SELECT task, count(*) AS n, round(sum(CASE WHEN ticket_id % 7 = 0 THEN 0.25 ELSE score END), 2) AS score FROM ({E}) GROUP BY task"),
+    "split_tables": (split_tables, "SELECT doc_id, lang, (['train', 'val', 'test'])[(doc_id % 3 + 1)::INT] AS split, true AS same, md5(text) AS digest FROM documents"),
     "append_runs": (append_runs, "SELECT toxic, 2::BIGINT AS rows, (2 * count(*))::BIGINT AS n FROM labels GROUP BY toxic"),
     "json_export": (json_export, "SELECT '{\"conv_id\":' || conv_id || ',\"messages\":[' || string_agg('{\"turn\":' || turn || ',\"role\":\"' || role || '\"}', ',' ORDER BY turn) || ']}' AS line FROM conversations GROUP BY conv_id"),
     "embedding_table": (embedding_table, "SELECT vec_id AS id, len(embedding)::INT AS dims, true AS same FROM embeddings"),

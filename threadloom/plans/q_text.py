@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import languages as L
 from ..functions import text as T
 from ..operators import trends
 from .tables import table, topic_events
@@ -131,6 +132,13 @@ def parse_fields(spark, d):
     return e.select("event_id", F.size(T.parse_ids(ids)).alias("n_ids"), F.array_join(T.parse_ids(ids), "|").alias("ids"), T.inbound(flag).alias("inbound"))
 
 
+def detected_languages(spark, d):
+    """Languages of all documents by profiles of three quarters of them, dealt by a hash of the id."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1).isin("0", "4", "8", "c").alias("held_out"))
+    found = L.detected(docs, L.language_profiles(docs.filter(~F.col("held_out"))), "doc_id")
+    return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"))
+
+
 def language_vote(spark, d):
     return table(spark, d, "documents").select("doc_id", T.language_vote(F.col("text")).alias("v")).select("doc_id", F.col("v.lang").alias("lang"), F.round("v.confidence", 6).alias("confidence"))
 
@@ -172,6 +180,17 @@ SELECT doc_id, x.lang, round(coalesce(confidence, 0.0), 6) AS confidence FROM do
 
 TOKENS = """list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"""
 
+_CODES = ", ".join(f"'{x}'" for x in L.CODES)
+DETECTED_SQL = f"""
+WITH c AS (SELECT doc_id, lang, md5(doc_id::VARCHAR)[1] IN ('0', '4', '8', 'c') AS held_out, string_split(' ' || trim(lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g'))) || ' ', '') AS l FROM documents),
+g AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS gram FROM c),
+n AS (SELECT lang, gram, count(*) AS n FROM g WHERE NOT held_out AND lang IN ({_CODES}) GROUP BY ALL),
+known AS (SELECT DISTINCT gram FROM (SELECT gram FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= {L.KEPT})),
+a AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang), v AS (SELECT count(DISTINCT gram) AS grams FROM n),
+w AS (SELECT k.gram, a.lang, round(ln((coalesce(n, 0) + {L.UNSEEN}) / (total + {L.UNSEEN} * grams)) * {L.MICRO})::BIGINT AS w FROM known k CROSS JOIN a CROSS JOIN v LEFT JOIN n ON n.gram = k.gram AND n.lang = a.lang),
+s AS (SELECT doc_id, w.lang, sum(n * w) AS s FROM (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL) t JOIN w USING (gram) GROUP BY ALL),
+p AS (SELECT doc_id, lang, 1 / sum(exp((s - top) / {L.MICRO})) OVER (PARTITION BY doc_id) AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS top FROM s))
+SELECT d.doc_id, p.lang, round(coalesce(p.confidence, 0), 6) AS confidence FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND r = 1"""
 QUERIES = {
     "weekly_counts": (weekly_counts, TRENDS_SQL + "SELECT * FROM c", ("week",)),
     "weekly_totals": (weekly_totals, TRENDS_SQL + "SELECT week, total::BIGINT AS total FROM t", ("week",)),
@@ -210,6 +229,7 @@ WITH m AS (SELECT avg(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) AS
 SELECT 'space' AS tokeniser, round(space, 6) AS mean_tokens, 1.0::DOUBLE AS inflation FROM m UNION ALL SELECT 'word', round(word, 6), round(word / space, 6) FROM m UNION ALL SELECT 'char3', round(char3, 6), round(char3 / space, 6) FROM m"""),
     "parse_timestamps": (parse_timestamps, "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN date_trunc('second', ts)::TIMESTAMP END AS parsed FROM events"),
     "parse_fields": (parse_fields, "SELECT event_id, 2 AS n_ids, user_id::VARCHAR || '|' || event_id::VARCHAR AS ids, event_id % 2 = 0 AS inbound FROM events"),
+    "detected_languages": (detected_languages, DETECTED_SQL),
     "language_vote": (language_vote, VOTE_SQL),
     "week_buckets": (week_buckets, "SELECT o_orderkey, date_trunc('week', o_orderdate)::DATE AS week, strftime(o_orderdate, '%G-W%V') AS iso_week FROM orders", ("week",)),
 }
