@@ -19,7 +19,7 @@ def trigrams(c: Column) -> Column:
 
 
 def language_profiles(labelled: DataFrame, kept: int = KEPT) -> DataFrame:
-    """(gram, one column of each code): what a trigram adds to the log-likelihood of a language, in whole millionths, so that sums
+    """(gram, w_ and each code): what a trigram adds to the log-likelihood of a language, in whole millionths, so that sums
     are the same in any order.
 
     labelled: (text, lang); other languages than CODES are left out. Counts are of all texts; the grams are each language's kept most
@@ -34,7 +34,7 @@ def language_profiles(labelled: DataFrame, kept: int = KEPT) -> DataFrame:
 
     def weight(x: str) -> Column:
         share = (F.coalesce(F.col(x), F.lit(0)) + UNSEEN) / (F.col(f"all_{x}") + UNSEEN * F.col("grams"))
-        return F.round(F.log(share) * MICRO).cast("long").alias(x)
+        return F.round(F.log(share) * MICRO).cast("long").alias(f"w_{x}")
 
     return wide.crossJoin(F.broadcast(totals)).select("gram", *[weight(x) for x in CODES])  # totals are one row
 
@@ -47,8 +47,8 @@ def detected(texts: DataFrame, profiles: DataFrame, key: str = "id") -> DataFram
     their task: it adds them up before the shuffle, whatever the length of the text.
     """
     grams = texts.select(key, F.explode_outer(trigrams(F.col("text"))).alias("gram"))
-    sums = grams.join(F.broadcast(profiles), "gram", "left").groupBy(key).agg(*[F.sum(x).alias(f"_{x}") for x in CODES])
-    best = F.greatest(*[F.col(f"_{x}") for x in CODES])
-    lang = F.coalesce(*[F.when(F.col(f"_{x}") == best, F.lit(x)) for x in CODES])
-    shares = sum((F.coalesce(F.exp((F.col(f"_{x}") - best) / MICRO), F.lit(0.0)) for x in CODES), F.lit(0.0))
+    sums = grams.join(F.broadcast(profiles), "gram", "left").groupBy(key).agg(*[F.sum(f"w_{x}").alias(f"w_{x}") for x in CODES])
+    best = F.greatest(*[F.col(f"w_{x}") for x in CODES])
+    lang = F.coalesce(*[F.when(F.col(f"w_{x}") == best, F.lit(x)) for x in CODES])
+    shares = sum((F.coalesce(F.exp((F.col(f"w_{x}") - best) / MICRO), F.lit(0.0)) for x in CODES), F.lit(0.0))
     return sums.select(key, lang.alias("lang"), F.when(best.isNull(), 0.0).otherwise(1.0 / shares).alias("confidence"))

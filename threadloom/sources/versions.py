@@ -29,7 +29,7 @@ def versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
 def current(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The rows of the newest finished version; without one, none, with like's columns."""
     done = [number for number, finished in versions(spark, path) if finished]
-    return spark.read.schema(like.schema).parquet(f"{path}/v{done[-1]:010d}") if done else like.limit(0)
+    return spark.read.schema(like.schema).parquet(f"{path}/v{done[-1]:010d}").select(*like.columns) if done else like.limit(0)
 
 
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
