@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as L
 from ..operators import spans as H
+from ..operators import tagger
 from ..operators import sampling as S
 from .q_sampling import SEEDED
 from .q_text import NORMAL, URGENCY_SQL
@@ -149,6 +150,31 @@ def proposal_union(spark, d):
     return p.select("id", F.explode("e").alias("s")).select("id", "s.label", "s.start", F.col("s.end").alias("stop"), "s.text")
 
 
+def _said(spark, d):
+    """Rendered sentences in front of each document's own text: (id, text, entities, held_out)."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("own"))
+    r = rendered(spark, d).select("id", F.col("text").alias("said"), "entities").join(docs, F.col("id") == F.col("doc_id"))
+    held = F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 1).isin("0", "4", "8", "c")
+    return r.select("id", F.concat(F.col("said"), F.lit(". "), F.coalesce("own", F.lit(""))).alias("text"), "entities", held.alias("held_out"))
+
+
+def _annotated(spark, d):
+    """Both annotators' spans of all documents; the second is trained on three quarters of them."""
+    said = _said(spark, d)
+    weights = tagger.train(said.filter(~F.col("held_out")))
+    return tagger.annotated(said.select("id", "text"), weights).withColumn("rules", H.rule_spans(F.col("text")))
+
+
+def hybrid_tagged(spark, d):
+    a = _annotated(spark, d).select("id", "truncated", H.route(F.col("rules"), F.col("model"), {"DATE": "model", "AMOUNT": "model", "PRODUCT": "rules"}).alias("e"))
+    return a.select("id", "truncated", F.explode("e").alias("s")).select("id", "truncated", "s.label", "s.start", F.col("s.end").alias("stop"), "s.text")
+
+
+def union_tagged(spark, d):
+    a = _annotated(spark, d).select("id", H.proposals(F.col("rules"), F.col("model"), {x: x for x in H.LABELS}).alias("e"))
+    return a.select("id", F.explode("e").alias("s")).select("id", "s.label", "s.start", F.col("s.end").alias("stop"), "s.text")
+
+
 SHARES = {"template": 0.48, "shell": 0.15, "slot": 0.10, "splice": 0.12}
 
 
@@ -307,6 +333,8 @@ QUERIES = {
     "benchmark_leakage": (benchmark_leakage, f"WITH g AS (SELECT sha1({NORMAL}) AS id FROM benchmark), l AS (SELECT DISTINCT sha1({NORMAL}) AS id FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents)), c AS (SELECT id, count(*) AS n FROM g GROUP BY id) SELECT 'size' AS check, count(*)::BIGINT AS n FROM g UNION ALL SELECT 'duplicate', sum(n)::BIGINT FROM c WHERE n > 1 HAVING count(*) > 0 UNION ALL SELECT 'leaked', sum(n)::BIGINT FROM c WHERE id IN (SELECT id FROM l) HAVING count(*) > 0"),
     "urgency_agreement": (urgency_agreement, AGREED),
     "gold_selection": (gold_selection, GOLD_SQL),
+    "hybrid_tagged": (hybrid_tagged, None),
+    "union_tagged": (union_tagged, None),
     "proposal_union": (proposal_union, None),
     "compose_frames": (compose_frames, COMPOSED),
     "shell_kinds": (shell_kinds, None),
