@@ -45,6 +45,12 @@ def best_metric(runs: DataFrame, name: str) -> DataFrame:
     return runs.filter("split <> 'latency'").groupBy("task").agg(F.max(F.col("metrics")[name]).alias("best"))
 
 
+def latest_metric(runs: DataFrame, name: str) -> DataFrame:
+    """(task, latest) of a metric: that of each task's newest run that has it, latency runs left out; of equal times the least id."""
+    has = runs.filter("split <> 'latency'").withColumn("latest", F.col("metrics")[name]).filter("latest IS NOT NULL")
+    return latest_by(has, ["task"]).select("task", "latest")
+
+
 def ranked_runs(runs: DataFrame, name: str, where: Column | None = None) -> DataFrame:
     rows = runs.filter(where) if where is not None else runs
     return rows.select("*", F.col("metrics")[name].alias("value")).withColumn("place", F.rank().over(Window.partitionBy("task").orderBy(F.desc("value"))))

@@ -180,6 +180,17 @@ def trajectories(messages: DataFrame, sentiment: DataFrame, urgency: DataFrame)
     return t.select("ticket_id", F.transform("m", lambda x: x["label"]).alias("sequence"), F.transform("m", lambda x: x["v"]).alias("scores"), "final_customer_label", (F.col("final") * weight).alias("resolution_quality"))
 
 
+def trajectory_predictions(trajectory: DataFrame, urgency: DataFrame, model_version: str, urgency_version: str) -> DataFrame:
+    """Rows (ticket_id, task, label, score, payload, model_version) of trajectories() and urgency (ticket_id, urgency_label,
+    urgency_score), to be written with replace_task(); payload is JSON and null values stay in it."""
+    both = trajectory.join(urgency, "ticket_id")
+    parts = F.struct("sequence", "scores", "final_customer_label", "resolution_quality", "urgency_label", "urgency_score", F.lit(urgency_version).alias("urgency_model_version"))
+    return both.select(
+        "ticket_id", F.lit("sentiment_trajectory").alias("task"), F.col("final_customer_label").alias("label"), F.col("resolution_quality").alias("score"),
+        F.to_json(parts, {"ignoreNullFields": "false"}).alias("payload"), F.lit(model_version).alias("model_version"),
+    )
+
+
 def resolved(trajectory: DataFrame) -> DataFrame:
     return trajectory.filter("resolution_quality > 0")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieve as M
 from ..operators import serve as N
 from ..operators import topics as I
-from .tables import RUNS, messages, runs, table
+from .tables import MESSAGES, RUNS, messages, runs, table
 
 STOP = ["the", "of", "and", "de", "la", "to", "in"]
 
@@ -220,6 +220,16 @@ def best_metrics(spark, d):
     return N.best_metric(runs(spark, d), "macro_f1").withColumn("best", F.round("best", 9))
 
 
+def latest_coherence(spark, d):
+    r = runs(spark, d).withColumn("metrics", F.when(F.col("id") % 4 != 0, F.create_map(F.lit("coherence"), F.col("metrics")["hit_rate"])).otherwise(F.col("metrics")))
+    return N.latest_metric(r, "coherence").withColumn("latest", F.round("latest", 9))
+
+
+def ticket_with_messages(spark, d):
+    t = N.ticket(_tickets(spark, d), 7, messages(spark, d)).select("id", "source", F.posexplode("messages").alias("place", "m"))
+    return t.select("id", "source", "place", "m.seq", "m.author_role", "m.text")
+
+
 def ranked_runs(spark, d):
     return N.ranked_runs(runs(spark, d), "hit_rate", F.col("split") == "test").select("id", "task", "place")
 
@@ -323,6 +333,8 @@ QUERIES = {
     "ticket_predictions": (ticket_predictions, "SELECT event_id, user_id AS ticket_id, event_type AS task, value FROM events WHERE user_id = 5 AND event_type = 'click'"),
     "eval_runs": (eval_runs, R + "SELECT id, task, model_version, split FROM r WHERE task = 'click' ORDER BY started_at DESC, id LIMIT 25"),
     "latest_runs": (latest_runs, R + "SELECT id, task, model_version, split FROM r QUALIFY row_number() OVER (PARTITION BY task, split ORDER BY started_at DESC, id) = 1"),
+    "latest_coherence": (latest_coherence, R + "SELECT task, round(arg_max(hit_rate, (started_at, -id)), 9) AS latest FROM r WHERE split <> 'latency' AND id % 4 <> 0 GROUP BY task"),
+    "ticket_with_messages": (ticket_with_messages, f"SELECT doc_id AS id, source, (row_number() OVER (ORDER BY seq) - 1)::INT AS place, seq, author_role, m.text FROM documents JOIN ({MESSAGES}) m ON ticket_id = doc_id WHERE doc_id = 7"),
     "best_metrics": (best_metrics, R + "SELECT task, round(max(macro_f1), 9) AS best FROM r WHERE split <> 'latency' GROUP BY task"),
     "ranked_runs": (ranked_runs, R + "SELECT id, task, (rank() OVER (PARTITION BY task ORDER BY hit_rate DESC))::INT AS place FROM r WHERE split = 'test'"),
     "report_rows": (report_rows, R + "SELECT model_version, 'macro_f1' AS metric, count(*) AS n, round(avg(macro_f1), 6) AS mean FROM r WHERE task = 'click' AND split = 'val' GROUP BY ALL UNION ALL SELECT model_version, 'hit_rate', count(*), round(avg(hit_rate), 6) FROM r WHERE task = 'click' AND split = 'val' GROUP BY ALL"),

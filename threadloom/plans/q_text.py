@@ -43,6 +43,12 @@ def emerging_issues(spark, d):
     return trends.emerging(_trends(spark, d)).select("topic", "week", "count", "share", "z_score")
 
 
+def emerging_labelled(spark, d):
+    """Every topic and week as a point that may be flagged, the flagged ones with a label, or `unlabeled`."""
+    catalog = table(spark, d, "events").select(F.col("event_type").alias("topic")).distinct().filter("topic < 'p'").select("topic", F.upper("topic").alias("label"))
+    return trends.emerging(_trends(spark, d), catalog).select("topic", "week", "count", "label")
+
+
 def volume_series(spark, d):
     catalog = table(spark, d, "events").select(F.col("event_type").alias("topic")).distinct().filter("topic < 'p'").select("topic", F.upper("topic").alias("label"))
     s = trends.volume_series(_trends(spark, d), catalog)
@@ -196,6 +202,7 @@ QUERIES = {
     "weekly_totals": (weekly_totals, TRENDS_SQL + "SELECT week, total::BIGINT AS total FROM t", ("week",)),
     "dense_window": (dense_window, TRENDS_SQL + "SELECT week, total::BIGINT AS total FROM w", ("week",)),
     "topic_trends": (_trends, TRENDS_SQL + "SELECT * FROM trends", ("week",)),
+    "emerging_labelled": (emerging_labelled, TRENDS_SQL + "SELECT topic, week, count, CASE WHEN topic < 'p' THEN upper(topic) ELSE 'unlabeled' END AS label FROM trends WHERE is_emerging", ("week",)),
     "emerging_issues": (emerging_issues, TRENDS_SQL + "SELECT topic, week, count, share, z_score FROM trends WHERE is_emerging", ("week",)),
     "volume_series": (volume_series, TRENDS_SQL + "SELECT topic, CASE WHEN topic < 'p' THEN upper(topic) ELSE 'unlabeled' END AS label, count(*)::INT AS n, string_agg(count::VARCHAR, ',' ORDER BY week) AS counts FROM trends GROUP BY topic"),
     "largest_series": (largest_series, TRENDS_SQL + "SELECT * FROM c WHERE topic IN (SELECT topic FROM c GROUP BY topic ORDER BY sum(count) DESC, topic LIMIT 3)", ("week",)),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import threads as O
-from .q_text import NORMAL
+from ..sources import tables as A
+from ..sources.shared import shared_dir
+from .q_text import NORMAL, URGENCY_SQL
 from .tables import MESSAGES, SENTIMENT, messages, sentiment, table
 
 
@@ -111,6 +115,19 @@ def trajectories(spark, d):
     return t.select("ticket_id", F.array_join("sequence", ",").alias("sequence"), F.array_join(F.transform("scores", lambda s: F.format_number(s, 2)), ",").alias("scores"), "final_customer_label", F.round("resolution_quality", 6).alias("resolution_quality"))
 
 
+def trajectory_predictions(spark, d):
+    """Predictions of all tickets with the urgency of their opening, written as a task's rows and read back, then once again."""
+    m = messages(spark, d)
+    score = F.round(T.urgency_score(F.col("opening")), 6)
+    urgency = O.first_customer_message(m).select("ticket_id", T.urgency_label(score).alias("urgency_label"), score.alias("urgency_score"))
+    rows = O.trajectory_predictions(O.trajectories(m, sentiment(spark, d), urgency), urgency, "rules_v1", "urgency_v1")
+    path = f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
+    for _ in range(2):
+        A.replace_task(rows, path)
+    said = lambda name: F.get_json_object("payload", f"$.{name}")
+    return spark.read.parquet(path).select("ticket_id", "task", "label", F.round("score", 6).alias("score"), "model_version", said("urgency_label").alias("urgency_label"), F.round(said("urgency_score").cast("double"), 6).alias("urgency_score"), said("urgency_model_version").alias("urgency_model_version"), F.size(F.from_json(said("sequence"), "array<string>")).alias("n"))
+
+
 def resolved(spark, d):
     t = O.resolved(O.trajectories(messages(spark, d), sentiment(spark, d), _urgency(spark, d)))
     oldest = messages(spark, d).groupBy("ticket_id").agg(F.min("sent_at").alias("since"))
@@ -137,6 +154,13 @@ t AS (SELECT ticket_id, since, sequence, scores, final_customer_label, round(fin
 """
 
 
+_URGENT = URGENCY_SQL.replace("SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT page_id, html FROM pages", f"SELECT ticket_id AS id, coalesce(arg_min(text, seq) FILTER (author_role = 'customer'), arg_min(text, seq)) AS t FROM ({MESSAGES}) GROUP BY ticket_id")
+PREDICTIONS = TRAJECTORY + f""", g AS (SELECT id, label, score FROM ({_URGENT})), k AS (SELECT ticket_id, count(*) AS n FROM v GROUP BY ticket_id)
+SELECT ticket_id, 'sentiment_trajectory' AS task, final_customer_label AS label, round(final * CASE g.label WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.66 ELSE 0.33 END, 6)::DOUBLE AS score, 'rules_v1' AS model_version,
+       g.label AS urgency_label, round(g.score, 6)::DOUBLE AS urgency_score, 'urgency_v1' AS urgency_model_version, n::INT AS n
+FROM f JOIN g ON g.id = ticket_id JOIN k USING (ticket_id)"""
+
+
 def _dig(agg: str, where: str = "") -> str:
     return f"{M}, x AS (SELECT ticket_id, {agg} AS t FROM m {where} GROUP BY ticket_id) SELECT ticket_id, length(t)::INT AS n, md5(t) AS digest FROM x"
 
@@ -157,6 +181,7 @@ QUERIES = {
     "thread_summaries": (thread_summaries, f"{M}, x AS (SELECT ticket_id, count(*) AS message_count, string_agg({LINE}, chr(10) ORDER BY seq) AS t FROM m GROUP BY ticket_id HAVING count(*) >= 2) SELECT ticket_id, 'thread_summary' AS task, message_count, md5(array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')[1:4], ' ')) AS digest FROM x"),
     "index_records": (index_records, f"{M}, x AS (SELECT ticket_id, min(sent_at) AS c, string_agg({LINE}, chr(10) ORDER BY seq) AS t FROM m GROUP BY ticket_id) SELECT ticket_id AS id, '{{\"source\":\"ticket\",\"created_at\":\"' || strftime(c, '%Y-%m-%d %H:%M:%S') || '\"}}' AS metadata, length(t)::INT AS n FROM x"),
     "article_bodies": (article_bodies, "WITH x AS (SELECT item_id, string_split(text, ' ') AS s FROM benchmark) SELECT item_id, 'To fix this:' || chr(10) || array_to_string(list_transform(s, lambda x, i: i::VARCHAR || '. ' || x), chr(10)) || chr(10) || 'Contact us if it persists.' AS body FROM x"),
+    "trajectory_predictions": (trajectory_predictions, PREDICTIONS),
     "trajectories": (trajectories, TRAJECTORY + "SELECT ticket_id, sequence, scores, final_customer_label, resolution_quality FROM t"),
     "resolved_with_messages": (resolved_with_messages, TRAJECTORY + ", o1 AS (SELECT ticket_id AS id FROM t WHERE resolution_quality > 0 AND ticket_id % 3 <> 0 ORDER BY since, ticket_id LIMIT 40) SELECT id, 'twitter' AS source, count(*)::INT AS n, string_agg(seq::VARCHAR || author_role[1], ',' ORDER BY seq) AS roles FROM o1 JOIN m ON ticket_id = id GROUP BY id"),
     "resolved": (resolved, TRAJECTORY + "SELECT ticket_id, since, resolution_quality FROM t WHERE resolution_quality > 0 ORDER BY since, ticket_id LIMIT 40"),
