@@ -125,7 +125,8 @@ def train(examples: DataFrame, labels: tuple[str, ...] = LABELS, most: int = TRA
     tags = Tags(labels)
     n, context = len(tags.names), examples.sparkSession.sparkContext
     order = seeded(F.col("id"), "tagger")
-    rows = examples.select("id", "text", "entities", order.alias("_o")).orderBy("_o", "id").limit(most).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS))).persist()
+    rows = examples.select("id", "text", "entities", order.alias("_o")).orderBy("_o", "id").limit(most).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS)))
+    rows = rows.repartitionByRange(SHARDS, "shard").persist()  # one task a shard: small groups would else be coalesced into one
     weights, total = np.zeros((PLACES + n, n)), np.zeros((PLACES + n, n))
     for _ in range(epochs):
         shared = context.broadcast(weights)
