@@ -33,6 +33,20 @@ URL = r"""(?i)(?:https?://(?=[^\s<>"'])|www(?=\.[^\s<>"']))[^\s<>"']*?([.,!?;:)\
 EMAIL = r"(?U)[\w.+-]+@[\w-]+\.[A-Za-z]{2,}"
 HANDLE = r"(?U)(?<![\w@])@[A-Za-z0-9_]{1,15}\b"
 PHONE = r"(?<!\d)(?:\+?\d{1,3}[-.\s])?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}(?!\d)"
+#: The patterns of the registered SQL, whose engine folds case beyond ASCII, takes six characters less one as white space (no vertical
+#: tab) and an end of text as the very end. A URL goes with the punctuation that ends it; a phone number needs a character of its own on both sides.
+BLANK = r"\t\n\f\r "
+SQL_URL = rf"""(?iu)(?:https?://|www\.)[^{BLANK}<>"']+"""
+SQL_EMAIL = r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]++\.[A-Za-z]{2,}"
+SQL_HANDLE = r"(?<![\p{L}\p{N}_@])@[A-Za-z0-9_]{1,15}(?![A-Za-z0-9_])"
+SQL_PHONE = rf"(^|[^0-9])(?:\+?[0-9]{{1,3}}[-.{BLANK}])?\(?[0-9]{{3}}\)?[-.{BLANK}][0-9]{{3}}[-.{BLANK}][0-9]{{4}}(\z|[^0-9])"
+SQL_SIGNATURES = (
+    (r"(?is)(^|[^\p{L}\p{N}_])On .{0,80}?wrote:.*\z", "$1"),
+    (rf"(?iu)\n[{BLANK}]*+(?:Thanks|Thank you|Regards|Best|Best regards|Sincerely)[,.]?[{BLANK}]*\n[^\n]*\z", ""),
+    (rf"(?iu)[{BLANK}]*+Sent from my [A-Za-z0-9_]+[{BLANK}]*\z", ""),
+    (rf"[{BLANK}]*+\^[{BLANK}]*-?[{BLANK}]*[A-Za-z][A-Za-z0-9_'-]*[{BLANK}]*\z", ""),
+    (rf"(?<![{BLANK}])[{BLANK}]+\z", ""),
+)
 HIGH_URGENCY = (
     r"\blawyer\b", r"\blawsuit\b", r"\bsue\b", r"\battorney\b", r"\blegal action\b", r"\bbbb\b", r"\bbetter business bureau\b",
     r"\bchargeback\b", r"\bfraud\b", r"\bscam\b", r"\bstolen\b", r"\bstealing\b", r"\bhacked\b", r"\bunauthorized\b",
@@ -89,6 +103,13 @@ def strip_signatures(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+$", "")
 
 
+def strip_signatures_sql(c: Column) -> Column:
+    """strip_signatures() as the registered SQL has it."""
+    for p, kept in SQL_SIGNATURES:
+        c = F.regexp_replace(c, p, kept)
+    return c
+
+
 def normalize_unicode(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.regexp_replace(nfkc(c), ZERO_WIDTH, ""), CONTROL, ""), " ", " ")
 
@@ -103,6 +124,13 @@ def mask_entities(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, HANDLE, "<USER>"), PHONE, "<PHONE>")
 
 
+def mask_entities_sql(c: Column) -> Column:
+    """mask_entities() as the registered SQL has it."""
+    for p, mask in ((SQL_URL, "<URL>"), (SQL_EMAIL, "<EMAIL>"), (SQL_HANDLE, "<USER>"), (SQL_PHONE, "$1<PHONE>$2")):
+        c = F.regexp_replace(c, p, mask)
+    return c
+
+
 def map_emoticons(c: Column) -> Column:
     for face in sorted(EMOTICONS, key=len, reverse=True):
         c = F.replace(c, F.lit(face), F.lit(f"<EMOJI:{EMOTICONS[face]}>"))
