@@ -1,6 +1,6 @@
 import pytest
 
-from threadloom.plans import q_text
+from threadloom.plans import q_sampling, q_text
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -34,3 +34,11 @@ def test_strip_signatures_as_its_sql(spark, tmp_path):
     rows = [(4 * i + k, t) for i, t in enumerate(ODD) for k in range(4)]
     got, want = both(spark, tmp_path, q_text.strip_signatures, q_text.QUERIES["strip_signatures"][1], documents=(rows, "doc_id long, text string"))
     assert got == want
+
+
+def test_drift_by_week_without_live_vectors_as_its_sql(spark, tmp_path):
+    events = [(i, 2 * i, "click" if i % 3 else "view", f"2024-01-{2 + 7 * (i // 20):02d}") for i in range(40)]
+    rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string, t string").selectExpr("event_id", "user_id", "event_type", "timestamp(t) ts").collect()
+    vectors = [(0, [1.0, 2.0])]  # id 0, an event of the first week
+    got, want = both(spark, tmp_path, q_sampling.drift_by_week, q_sampling.QUERIES["drift_by_week"][1], events=(rows, "event_id long, user_id long, event_type string, ts timestamp"), embeddings=(vectors, "vec_id long, embedding array<float>"))
+    assert got == want and got[0][:4] == (None, 1, 0, None)

@@ -15,13 +15,15 @@ def centroid(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select(F.posexplode(column).alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def centroid_shift(reference: DataFrame, live: DataFrame, column: str = "embedding") -> DataFrame:
-    """One row (shift, n_reference, n_live, alarm): 1 minus the cosine of the mean vectors; an empty side or a zero mean is an error."""
+def centroid_shift(reference: DataFrame, live: DataFrame, column: str = "embedding", empty: bool = False) -> DataFrame:
+    """One row (shift, n_reference, n_live, alarm): 1 minus the cosine of the mean vectors; an empty side or a zero mean is an error.
+    With empty, the shift and alarm of an empty side are null."""
     pair = centroid(reference, column).withColumnRenamed("mean", "r").join(centroid(live, column).withColumnRenamed("mean", "l"), "dim", "full")
     sums = pair.agg(F.sum(F.col("r") * F.col("l")).alias("dot"), F.sqrt(F.sum(F.col("r") ** 2)).alias("a"), F.sqrt(F.sum(F.col("l") ** 2)).alias("b"))
     counts = reference.agg(F.count("*").alias("n_reference")).crossJoin(live.agg(F.count("*").alias("n_live")))
     bad = F.coalesce(F.col("a") * F.col("b"), F.lit(0.0)) == 0
-    shift = F.when(bad, F.raise_error(F.lit("an empty side or a zero centroid")).cast("double")).otherwise(1 - F.col("dot") / (F.col("a") * F.col("b")))
+    missing = (F.col("n_reference") == 0) | (F.col("n_live") == 0) if empty else F.lit(False)
+    shift = F.when(missing, F.lit(None).cast("double")).when(bad, F.raise_error(F.lit("an empty side or a zero centroid")).cast("double")).otherwise(1 - F.col("dot") / (F.col("a") * F.col("b")))
     return sums.crossJoin(counts).select(shift.alias("shift"), "n_reference", "n_live").withColumn("alarm", F.col("shift") > COSINE_ALARM)
 
 

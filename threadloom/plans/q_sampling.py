@@ -127,13 +127,13 @@ WEEKS = ("2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")
 
 
 def drift_by_week(spark, d):
-    """One week of twitter tickets against the four after it: their vectors and their labels."""
+    """One week of twitter tickets against the four after it: their vectors and their labels. Where a side has no vector, as the events' ids go beyond the vectors', the shift is null."""
     e = table(spark, d, "events")
     tickets = e.filter("user_id % 2 = 0").select(F.col("event_id").alias("id"), "ts")
     reference, live = K.week_windows(tickets, "ts", "2024-01-01", WEEKS)
     vectors = table(spark, d, "embeddings").select((F.col("vec_id") * 7919 % 10000).alias("id"), "embedding")
     predictions = e.select(F.col("event_id").alias("ticket_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("label"))
-    shift = K.centroid_shift(*[vectors.join(side.select("id"), "id", "left_semi") for side in (reference, live)])
+    shift = K.centroid_shift(*[vectors.join(side.select("id"), "id", "left_semi") for side in (reference, live)], empty=True)
     psi = K.psi(*[K.label_counts_of(predictions, side) for side in (reference, live)])
     return shift.crossJoin(psi).withColumns({"shift": F.round("shift", 6), "psi": F.round("psi", 6)})  # one row each
 
