@@ -76,3 +76,17 @@ def test_truncated_is_carried_and_empty_rows_stay(spark):
     whole = tagger.annotated(texts, weights).collect()
     assert sorted(x.id for x in whole) == [1, 2, 3, 4, 5] and not any(x.truncated for x in whole) and {x.label for x in whole} == {"own"}
     assert not tagger.train(r.limit(0)).any()
+
+
+def test_texts_together_are_tagged_like_each_alone():
+    texts = ["Order 48213 on March 3, please", "", "x", "É́cole_9 😀 $25.50!", "a b c d e f g " * 30]
+    tags, rng = tagger.Tags(tagger.LABELS), np.random.default_rng(3)
+    weights = rng.normal(size=(tagger.PLACES + len(tags.names), len(tags.names))).astype(np.float32)
+    sizes, offsets, ids = tagger.features(texts)
+    path = tagger.best_paths(tagger.scores(weights, ids), sizes, weights[tagger.PLACES :], tags)
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(texts, ends - sizes, ends, strict=True):
+        alone, own = tagger.places(text)
+        assert [tuple(x) for x in offsets[a:b].tolist()] == alone and (ids[a:b] == own).all()
+        if alone:
+            assert (path[a:b] == tagger.best_path(tagger.scores(weights, own), weights[tagger.PLACES :], tags)).all()
