@@ -76,3 +76,11 @@ def test_language_vote(spark):
     assert one(spark, T.language_vote, "the cat and the dog in it")["lang"] == "en"
     blank = one(spark, T.language_vote, "  ")
     assert blank["lang"] is None and blank["confidence"] == 0.0
+
+
+def test_urgency_lowers_a_text_once_and_keeps_each_pattern(spark):
+    rows = spark.createDataFrame([("x",)], "t string").select(T.urgency_score(F.col("t")).alias("s"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    said = ["someone logged", "rip off", "2 nd day", "contact my mp", "frustrating", "please fix", "can't", "3 dms", "five days", "still no response", "better business bureau", "again", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in said], "t string").select(T.urgency_score(F.col("t"))).collect()]
+    assert got == [2.0, 2.0, 2.0, 2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 4.0, 2.0, 1.0, None]

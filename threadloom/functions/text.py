@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -59,6 +60,12 @@ MEDIUM_URGENCY = (
     r"\bplease (respond|fix|reply)\b", r"\bstill waiting\b", r"\bany update\b", r"\bagain\b", r"\bnot working\b", r"\bbroken\b",
     r"\boutage\b", r"\bcan.?t\b", r"\bcannot\b", r"\bdamn\b", r"\b(two|three|four|five|six|\d+)\s+(times|dms|emails|messages|days)\b",
 )
+#: What a text has if a pattern of urgency fits it: one of the words. Searching for words is many times faster than for patterns.
+URGENCY_WORDS = {
+    r"\b(someone|somebody)\s+(changed|accessed|hacked|logged)\b": ("someone", "somebody"), r"\brip.?off\b": ("rip",), r"\d+\s*(st|nd|rd|th)\s+(day|time)\b": ("day", "time"),
+    r"\bcontact (my|your) (mp|lawyer|attorney)\b": ("contact ",), r"\bfrustrat\w*\b": ("frustrat",), r"\bannoy\w*\b": ("annoy",), r"\bdisappoint\w*\b": ("disappoint",),
+    r"\bplease (respond|fix|reply)\b": ("please respond", "please fix", "please reply"), r"\bcan.?t\b": ("can",), r"\b(two|three|four|five|six|\d+)\s+(times|dms|emails|messages|days)\b": ("times", "dms", "emails", "messages", "days"),
+}
 HIGH_FROM, MEDIUM_FROM = 2.0, 0.7
 #: Frequent function words of each language that the vote knows.
 STOP_VOTE = {
@@ -181,9 +188,11 @@ def deterministic_id(*parts: Column | str) -> Column:
 
 
 def caps_ratio(c: Column) -> Column:
-    plain = F.regexp_replace(c, "<(?:URL|USER|EMAIL|PHONE|EMOJI:[^>]*)>", " ")
-    letters = F.length(F.regexp_replace(plain, r"[^\p{L}]", ""))
-    return F.when(letters == 0, 0.0).otherwise(F.length(F.regexp_replace(plain, r"[^\p{Lu}]", "")) / letters)
+    def share(plain: Column) -> Column:
+        letters = F.length(F.regexp_replace(plain, r"[^\p{L}]+", ""))
+        return F.when(letters == 0, 0.0).otherwise(F.length(F.regexp_replace(plain, r"[^\p{Lu}]+", "")) / letters)
+
+    return F.element_at(F.transform(F.array(F.regexp_replace(c, "<(?:URL|USER|EMAIL|PHONE|EMOJI:[^>]*)>", " ")), share), 1)
 
 
 def punctuation_intensity(c: Column) -> Column:
@@ -191,14 +200,17 @@ def punctuation_intensity(c: Column) -> Column:
 
 
 def urgency_score(c: Column) -> Column:
-    low = F.lower(c)
+    def one(low: Column, pattern: str) -> Column:
+        words = URGENCY_WORDS.get(pattern, (pattern.replace(r"\b", ""),))
+        some = functools.reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+        return F.when(some, F.rlike(low, F.lit("(?U)" + pattern)).cast("int")).otherwise(0)
 
-    def hits(patterns: tuple[str, ...]) -> Column:
-        """How many patterns the text has; most texts have none, and one alternation tells."""
-        each = sum((F.rlike(low, F.lit("(?U)" + p)).cast("int") for p in patterns), F.lit(0))
-        return F.when(F.rlike(low, F.lit("(?U)" + "|".join(f"(?:{p})" for p in patterns))), each).otherwise(0)
+    def hits(low: Column) -> Column:
+        """The weighed number of patterns that the text has."""
+        return sum((one(low, p) for p in HIGH_URGENCY), F.lit(0)) * 2.0 + sum((one(low, p) for p in MEDIUM_URGENCY), F.lit(0)) * 1.0
 
-    return caps_ratio(c) * 3.0 + punctuation_intensity(c) + hits(HIGH_URGENCY) * 2.0 + hits(MEDIUM_URGENCY) * 1.0
+    found = F.element_at(F.transform(F.array(F.lower(c)), hits), 1)  # lower-cased once a text
+    return caps_ratio(c) * 3.0 + punctuation_intensity(c) + found
 
 
 def urgency_label(score: Column) -> Column:
