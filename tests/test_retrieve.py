@@ -56,3 +56,25 @@ def test_highlights_are_the_places_of_query_words(spark):
     for r in frame.select("q", "d", retrieve.highlight(F.col("q"), F.col("d")).alias("h")).collect():
         terms = {w.lower() for w in re.findall(r"\w+", r.q or "")} - set(retrieve.STOP)
         assert [tuple(x) for x in r.h] == [m.span() for m in re.finditer(r"\w+", r.d or "") if m.group().lower() in terms]
+
+
+def test_top_k_breaks_ties_by_id_and_takes_small_corpora(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, 0.0]) for i in range(200)], "id long, vector array<double>")
+    asked = spark.createDataFrame([(q, [2.0, 1.0]) for q in range(70)], "query_id long, vector array<double>")
+    got = retrieve.top_k(asked, rows, 3).collect()
+    assert {(r.query_id, r.rank, r.id) for r in got} == {(q, i + 1, x) for q in range(70) for i, x in enumerate((1, 2, 4))}
+    assert retrieve.top_k(asked, rows.filter("id < 2"), 3).count() == 140
+
+
+def test_registered_queries_have_short_arrow_batches(spark, tmp_path):
+    from threadloom.plans import registry
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        spark.range(1).selectExpr("id event_id", "'a' event_type", "timestamp('2024-01-01') ts").write.parquet(f"{tmp_path}/events.parquet")
+        registry.queries()["weekly_counts"](spark, str(tmp_path))
+        assert spark.conf.get(name) == "4m"
+    finally:
+        spark.conf.set(name, before)

@@ -10,11 +10,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, shared_dir
+from ..sources.shared import cut, lean, shared_dir
 
 TOP_K, POOL, SOURCES, MIN_SCORE = 5, 10, 4, 0.0
 #: Vectors of a block of queries and of the corpus, about.
 BLOCK, CHUNK = 1024, 4096
+#: Queries whose scores against a block of the corpus are held at once.
+ROWS = 64
 #: An index: rows its cells are learned from and their number, at most; bits of a code; rows whose codes are compared to find the
 #: distance that a share CLOSE of pairs does not exceed, beyond which codes are passed over.
 SAMPLE, MOST_CELLS, BITS, PAIRED, CLOSE = 20_000, 1_024, 512, 1_000, 0.06
@@ -61,13 +63,23 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, where: Column |
         for b in batches:
             for q, c in zip(b.column(0), b.column(1), strict=True):
                 (qi, qm), (ci, cm) = side(q), side(c)
-                s = qm @ cm.T
-                n = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(ci.to_numpy(zero_copy_only=False), s.shape), -np.round(s, 9)), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([qi.take(pa.array(np.repeat(np.arange(len(qi)), n))), ci.take(pa.array(order.ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
+                names, n = ci.to_numpy(zero_copy_only=False), min(k, len(ci))
+                at, to, score = [], [], []
+                for first in range(0, len(qm), ROWS):
+                    s = qm[first : first + ROWS] @ cm.T
+                    low = -np.round(s, 9)
+                    last = np.partition(low, n - 1, axis=1)[:, n - 1]
+                    for i, row in enumerate(low):
+                        some = np.flatnonzero(~(row > last[i]))  # the best n and what equals the last of them
+                        best = some[np.lexsort((names[some], row[some]))[:n]]
+                        at.append(np.full(n, first + i))
+                        to.append(best)
+                        score.append(s[i, best])
+                at, to, score = (np.concatenate(x) for x in (at, to, score))
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(at)), ci.take(pa.array(to)), pa.array(score)], ["query_id", "id", "score"])
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return pairs.mapInArrow(near, shape).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return pairs.mapInArrow(lean(near), shape).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def build_index(corpus: DataFrame, path: str, seed: int = 7) -> DataFrame:
@@ -173,7 +185,7 @@ def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | No
                     compared += [len(some)] + [0] * (len(best) - 1) if len(best) else []
                 yield pa.RecordBatch.from_arrays([qs.field("query_id").take(pa.array(at, pa.int64())), cs.field("id").take(pa.array(to, pa.int64())), pa.array(score, pa.float64()), pa.array(compared, pa.int64())], ["query_id", "id", "score", "compared"])
 
-    found = asked.join(index, "cell").select("q", "v").mapInArrow(near, f"query_id {ids}, id {answer}, score double, compared long")
+    found = asked.join(index, "cell").select("q", "v").mapInArrow(lean(near), f"query_id {ids}, id {answer}, score double, compared long")
     own = Window.partitionBy("query_id")
     rank = F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumns({"rank": rank, "compared": F.sum("compared").over(own)}).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank", "compared")
