@@ -189,11 +189,17 @@ def decode_tags(tokens: DataFrame) -> DataFrame:
 def align_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """tokens (doc_id, pos, start, end) with the tag that spans (doc_id, start, end, label) give: B- on the first token that
     overlaps a span, I- on the others; tokens of no width are O."""
-    s = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), "label")
-    hit = tokens.filter("end > start").join(s, "doc_id").filter("start < e AND s < end")
-    first = F.row_number().over(Window.partitionBy("doc_id", "s", "e", "label").orderBy("pos"))
-    tagged = hit.withColumn("tag", F.concat(F.when(first == 1, "B-").otherwise("I-"), "label")).groupBy("doc_id", "pos").agg(F.min("tag").alias("tag"))
-    return tokens.join(tagged, ["doc_id", "pos"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
+    columns, s = tokens.columns, spans.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_s"), F.col("end").alias("_e"), "label")
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not joined to larger ones, which would spill when sorted
+    dealt = tokens.repartition(parts, "doc_id").withColumn("_row", F.monotonically_increasing_id())  # every step deals by doc_id: one shuffle
+    overlaps = (F.col("doc_id") == F.col("_doc")) & (F.col("end") > F.col("start")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
+    hit = dealt.join(s.withColumnRenamed("label", "_label").hint("shuffle_hash"), overlaps, "left")
+    alone = F.when(F.col("_s").isNull(), F.col("_row"))  # tokens outside spans are no group
+    first = F.col("pos") == F.min("pos").over(Window.partitionBy("doc_id", "_s", "_e", "_label", alone))
+    place = Window.partitionBy("doc_id", "pos")
+    tagged = hit.withColumn("_tag", F.concat(F.when(first, "B-").otherwise("I-"), "_label"))
+    one = tagged.withColumn("_before", F.lag("_row").over(place.orderBy("_row"))).withColumn("tag", F.coalesce(F.min("_tag").over(place), F.lit("O")))
+    return one.filter("_before IS NULL OR _before <> _row").select(*columns, "tag")
 
 
 def violations(examples: DataFrame, fixed: Column | None = None) -> DataFrame:
