@@ -45,6 +45,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_make_no_rounds(spark, monkeypatch):
+    edges, kept = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (900, 700)], "a long, b long").repartition(6), []
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: kept.append(1) or cut(df))
+    want = {(i, 0) for i in range(201)} | {(500, 500), (700, 700), (900, 700)}
+    assert {tuple(r) for r in components.components(edges).collect()} == want and len(kept) == 3  # rounds would add to them
+    monkeypatch.setattr(components, "FEW", 20)
+    assert {tuple(r) for r in components.components(edges).collect()} == want
+
+
 def test_contamination(spark, corpus, docs, none):
     rng = random.Random(4)
     text = next(t for _, t, *_ in corpus if t and len(t.split()) > 100)
