@@ -78,3 +78,20 @@ def test_registered_queries_have_short_arrow_batches(spark, tmp_path):
         assert spark.conf.get(name) == "4m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_an_index_of_which_all_is_read_meets_blocks_of_queries_not_copies_of_vectors(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(400)] + [(900, [0.0] * 4), (901, None)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = corpus.withColumnRenamed("id", "query_id")
+    path = f"file://{tmp_path}/index"
+    for name, value in (("CHUNK", 20), ("BLOCK", 64), ("HELD", 2)):
+        monkeypatch.setattr(retrieve, name, value)
+    retrieve.build_index(corpus, path)
+    found = retrieve.search_index(queries, path, within=retrieve.BITS)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    shape = lambda df: {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in df.collect()}
+    exact = queries.filter("vector IS NOT NULL")
+    assert shape(found) == shape(retrieve.top_k(exact, corpus.filter("vector IS NOT NULL")))  # many scores are equal
+    assert {r.compared for r in found.select("compared").collect()} == {401}

@@ -22,6 +22,8 @@ ROWS = 64
 SAMPLE, MOST_CELLS, BITS, PAIRED, CLOSE = 20_000, 1_024, 512, 1_000, 0.06
 #: Queries that choose the number of probes.
 PROBED = 64
+#: Tasks that share an index of which all is read, for each block of queries, at most; files whose best are held before they are trimmed.
+READERS, HELD = 8, 16
 STOP = "a about after all an and any are as at be been but by can do for from had has have he her his how i if in into is it its me my no not of on or our out so than that the their them then there they this to up was we were what when which who will with you your".split()
 
 
@@ -161,31 +163,67 @@ def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | No
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(order), pa.list_(pa.int32())), pa.array(list(m), pa.list_(pa.float64()))], ["query_id", "cells", "vector"])
 
     asked = queries.filter("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(routed, shape)
-    asked = asked.select("query_id", "vector", F.explode("cells").alias("cell"))
-    sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    asked = asked.join(F.broadcast(sizes), "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
     ids, answer = dict(queries.dtypes)["query_id"], index.schema["v"].dataType.elementType["id"].dataType.simpleString()
+    if wanted < len(known):
+        asked = asked.select("query_id", "vector", F.explode("cells").alias("cell"))
+        sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        asked = asked.join(F.broadcast(sizes), "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
+        pairs = asked.join(index, "cell").select("b", "q", "v")
+    else:  # every block of queries meets every file; vectors are not copied for each cell, and a task keeps the best of all it reads
+        n = asked.count() // BLOCK + 1
+        parts = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        asked = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("b")).repartition(parts, "b").groupBy("b").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
+        pairs = asked.crossJoin(index.select("v").coalesce(READERS)).select("b", "q", "v")
+
+    def met(q, c) -> tuple:
+        """Places in q and c of the best k of each query, and what equals the last of them; their scores; how many were compared."""
+        qm, cm = _units(q.field("vector")), _units(c.field("vector"))
+        codes = c.field("code").flatten().to_numpy().reshape(len(c), -1).view(np.uint64)
+        at, to, score, compared = [], [], [], np.zeros(len(q), np.int64)
+        for i, (row, code) in enumerate(zip(qm, _codes(qm, seed), strict=True)):
+            some = np.nonzero(np.bitwise_count(codes ^ code).sum(1) <= within)[0]
+            s = cm[some] @ row
+            best = np.argsort(-np.round(s, 9), kind="stable")[:k]
+            if len(s) > k:  # equal scores at the end stay together
+                best = np.nonzero(np.round(s, 9) >= np.round(s[best[-1]], 9))[0]
+            at.append(np.full(len(best), i))
+            to.append(some[best])
+            score.append(s[best])
+            compared[i] = len(some)
+        return *(np.concatenate(x) for x in (at, to, score)), compared
+
+    def trimmed(held: list[tuple]) -> list[tuple]:
+        """The best k of each query of a block, and what equals the last of them, of what several files gave."""
+        at, score = (np.concatenate([x[j] for x in held]) for j in (0, 2))
+        names = pa.concat_arrays([x[1] for x in held])
+        order = np.lexsort((-np.round(score, 9), at))
+        own = at[order]
+        last = np.minimum(np.searchsorted(own, own) + k, np.searchsorted(own, own, "right")) - 1
+        stays = order[np.round(score[order], 9) >= np.round(score[order][last], 9)]
+        return [(at[stays], names.take(pa.array(stays)), score[stays], np.sum([x[3] for x in held], axis=0))]
+
+    def given(q, held: list[tuple]):
+        ((at, names, score, compared),) = trimmed(held)
+        first = np.append(True, at[1:] != at[:-1])[: len(at)]
+        return pa.RecordBatch.from_arrays([q.field("query_id").take(pa.array(at, pa.int64())), names, pa.array(score, pa.float64()), pa.array(np.where(first, compared[at], 0))], ["query_id", "id", "score", "compared"])
 
     def near(batches):
-        for b in batches:
-            for q, c in zip(b.column(0), b.column(1), strict=True):
-                qs, cs = q.values, c.values
-                qm, cm = _units(qs.field("vector")), _units(cs.field("vector"))
-                codes = np.array(cs.field("code").to_pylist(), np.int64).view(np.uint64)
-                at, to, score, compared = [], [], [], []
-                for i, (row, code) in enumerate(zip(qm, _codes(qm, seed), strict=True)):
-                    some = np.nonzero(np.bitwise_count(codes ^ code).sum(1) <= within)[0]
-                    s = cm[some] @ row
-                    best = np.argsort(-np.round(s, 9), kind="stable")[:k]
-                    if len(s) > k:  # equal scores at the end stay together
-                        best = np.nonzero(np.round(s, 9) >= np.round(s[best[-1]], 9))[0]
-                    at += [i] * len(best)
-                    to += some[best].tolist()
-                    score += s[best].tolist()
-                    compared += [len(some)] + [0] * (len(best) - 1) if len(best) else []
-                yield pa.RecordBatch.from_arrays([qs.field("query_id").take(pa.array(at, pa.int64())), cs.field("id").take(pa.array(to, pa.int64())), pa.array(score, pa.float64()), pa.array(compared, pa.int64())], ["query_id", "id", "score", "compared"])
-
-    found = asked.join(index, "cell").select("q", "v").mapInArrow(lean(near), f"query_id {ids}, id {answer}, score double, compared long")
+        now, held = None, []
+        for batch in batches:
+            for q, c in zip(batch.column(1), batch.column(2), strict=True):
+                q, c = q.values, c.values
+                if held and not q.field("query_id").equals(now.field("query_id")):
+                    yield given(now, held)
+                    held = []
+                now = q
+                at, to, score, compared = met(q, c)
+                held.append((at, c.field("id").take(pa.array(to, pa.int64())), score, compared))
+                if len(held) >= HELD:
+                    held = trimmed(held)
+        if held:
+            yield given(now, held)
+
+    found = pairs.mapInArrow(lean(near), f"query_id {ids}, id {answer}, score double, compared long")
     own = Window.partitionBy("query_id")
     rank = F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumns({"rank": rank, "compared": F.sum("compared").over(own)}).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank", "compared")
