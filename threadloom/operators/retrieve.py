@@ -24,6 +24,8 @@ SAMPLE, MOST_CELLS, BITS, PAIRED, CLOSE = 20_000, 1_024, 512, 1_000, 0.06
 PROBED = 64
 #: Tasks that share an index of which all is read, for each block of queries, at most; files whose best are held before they are trimmed.
 READERS, HELD = 8, 16
+#: Cells up to which a query is copied for each that it reads.
+COPIES = 8
 STOP = "a about after all an and any are as at be been but by can do for from had has have he her his how i if in into is it its me my no not of on or our out so than that the their them then there they this to up was we were what when which who will with you your".split()
 
 
@@ -164,23 +166,25 @@ def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | No
 
     asked = queries.filter("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(routed, shape)
     ids, answer = dict(queries.dtypes)["query_id"], index.schema["v"].dataType.elementType["id"].dataType.simpleString()
-    if wanted < len(known):
+    if wanted <= COPIES:
         asked = asked.select("query_id", "vector", F.explode("cells").alias("cell"))
         sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
         asked = asked.join(F.broadcast(sizes), "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-        pairs = asked.join(index, "cell").select("b", "q", "v")
+        pairs = asked.join(index, "cell").select("b", "q", "cell", "v")
     else:  # every block of queries meets every file; vectors are not copied for each cell, and a task keeps the best of all it reads
         n = asked.count() // BLOCK + 1
         parts = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
         asked = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("b")).repartition(parts, "b").groupBy("b").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-        pairs = asked.crossJoin(index.select("v").coalesce(READERS)).select("b", "q", "v")
+        pairs = asked.crossJoin(index.select("cell", "v").coalesce(READERS)).select("b", "q", "cell", "v")
 
-    def met(q, c) -> tuple:
+    def met(q, c, asks) -> tuple:
         """Places in q and c of the best k of each query, and what equals the last of them; their scores; how many were compared."""
         qm, cm = _units(q.field("vector")), _units(c.field("vector"))
         codes = c.field("code").flatten().to_numpy().reshape(len(c), -1).view(np.uint64)
         at, to, score, compared = [], [], [], np.zeros(len(q), np.int64)
         for i, (row, code) in enumerate(zip(qm, _codes(qm, seed), strict=True)):
+            if not asks[i]:
+                continue
             some = np.nonzero(np.bitwise_count(codes ^ code).sum(1) <= within)[0]
             s = cm[some] @ row
             best = np.argsort(-np.round(s, 9), kind="stable")[:k]
@@ -190,7 +194,7 @@ def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | No
             to.append(some[best])
             score.append(s[best])
             compared[i] = len(some)
-        return *(np.concatenate(x) for x in (at, to, score)), compared
+        return *(np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((at, int), (to, int), (score, float))), compared
 
     def trimmed(held: list[tuple]) -> list[tuple]:
         """The best k of each query of a block, and what equals the last of them, of what several files gave."""
@@ -210,13 +214,20 @@ def search_index(queries: DataFrame, path: str, k: int = TOP_K, probes: int | No
     def near(batches):
         now, held = None, []
         for batch in batches:
-            for q, c in zip(batch.column(1), batch.column(2), strict=True):
+            for q, cell, c in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 q, c = q.values, c.values
                 if held and not q.field("query_id").equals(now.field("query_id")):
                     yield given(now, held)
                     held = []
+                if now is None or not q.field("query_id").equals(now.field("query_id")):
+                    asks = np.ones((len(q), len(known)), bool)
+                    if COPIES < wanted < len(known):  # a query reads its own cells only
+                        asks[:] = False
+                        np.put_along_axis(asks, np.argsort((centres**2).sum(1) - 2 * _units(q.field("vector")) @ centres.T, axis=1)[:, :wanted], True, axis=1)
                 now = q
-                at, to, score, compared = met(q, c)
+                if not asks[:, cell].any():
+                    continue
+                at, to, score, compared = met(q, c, asks[:, cell])
                 held.append((at, c.field("id").take(pa.array(to, pa.int64())), score, compared))
                 if len(held) >= HELD:
                     held = trimmed(held)
