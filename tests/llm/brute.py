@@ -57,6 +57,14 @@ def repeated_words(texts, length=51):
     return out
 
 
+def passages(texts, length=51):
+    """(words in runs of length words that start anywhere else too, maximal runs of such words) of each text."""
+    found = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in found for i in range(len(w) - length + 1))
+    gone = [{j for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for j in range(i, i + length)} for w in found]
+    return [(len(g), len(g - {j + 1 for j in g})) for g in gone]
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

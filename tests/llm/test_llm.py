@@ -87,6 +87,26 @@ def test_repeated_words(corpus, docs, length, most):
     assert sorted((str(d), bytes(k).decode()) for d, k in got) == sorted((str(r[0]), t) for r, t in zip(corpus, want, strict=True))
 
 
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 2])
+def test_bytes_and_passages_in_one_search(corpus, docs, most):
+    """What is cut and the passages that are counted beside it are as if each were searched for alone."""
+    got = suffix_dedup.remove_repeats(docs, most=most, passage=51).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept", *suffix_dedup.PASSAGES)
+    texts = [r[1] for r in corpus]
+    want = [(r[0], *x, *y) for r, x, y in zip(corpus, brute.repeats(texts), brute.passages(texts), strict=True)]
+    assert sorted((str(a), *b, bytes(k), n, m) for a, *b, k, n, m in got.collect()) == sorted((str(a), *b) for a, *b in want)
+
+
+def test_report_tells_passages_of_under_400_bytes(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 6))) for _ in range(n))
+    short, passage = text(50), text(51)
+    texts = [f"{text(40)} {passage} {text(40)}", f"{text(60)}\n{passage}\t{text(5)}", passage.replace(" ", "  "), f"{text(40)} {short} {text(40)}", f"{text(30)} {short}", text(300), None, ""]
+    got = suffix_dedup.repeat_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words", "n_passages"]
+    assert len(passage) < suffix_dedup.LENGTH
+    assert rows(got) == sorted([(i, len(t or ""), 0, 0, hashlib.sha256((t or "").encode()).hexdigest(), 51 * (i < 3), int(i < 3)) for i, t in enumerate(texts)], key=str)
+
+
 def test_anchors_do_not_depend_on_blocks(monkeypatch):
     values = suffix_dedup.BYTES[np.random.default_rng(1).integers(0, 3, 5000)]
     chosen = lambda found: {w: p for _, p, a, b in zip(*(x.tolist() for x in found), strict=True) for w in range(a, b + 1)}

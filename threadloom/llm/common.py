@@ -102,19 +102,32 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _new_table(spark: SparkSession, kind: str) -> str:
+    base = "stage_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{shared_dir(spark)}/{base}'")
+    return f"{base}.{kind}_{uuid.uuid4().hex}"
+
+
+def tabled(df: DataFrame) -> tuple[DataFrame, str]:
+    """As stage(), but a table, and its name: discard() frees it before the run's end."""
+    spark = df.sparkSession
+    name = _new_table(spark, "rows")
+    df.write.format("parquet").saveAsTable(name)
+    gc.collect()
+    return spark.table(name), name
+
+
 def bucketed(df: DataFrame, *keys: str) -> tuple[DataFrame, str]:
     """df, written once under the shared folder as a table bucketed by keys, and the table's name: later joins on keys read it
     where it lies and shuffle their other side only. discard() frees it; else it stays as long as the folder does."""
     spark = df.sparkSession
-    base = "stage_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{shared_dir(spark)}/{base}'")
-    name, n = f"{base}.buckets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, n = _new_table(spark, "buckets"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name), name
 
 
 def discard(spark: SparkSession, name: str) -> None:
-    """Drops a table of bucketed(), with its files, once nothing that is still to run reads it."""
+    """Drops a table of bucketed() or tabled(), with its files, once nothing that is still to run reads it."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
