@@ -530,7 +530,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words, n_passages) for each row of docs. Strings of 400 bytes
-    are cut; passages of over 50 words, half of which are shorter than that, are counted beside them and cut nothing."""
+    are cut; passages of over 50 words, many of which are shorter than that, are counted beside them and cut nothing."""
     out = remove_repeats(docs.select("doc_id", "text"), passage=PASSAGE)
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *PASSAGES)
 
