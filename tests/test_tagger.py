@@ -90,3 +90,71 @@ def test_texts_together_are_tagged_like_each_alone():
         assert [tuple(x) for x in offsets[a:b].tolist()] == alone and (ids[a:b] == own).all()
         if alone:
             assert (path[a:b] == tagger.best_path(tagger.scores(weights, own), weights[tagger.PLACES :], tags)).all()
+
+
+def _odd(spark):
+    """1,100 sentences; one alone, not among the 1,000 of the least hashes, has a span of its label."""
+    from threadloom.functions.text import seeded
+
+    ids = spark.range(1_100)
+    last = ids.orderBy(seeded(F.col("id"), "tagger").desc(), F.desc("id")).first().id
+    span = lambda a, b, label: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("score"))).cast(H.SPANS)
+    return ids.select("id", F.when(F.col("id") == last, "the zyx is here").otherwise("pay 5 now").alias("text"), F.when(F.col("id") == last, span(4, 7, "PRODUCT")).otherwise(span(4, 5, "AMOUNT")).alias("entities")), last
+
+
+def test_all_examples_teach(spark):
+    examples, last = _odd(spark)
+    said = examples.filter(F.col("id").isin(last, (last + 1) % 1_100)).select("id", "text")
+    got = {x.id: [(s.start, s.end, s.label) for s in x.model] for x in tagger.annotated(said, tagger.train(examples)).collect()}
+    assert got == {last: [(4, 7, "PRODUCT")], (last + 1) % 1_100: [(4, 5, "AMOUNT")]}
+
+
+def test_registered_annotators_learn_from_all_documents(spark, monkeypatch):
+    from threadloom.plans import q_spans
+
+    taught, train = [], tagger.train
+
+    def counting(examples, *more, **named):
+        taught.append((examples.count(), more, named))
+        return train(examples.limit(0))
+
+    monkeypatch.setattr(tagger, "train", counting)
+    for query in (q_spans.hybrid_tagged,):
+        query(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert taught == [(n, (), {})]
+
+
+@pytest.mark.parametrize("kind", [np.float64, np.float32])
+def test_paths_between_certain_tokens_are_the_best_ones(kind):
+    tags, rng = tagger.Tags(tagger.LABELS), np.random.default_rng(5)
+    sizes = np.array([0, 3, 0, 0, 400, 1, 60, 0])
+    for ahead in (0.0, 3.0, 30.0):
+        emit = np.round(rng.normal(size=(sizes.sum(), len(tags.names))) * 4).astype(kind)
+        emit[:, 0] += ahead
+        moves = rng.integers(-3, 4, size=(len(tags.names),) * 2).astype(kind)
+        path = tagger.best_paths(emit, sizes, moves, tags)
+        sure = tagger.certain(emit, sizes, moves, tags)
+        assert not path[sure].any() and (ahead < 30 or sure.mean() > 0.9)
+        worth = lambda e, p: tags.first[p[0]] + e[np.arange(len(e)), p].sum() + (moves + tags.barred)[p[:-1], p[1:]].sum()
+        for b, n in zip(np.cumsum(sizes), sizes, strict=True):
+            if n:
+                alone = tagger.best_path(emit[b - n : b], moves, tags)
+                assert worth(emit[b - n : b], path[b - n : b]) == worth(emit[b - n : b], alone)
+
+
+def test_one_pass_in_parts_is_the_pass_text_by_text(monkeypatch):
+    """Texts tagged ahead, in several parts, move weights as each alone does."""
+    import pandas as pd
+
+    tags, rng = tagger.Tags(tagger.LABELS), np.random.default_rng(8)
+    words = ["pay", "5", "now", "Kindle", "on", "May", "3", "", "x9"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(300)]
+    gold = [[{"start": t.index("5"), "end": t.index("5") + 1, "label": "AMOUNT"}] if "5" in t else None for t in texts]
+    rows = pd.DataFrame({"text": texts, "entities": gold})
+    start = np.zeros((tagger.PLACES + len(tags.names), len(tags.names)))
+    whole = tagger._pass(rows, start, tags)
+    monkeypatch.setattr(tagger, "TAUGHT", 1)
+    pd.testing.assert_frame_equal(whole, tagger._pass(rows, start, tags))
+    monkeypatch.setattr(tagger, "AHEAD", 1)
+    pd.testing.assert_frame_equal(whole, tagger._pass(rows, start, tags))
