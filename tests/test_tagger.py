@@ -119,10 +119,10 @@ def test_registered_annotators_learn_from_all_documents(spark, monkeypatch):
         return train(examples.limit(0))
 
     monkeypatch.setattr(tagger, "train", counting)
-    for query in (q_spans.hybrid_tagged,):
+    for query in (q_spans.hybrid_tagged, q_spans.union_tagged):
         query(spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    assert taught == [(n, (), {})]
+    assert taught == [(n, (), {})] * 2
 
 
 @pytest.mark.parametrize("kind", [np.float64, np.float32])
