@@ -366,3 +366,47 @@ def test_pipeline(spark, corpus, docs, tmp_path):
     taken = brute.mixture([(r[0], r[1], r[3]) for r in left])
     assert got == Counter((str(r[0]), r[1], t) for r, t in zip(left, taken, strict=True) if t)
     assert sum(got.values()) < len(plain) - 45 and sum(t == plain[0][1] for _, t, _ in got) == 1
+
+
+def _dealt(texts):
+    import pyarrow as pa
+
+    raw = [t.encode() for t in texts]
+    blob = np.array([len(t) for t in raw], np.int64).tobytes() + b"".join(raw)
+    return pa.RecordBatch.from_pylist([{"part": 3, "source": 0, "at": 0, "n": len(raw), "size": len(blob), "texts": pa.compress(blob, "zstd", asbytes=True)}], jaccard_join.DEALT)
+
+
+def _bytes(packs):
+    return sum(len(r["low"]) + len(r["high"]) for b in packs for r in b.to_pylist())
+
+
+def test_packed_shingles_take_as_much_with_many_shards_and_come_back(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(200)) for _ in range(300)]
+    texts += [" ".join(texts[i].split()[:100] + texts[i + 1].split()[:50]) for i in range(40)] + [texts[0].replace(" ", "  "), "", " "]
+    monkeypatch.setattr(jaccard_join, "BATCH", 20_000)
+    few, many = (list(jaccard_join.packer(n)(iter([_dealt(texts)]))) for n in (8, 200))
+    assert _bytes(many) < 1.3 * _bytes(few)
+    sets = {jaccard_join.digest(s): s for t in texts if len(s := jaccard_join.shingles(t))}
+    df = Counter(x for s in sets.values() for x in s.tolist())
+    want = {(c, x, n) for c, s in sets.items() for x in s.tolist() if (n := df[x]) > 1}
+    for packs in (few, many):
+        whole = pa.Table.from_batches(packs).combine_chunks()
+        found = [jaccard_join.shared_shingles(whole.filter(pa.compute.equal(whole["shard"], n))).to_pylist() for n in set(whole["shard"].to_pylist())]
+        found = [x for rows in found for x in rows]
+        about = {}
+        for x in found:
+            if x["df"] < 0:
+                about.setdefault(x["c"], {})[x["df"]] = x["tok"]
+        assert {(a[-3], a[-2]): a[-1] for a in about.values()} == {c: len(s) for c, s in sets.items()} and len(about) == len(sets)
+        assert {((about[x["c"]][-3], about[x["c"]][-2]), x["tok"] % 2**64, x["df"]) for x in found if x["df"] > 0} == want
+
+
+def test_texts_of_equal_sets_in_parts_of_their_own_are_one_component(spark):
+    prose = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(60)]
+    data = [(100 + k, t) for k, t in enumerate(prose)] + [(k, t.replace(" ", "\t").upper()) for k, t in enumerate(prose)] + [(None, prose[0]), (500, None), (501, " ")]
+    got = sorted(jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect(), key=str)
+    want = [(100 + k, 26, k) for k in range(60)] + [(k, 26, k) for k in range(60)] + [(None, 26, 0), (500, 0, 500), (501, 0, 501)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

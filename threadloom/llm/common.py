@@ -94,11 +94,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Spark removes shuffle files of what nothing refers to only when the driver collects its garbage, which one with much memory does
+    seldom; now it does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """df, written once as Parquet under the shared folder and read back: lineage ends, columns can be pruned."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
+    freed(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,10 @@
 
 1. Documents with equal sets form one class, known by a digest of 128 bits; all later steps see a class once. Shingles are
    known by hashes of 64 bits.
-2. (shingle, class) pairs, packed in sorted arrays, go to shards by hash range. A shard keeps the shingles of two or more
-   classes and their frequency. A class stays a candidate only if 3/4 of its shingles are so shared.
+2. Different texts, compressed, are dealt to tasks by hash, which number their classes. (shingle, class) pairs, packed in sorted
+   arrays, go to shards by hash range; a class is a place in its batch there, whatever the number of shards. A shard keeps the
+   shingles of two or more classes and their frequency. A class stays a candidate only if 3/4 of its shingles are so shared.
+   Texts that differ and have equal sets may be numbered apart; they are linked as any equal sets are.
 3. Two linked sets meet in their prefixes: with shingles ordered by frequency, then hash, the first n - ceil(0.75 n) + 1.
    Classes that share a prefix shingle are joined, as stars round the least class of that shingle, into pools.
 4. Each pool is searched for links by T-occurrence search (DivideSkip): a set asks for those in which at least T of its
@@ -23,24 +25,27 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import poly_hash
-from .common import cut, lean, lean_group, row_key, slices
+from .common import cut, freed, lean, lean_group, row_key, slices
 from .components import components
 
 SHINGLE = 5
 #: Shingles a packed batch, a shard and a block hold at about most.
 BATCH, SHARD, BLOCK = 600_000, 1_500_000, 32_000
+#: Bytes of different texts that are dealt out at a time.
+DEAL = 1 << 23
 BYTES = poly_hash.values(10)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 WORD_MARK = np.uint64(0x5555AAAA5555AAAA)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; a text of fewer words is one shingle."""
-    raw = np.frombuffer((text or "").encode().lower(), np.uint8)  # bytes.lower() changes A-Z only
+def shingles(text: str | bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, or of its UTF-8; a text of fewer words is one shingle."""
+    raw = np.frombuffer((text if isinstance(text, bytes) else (text or "").encode()).lower(), np.uint8)  # bytes.lower() changes A-Z only
     solid = ~SPACE[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -71,77 +76,113 @@ def set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], ["doc_id", "k2", "n", "c1", "c2"])
 
 
+def dealer(parts: int):
+    """(h, text), h a hash of the text, to (part, source, at, texts): different texts of a task, dealt to parts by hash, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, codec, seen, held, n, at = TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=3), set(), {}, 0, 0
+
+        def dealt() -> pa.RecordBatch:
+            rows = []
+            for part, texts in held.items():
+                raw = np.array([len(t) for t in texts], np.int64).tobytes() + b"".join(texts)
+                rows.append((part, len(texts), len(raw), codec.compress(raw, asbytes=True)))
+            part, count, size, packed = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([source] * len(rows), pa.int32()), pa.array([at] * len(rows), pa.int32()), pa.array(count, pa.int32()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], DEALT.names)
+
+        for b in slices(batches):
+            for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if t.is_valid and (key := (h, len(text := t.as_py().encode()))) not in seen:
+                    seen.add(key)
+                    held.setdefault(h % parts, []).append(text)
+                    n += len(text)
+                    if n >= DEAL:
+                        yield dealt()
+                        held, n, at = {}, 0, at + 1
+        if held:
+            yield dealt()
+
+    return run
+
+
 def packer(shards: int):
-    """text to (shard, high, middle, low, at, classes): the sorted shingles of a batch that fall to a shard, their upper bits, which
-    compress well, apart, and for each the place of its class in classes."""
+    """Parts of dealer(), one a task, to (shard, first, n, low, high): the n sorted shingles of a batch of classes that fall to a shard,
+    as differences, and for each the place of its class among those from number first on; lower bytes, and upper ones, compressed. Rows
+    of n 0 tell of the classes first, first + 1, ...: sizes and digests, in low."""
 
-    def pack(sets: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    def pack(sets: dict[tuple[int, int], np.ndarray], first: int) -> pa.RecordBatch:
         tok = np.concatenate(list(sets.values()))
-        own = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets.values()])
+        sizes = np.array([len(s) for s in sets.values()], np.int64)
+        own = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
         order = np.argsort(tok)
         tok, own = tok[order], own[order]
-        classes = np.array(list(sets), np.int64).view(CLASS).ravel()
         cuts = np.searchsorted(tok, np.array([i * 2**64 // shards for i in range(shards)], np.uint64))
-        rows = []
+        rows = [(first % shards, first, 0, np.column_stack([sizes, np.array(list(sets), np.int64)]).tobytes(), b"")]
         for s, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(tok)), strict=True)):
             if a < b:
-                used, at = np.unique(own[a:b], return_inverse=True)
-                at = at.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                t = tok[a:b]
-                rows.append((s, *((t >> np.uint64(shift)).astype(kind).tobytes() for _, shift, kind in PIECES), at.tobytes(), classes[used].tobytes()))
+                step, at = (x.view(np.uint8).reshape(b - a, -1).T for x in (np.diff(tok[a:b], prepend=np.uint64(0)), own[a:b]))
+                low, high = (np.concatenate(x).tobytes() for x in ((step[:LOW], at[:1]), (step[LOW:], at[1:])))
+                rows.append((s, first, b - a, low, pa.compress(high, "zstd", asbytes=True)))
         return pa.RecordBatch.from_pylist([dict(zip(PACKED.names, r, strict=True)) for r in rows], PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, n = {}, 0
-        for b in slices(batches):
-            for t in b.column(0):
-                s = shingles(t.as_py())
-                if len(s) and (c := digest(s)) not in sets:
-                    sets[c] = s
-                    n += len(s)
-                    if n >= BATCH:
-                        yield pack(sets)
-                        sets, n = {}, 0
+        codec, sets, seen, n, first = pa.Codec("zstd"), {}, set(), 0, None
+        for b in batches:
+            for part, count, size, packed in zip(*(b.column(i) for i in (0, 3, 4, 5)), strict=True):
+                if first is None:
+                    first = part.as_py() << 32
+                raw = codec.decompress(packed.as_buffer(), decompressed_size=size.as_py(), asbytes=True)
+                ends = np.cumsum(np.frombuffer(raw, np.int64, count.as_py())).tolist()
+                for i, j in zip([0, *ends], ends, strict=False):
+                    s = shingles(raw[8 * len(ends) + i : 8 * len(ends) + j])
+                    if len(s) and (c := digest(s)) not in seen:
+                        seen.add(c)
+                        sets[c] = s
+                        n += len(s)
+                        if n >= BATCH:
+                            yield pack(sets, first)
+                            first, sets, n = first + len(sets), {}, 0
         if sets:
-            yield pack(sets)
+            yield pack(sets, first)
 
     return run
 
 
-CLASS = np.dtype((np.void, 16))
-PIECES = (("high", 48, np.uint16), ("middle", 32, np.uint16), ("low", 0, np.uint32))
-PACKED = pa.schema([("shard", pa.int32()), *((name, pa.binary()) for name, _, _ in PIECES), ("at", pa.binary()), ("classes", pa.binary())])
+DEALT = pa.schema([("part", pa.int32()), ("source", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), ("texts", pa.binary())])
+#: Lower bytes of a difference of shingles, which do not compress.
+LOW = 5
+PACKED = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
+#: In place of a frequency: what a row tells of its class, in order of its digests and size.
+ABOUT = (-3, -2, -1)
 
 
 def shared_shingles(shard: pa.Table) -> pa.Table:
-    """The (c1, c2, tok, df) of a shard's shingles that two or more classes have."""
-    toks, places, classes, n = [], [], [], 0
-    for *pieces, at, some in zip(*(shard.column(k) for k in PACKED.names[1:]), strict=True):
-        toks.append(sum(np.frombuffer(x.as_py(), kind).astype(np.uint64) << np.uint64(shift) for x, (_, shift, kind) in zip(pieces, PIECES, strict=True)))
-        place = at.as_py()
-        places.append(np.frombuffer(place, np.uint16 if len(place) == 2 * len(toks[-1]) else np.uint32).astype(np.uint32) + np.uint32(n))
-        classes.append(np.frombuffer(some.as_py(), CLASS))
-        n += len(classes[-1])
-    known, ident = np.unique(np.concatenate(classes), return_inverse=True)  # a class may come from several batches
-    tok, own = np.concatenate(toks), ident.astype(np.uint32)[np.concatenate(places)]
-    del toks, places, classes, ident
+    """The (c, tok, df) of a shard's shingles that two or more classes have, and ABOUT the classes of which the shard tells."""
+    toks, own, about = [], [], []
+    codec = pa.Codec("zstd")
+    for first, n, low, high in zip(*(shard.column(k) for k in PACKED.names[1:]), strict=True):
+        first, n, low = first.as_py(), n.as_py(), low.as_buffer()
+        if not n:
+            told = np.frombuffer(low, np.int64).reshape(-1, 3)
+            about.append((first + np.arange(len(told)), told))
+            continue
+        low = np.frombuffer(low, np.uint8).reshape(LOW + 1, n)
+        high = np.frombuffer(codec.decompress(high.as_buffer(), decompressed_size=n * (11 - LOW)), np.uint8).reshape(-1, n)
+        toks.append(np.cumsum(np.concatenate([low[:LOW], high[: 8 - LOW]]).T.copy().view(np.uint64).ravel(), dtype=np.uint64))
+        own.append(np.concatenate([low[LOW:], high[8 - LOW :]]).T.copy().view(np.uint32).ravel().astype(np.int64) + first)
+    tok, own = np.concatenate([np.empty(0, np.uint64), *toks]), np.concatenate([np.empty(0, np.int64), *own])
+    del toks
     order = np.argsort(tok)
     tok, own = tok[order], own[order]
-    again = np.zeros(len(tok), bool)
-    again[1:] = tok[1:] == tok[:-1]
-    many = again.copy()
-    many[:-1] |= again[1:]
-    tok, own = tok[many], own[many]
-    order = np.lexsort((own, tok))
-    tok, own = tok[order], own[order]
     new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])
-    tok, own = tok[new], own[new]
-    _, at, df = np.unique(tok, return_inverse=True, return_counts=True)
-    df = df[at] if len(tok) else np.empty(0, np.int64)
-    tok, own, df = tok[df > 1], own[df > 1], df[df > 1]
-    names = np.frombuffer(known.tobytes(), np.int64).reshape(-1, 2)[own]
-    return pa.table({"c1": names[:, 0], "c2": names[:, 1], "tok": tok.astype(np.int64), "df": df.astype(np.int32)})
+    new[1:] = tok[1:] != tok[:-1]
+    begin = np.flatnonzero(new)
+    df = np.repeat(np.diff(np.append(begin, len(tok))), np.diff(np.append(begin, len(tok))))
+    tok, own, df = tok[df > 1].astype(np.int64), own[df > 1], df[df > 1]
+    for c, told in about:
+        for mark, value in zip(ABOUT, told.T[[1, 2, 0]], strict=True):
+            own, tok, df = np.append(own, c), np.append(tok, value), np.append(df, np.full(len(c), mark))
+    return pa.table({"c": own, "tok": tok, "df": df.astype(np.int32)})
 
 
 def merge_skip(own: list[int], lo: list[int], hi: list[int], need: int, after: int = -1) -> tuple[list[int], list[int]]:
@@ -308,16 +349,21 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sizes = cut(docs.mapInArrow(lean(set_sizes), "doc_id long, k2 long, n long, c1 long, c2 long"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD)
-    packed = docs.select("text").mapInArrow(lean(packer(shards)), "shard int, high binary, middle binary, low binary, at binary, classes binary")
-    shared = packed.groupBy("shard").applyInArrow(lean_group(shared_shingles), "c1 long, c2 long, tok long, df int")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(lean(dealer(parts)), "part int, source int, at int, n int, size long, texts binary")
+    packed = dealt.repartitionById(parts, "part").sortWithinPartitions("source", "at").mapInArrow(lean(packer(shards)), "shard int, first long, n int, low binary, high binary")
+    shared = packed.groupBy("shard").applyInArrow(lean_group(shared_shingles), "c long, tok long, df int")
     classes = sizes.filter("n > 0").groupBy("c1", "c2").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
-    toks = F.transform(F.array_sort("toks"), lambda x: x["tok"])
+    found = shared.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("all"))
+    about = [F.col("all")[i]["tok"].alias(name) for i, name in enumerate(("c1", "c2", "n"))]  # as ABOUT has it
     least = -F.floor(-F.col("n") * 3 / 4)
-    candidates = shared.groupBy("c1", "c2").agg(F.collect_list(F.struct("df", "tok")).alias("toks")).join(classes.select("c1", "c2", "n"), ["c1", "c2"]).filter(F.size("toks") >= least)
-    prefix = F.size("toks") - least + 1
-    candidates = cut(candidates.select("c1", "c2", F.monotonically_increasing_id().alias("c"), "n", toks.alias("toks"), prefix.cast("int").alias("prefix")))
+    candidates = found.select("c", *about, F.transform(F.slice("all", 4, F.greatest(F.size("all") - 3, F.lit(1))), lambda x: x["tok"]).alias("toks")).filter(F.size("toks") >= least)
+    del dealt, packed, shared, found
+    candidates = cut(candidates.select("c1", "c2", "c", "n", "toks", (F.size("toks") - least + 1).cast("int").alias("prefix")))
+    freed(docs.sparkSession)
     linked = components(link_classes(candidates.select("c", "n", "toks", "prefix"))).withColumnRenamed("node", "c")
-    owner = candidates.select("c", "c1", "c2").join(linked, "c").join(classes.select("c1", "c2", "least"), ["c1", "c2"])
+    owner = candidates.select("c", "c1", "c2").join(linked, "c").select("c1", "c2", "label").dropDuplicates(["c1", "c2"])  # texts of equal sets have one label
+    owner = owner.join(classes.select("c1", "c2", "least"), ["c1", "c2"])
     first = owner.groupBy("label").agg(F.min("least").alias("first"))
     owner = owner.join(first, "label").select("c1", "c2", "first", F.concat_ws(" ", F.lit("part"), "label").alias("label"))
     owner = classes.select("c1", "c2", "least").join(owner, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("first", "least").alias("component_id"), F.coalesce("label", F.concat_ws(" ", "c1", "c2")).alias("label"))
