@@ -87,3 +87,36 @@ def test_the_index_keeps_its_recall_in_clusters(spark):
     v = spark.createDataFrame([(i, x) for i, _, x in planted()], "id long, vector array<double>")
     q = v.withColumnRenamed("id", "query_id")
     assert retrieve.recall(retrieve.approximate_top_k(q, v, K + 1), retrieve.top_k(q, v, K + 1)) >= 0.9
+
+
+def test_nearest_is_top_k_with_ties_nulls_and_few_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(230)] + [(i, [0.0] * 16) for i in (300, 301)] + [(400, None)]
+    rows += [(500 + i, rows[3][1]) for i in range(9)]  # equal scores, more than k
+    v = spark.createDataFrame(rows, "id long, vector array<float>")
+    q = v.withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(retrieve, "ASKED", 64)
+    monkeypatch.setattr(retrieve, "CHUNK", 50)
+    monkeypatch.setattr(retrieve, "PATCH", (16, 32))
+    got = lambda found: {(r.query_id, r.rank): (r.id, round(r.score, 9) + 0.0) for r in found.collect()}
+    for k in (1, 6):
+        want = got(retrieve.top_k(q, v, k))
+        assert got(retrieve.nearest(q, v, k)) == want and len(want) == k * 241
+    few = v.filter("id < 3")
+    assert got(retrieve.nearest(q, few, 6)) == got(retrieve.top_k(q, few, 6))
+    assert retrieve.nearest(q.limit(0), v, 6).count() == 0
+
+
+def test_vectors_without_clusters_are_not_compared_by_codes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = spark.createDataFrame([(i, rng.standard_normal(32).tolist()) for i in range(400)], "id long, vector array<float>")
+    whole, search = [], retrieve.search_index
+
+    def counting(queries, *more, **named):
+        whole.append(queries.count())
+        return search(queries, *more, **named)
+
+    monkeypatch.setattr(retrieve, "search_index", counting)
+    q = v.withColumnRenamed("id", "query_id")
+    found = retrieve.approximate_top_k(q, v, K + 1)
+    assert max(whole) <= retrieve.PROBED and retrieve.recall(found, retrieve.top_k(q, v, K + 1)) == 1.0

@@ -24,8 +24,10 @@ SAMPLE, MOST_CELLS, BITS, PAIRED, CLOSE = 20_000, 1_024, 512, 1_000, 0.06
 PROBED = 64
 #: Tasks that share an index of which all is read, for each block of queries, at most; files whose best are held before they are trimmed.
 READERS, HELD = 8, 16
-#: Cells up to which a query is copied for each that it reads.
-COPIES = 8
+#: Cells up to which a query is copied for each that it reads; an index of which more than one part in PRUNED is read saves no time.
+COPIES, PRUNED = 8, 8
+#: Queries of a block of nearest(), about, and rows and columns of the scores that are made at once.
+ASKED, PATCH = 8192, (256, 2048)
 STOP = "a about after all an and any are as at be been but by can do for from had has have he her his how i if in into is it its me my no not of on or our out so than that the their them then there they this to up was we were what when which who will with you your".split()
 
 
@@ -86,6 +88,81 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, where: Column |
     return pairs.mapInArrow(lean(near), shape).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
+    """As top_k(), for queries that are as many as the corpus. A task keeps the best of all blocks of the corpus that a block of queries
+    meets there; of products of single precision only what may still be among them is scored in double precision."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = corpus.sparkSession
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(corpus.dtypes)["id"]}
+
+    def packed(rows: DataFrame, ident: str, size: int) -> DataFrame:
+        """(ids, m): about size ids and their unit vectors, dealt by hash."""
+
+        def block(batches):
+            for b in batches:
+                for v in b.column(0):
+                    yield pa.RecordBatch.from_arrays([pa.array([v.values.field("id")], pa.list_(v.values.field("id").type)), pa.array([_units(v.values.field("vector")).tobytes()])], ["ids", "m"])
+
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return cut(_blocks(rows, ident, size).repartition(parts).mapInArrow(lean(block), f"ids array<{kinds[ident]}>, m binary"))
+
+    def trimmed(held: list[tuple]) -> tuple:
+        """The best k of each query, equal ones by id, in order of queries."""
+        at, score = (np.concatenate([x[j] for x in held]) for j in (0, 2))
+        names = pa.concat_arrays([x[1] for x in held])
+        order = np.lexsort((names.to_numpy(zero_copy_only=False), -np.round(score, 9), at))
+        own = at[order]
+        stays = order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+        return at[stays], names.take(pa.array(stays)), score[stays]
+
+    def bars(best: tuple, size: int):
+        """The score of the k-th best of each query, below all where there are fewer."""
+        at, _, score = best
+        n, bar = np.bincount(at, minlength=size), np.full(size, -2.0)
+        full = np.flatnonzero(n >= k)
+        bar[full] = score[(np.cumsum(n) - n)[full] + k - 1]
+        return bar
+
+    def met(qm, cm, names, best: tuple | None) -> tuple:
+        q, c, spare = qm.astype(np.float32), cm.astype(np.float32), 2e-6 + 2e-7 * qm.shape[1]
+        for left in range(0, len(cm), PATCH[1]):
+            found, bar = [], np.full(len(qm), -2.0) if best is None else bars(best, len(qm))
+            for top in range(0, len(qm), PATCH[0]):
+                s = q[top : top + PATCH[0]] @ c[left : left + PATCH[1]].T
+                least = bar[top : top + PATCH[0]].astype(np.float32)
+                if best is None and s.shape[1] > k:
+                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                hit = np.flatnonzero(s >= (least - np.float32(spare))[:, None])
+                found.append((top + hit // s.shape[1], left + hit % s.shape[1]))
+            at, to = (np.concatenate(x) for x in zip(*found, strict=True))
+            new = at, names.take(pa.array(to)), np.einsum("ij,ij->i", qm[at], cm[to])
+            best = trimmed([new] if best is None else [best, new])
+        return best
+
+    def near(batches):
+        now = best = qm = None
+        for batch in batches:
+            for asked, q, names, c in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if now is None or not asked.equals(now):
+                    if now is not None:
+                        yield given(now, best)
+                    now, best, qm = asked, None, np.frombuffer(q.as_buffer()).reshape(len(asked), -1)
+                best = met(qm, np.frombuffer(c.as_buffer()).reshape(len(names), -1), names.values, best)
+        if now is not None:
+            yield given(now, best)
+
+    def given(asked, best: tuple):
+        at, names, score = best
+        return pa.RecordBatch.from_arrays([asked.values.take(pa.array(at)), names, pa.array(score)], ["query_id", "id", "score"])
+
+    blocks = packed(queries.select("query_id", "vector"), "query_id", ASKED).toDF("asked", "q").crossJoin(packed(corpus.select("id", "vector"), "id", CHUNK).coalesce(READERS))  # all blocks of queries with all of the corpus
+    found = blocks.mapInArrow(lean(near), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def build_index(corpus: DataFrame, path: str, seed: int = 7) -> DataFrame:
     """An index of corpus (id, vector), written to path by cell and read back: (cell, chunk, v), v the ids, codes and unit vectors of
     at most about CHUNK rows of a cell.
@@ -274,13 +351,17 @@ def code_distance(queries: DataFrame, corpus: DataFrame, path: str, k: int = TOP
 
 
 def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, least: float = 0.9) -> DataFrame:
-    """As top_k(), by an index of corpus with as few probes as reach a recall of least. A corpus without vectors gives no rows."""
+    """As top_k(), by an index of corpus with as few probes as reach a recall of least, or by nearest() where those are a large part of
+    its cells, as in vectors without clusters. A corpus without vectors gives no rows."""
     if corpus.filter("vector IS NOT NULL").isEmpty():
         return top_k(queries, corpus, k)
     path = f"{shared_dir(corpus.sparkSession)}/index-{uuid.uuid4().hex}"
     build_index(corpus, path)
     within = code_distance(queries, corpus, path, k, least)
-    return search_index(queries, path, k, fewest_probes(queries, corpus, path, k, least, within), within=within).drop("compared")
+    probes = fewest_probes(queries, corpus, path, k, least, within)
+    if PRUNED * probes > corpus.sparkSession.read.parquet(f"{path}-centres").count():
+        return nearest(queries, corpus, k)
+    return search_index(queries, path, k, probes, within=within).drop("compared")
 
 
 def retrieve(queries: DataFrame, collections: dict[str, DataFrame], k: int = TOP_K, exclude: DataFrame | None = None) -> DataFrame:
